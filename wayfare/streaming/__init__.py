@@ -1,0 +1,2 @@
+"""Reserved. The work covered here is batch only: no stream source, watermark or
+state is part of the feature set, so no streaming operator is provided."""
