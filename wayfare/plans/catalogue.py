@@ -8,7 +8,7 @@ from ..operators.sessions import sessionize
 from ..operators.stages import stage_cutpoints, stage_prevalence
 from ..session import configure
 from ..sources.provided import provided_events
-from . import journey_queries  # noqa: F401
+from . import journey_queries, metric_queries, split_queries  # noqa: F401
 from .artefacts import RULES
 from .registry import ORACLES, QUERIES
 
