@@ -8,12 +8,16 @@ from ..operators.sessions import sessionize
 from ..operators.stages import stage_cutpoints, stage_prevalence
 from ..session import configure
 from ..sources.provided import provided_events
-from . import journey_queries, metric_queries, split_queries  # noqa: F401
+from . import comparison_queries, journey_queries, metric_queries, model_queries, split_queries  # noqa: F401
 from .artefacts import RULES
-from .registry import ORACLES, QUERIES
+from .registry import ORACLES as _SQL
+from .registry import QUERIES
+from .sql_text import statement
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
+ORACLES = {name: statement(sql) for name, sql in _SQL.items()}
+
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     events = provided_events(configure(spark), folder)

@@ -35,7 +35,8 @@ def statement(sql: str) -> str:
     if not order:
         return " ".join(sql.split())
     parts = ", ".join(f"{n} AS ({CTES[n]})" for n in order)
-    return f"WITH {parts} {' '.join(sql.split())}"
+    recursive = any(n in _needs(CTES[n]) for n in order)
+    return f"WITH {'RECURSIVE ' if recursive else ''}{parts} {' '.join(sql.split())}"
 
 
 # inputs -------------------------------------------------------------------
