@@ -8,7 +8,14 @@ from ..operators.sessions import sessionize
 from ..operators.stages import stage_cutpoints, stage_prevalence
 from ..session import configure
 from ..sources.provided import provided_events
-from . import comparison_queries, journey_queries, metric_queries, model_queries, split_queries  # noqa: F401
+from . import (  # noqa: F401
+    attribution_queries,
+    comparison_queries,
+    journey_queries,
+    metric_queries,
+    model_queries,
+    split_queries,
+)
 from .artefacts import RULES
 from .registry import ORACLES as _SQL
 from .registry import QUERIES

@@ -135,28 +135,35 @@ def seed_pairs(a: Artefacts):
 
 
 cte("w_pairs", """
-    SELECT stage, seed, max(pr_auc) FILTER (feature_set = 'full') - max(pr_auc) FILTER (feature_set = 'baseline') AS d,
-      bool_and(true) AS ok FROM m_results GROUP BY 1, 2""")
+    SELECT stage, seed, max(pr_auc) FILTER (feature_set = 'full') AS a, max(pr_auc) FILTER (feature_set = 'baseline') AS b
+    FROM m_results GROUP BY 1, 2""")
+cte("w_all", """
+    SELECT stage, count(*) AS n, median(a - b) AS median_diff, bool_or(a = b) AS zeros,
+      bool_and(abs(a - b) <= 1e-8 + 1e-5 * abs(b)) AS same FROM w_pairs GROUP BY 1""")
 cte("w_ranked", """
-    SELECT *, rank() OVER (PARTITION BY stage ORDER BY abs(d))
-      + (count(*) OVER (PARTITION BY stage, abs(d)) - 1) / 2 AS rk, count(*) OVER (PARTITION BY stage) AS n FROM w_pairs""")
+    SELECT stage, d, rank() OVER (PARTITION BY stage ORDER BY abs(d))
+      + (count(*) OVER (PARTITION BY stage, abs(d)) - 1) / 2 AS rk, count(*) OVER (PARTITION BY stage, abs(d)) AS t
+    FROM (SELECT stage, a - b AS d FROM w_pairs WHERE a <> b)""")
 cte("w_plus", """
-    SELECT stage, max(n) AS n, coalesce(sum(rk) FILTER (d > 0), 0) AS plus, median(d) AS median_diff,
-      max(abs(d)) < 1e-9 AS same, bool_or(d = 0) AS zeros FROM w_ranked GROUP BY 1""")
+    SELECT stage, count(*) AS m, coalesce(sum(rk) FILTER (d > 0), 0) AS plus, sum(t * t - 1) AS tie FROM w_ranked GROUP BY 1""")
 cte("w_sums", """
     SELECT b, list_sum(list_transform(range(0, 5), lambda i: ((b >> i) & 1) * (i + 1))) AS s FROM range(0, 32) AS t(b)""")
 cte("w_tests", """
-    SELECT stage, n, same, median_diff, least(plus, n * (n + 1) / 2 - plus) AS statistic, least(1, 2 * least(
-      (SELECT count(*) / 32.0e0 FROM w_sums WHERE s <= ceil(plus)), (SELECT count(*) / 32.0e0 FROM w_sums WHERE s >= floor(plus)))) AS p
-    FROM w_plus""")
+    SELECT stage, n, same, zeros, median_diff, least(plus, m * (m + 1) / 2 - plus) AS statistic,
+      abs(least(plus, m * (m + 1) / 2 - plus) - m * (m + 1) / 4)
+        / sqrt((m * (m + 1) * (2 * m + 1) - 0.5e0 * tie) / 24) / sqrt(2) AS dev,
+      least(1, 2 * least((SELECT count(*) / 32.0e0 FROM w_sums WHERE s <= ceil(plus)),
+        (SELECT count(*) / 32.0e0 FROM w_sums WHERE s >= floor(plus)))) AS p
+    FROM w_all LEFT JOIN w_plus USING (stage)""")
 
 
 @query("wilcoxon", f"""
-    SELECT stage, {rnd('CASE WHEN same THEN 0 ELSE statistic END')} AS statistic, {rnd('CASE WHEN same THEN 1 ELSE p END')} AS p_value,
+    SELECT stage, {rnd('CASE WHEN same THEN 0 ELSE statistic END')} AS statistic, {rnd(f"CASE WHEN same THEN 1 WHEN zeros THEN {erfc_sql('dev')} ELSE p END", 5)} AS p_value,
       n AS n_pairs, {rnd('CASE WHEN same THEN 0 ELSE median_diff END')} AS median_diff, {rnd('2 / pow(2, n)')} AS min_attainable_p
     FROM w_tests""")
 def _(a: Artefacts):
-    return rounded(comparisons.wilcoxon(seed_pairs(a), "full", "baseline", ["stage"]))
+    found = comparisons.wilcoxon(seed_pairs(a), "full", "baseline", ["stage"])
+    return rounded(found.withColumn("p_value", F.round(F.col("p_value") + 1e-9, 5)))
 
 
 cte("h_ranked", """

@@ -151,7 +151,7 @@ def _feature_ctes(p: str, source: str) -> None:
             PARTITION BY session_id, stage, category_id ORDER BY event_idx) > 1 AS cat_seen
         FROM {source} WINDOW w AS (PARTITION BY session_id, stage ORDER BY event_idx)""")
     cte(f"{p}_shares", f"""
-        SELECT session_id, stage, -sum(c / t * ln(c / t)) AS h FROM (
+        SELECT session_id, stage, round(-sum(c / t * ln(c / t)), 12) AS h FROM (
           SELECT session_id, stage, category_id, CAST(count(*) AS DOUBLE) AS c,
             sum(count(*)) OVER (PARTITION BY session_id, stage) AS t
           FROM {source} WHERE category_id IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2""")
