@@ -94,8 +94,11 @@ def score_quantiles(
 
     found = at_ranks(counts, groups, wanted).groupBy(*groups, "i", "spot", "n_pos", "n_neg").agg(
         *[end(w, c).alias(f"_{w}_{c}") for w in ("lo", "hi") for c in ("score", "tp", "fp")])
-    value = F.col("_lo_score") + (F.col("_hi_score") - F.col("_lo_score")) * (
-        F.col("spot") - F.floor("spot"))
+    low_end, high_end = F.col("_lo_score"), F.col("_hi_score")
+    part = F.col("spot") - F.floor("spot")
+    # from the nearer end, so that the last digit does not depend on the side
+    value = F.when(part < 0.5, low_end + (high_end - low_end) * part).otherwise(
+        high_end - (high_end - low_end) * (1 - part))
     at_low = F.col("q_value") <= F.col("_lo_score")
     return found.withColumn("q_value", value).select(
         *groups, "i", "q_value", "n_pos", "n_neg",
@@ -106,7 +109,7 @@ def _binned(counts: DataFrame, groups: Sequence[str], n_bins: int, strategy: str
     """Threshold counts with a 0-based bin; edges follow the uniform or quantile rule."""
     groups = list(groups)
     if strategy == "uniform":
-        edges = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
+        edges = F.array(*[F.lit(i * (1.0 / n_bins)) for i in range(1, n_bins)])
         return counts.withColumn("bin", F.size(F.filter(edges, lambda e: e <= F.col("score"))))
     if strategy != "quantile":
         raise ValueError(f"unknown binning strategy {strategy!r}")

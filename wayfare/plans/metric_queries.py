@@ -38,7 +38,7 @@ cte("m_ece", f"""
     FROM m_bins GROUP BY ALL""")
 cte("m_uniform", f"""
     SELECT {_RUN}, sum(abs(fp - mp) * c) / sum(c) AS ece FROM (
-      SELECT {_RUN}, len(list_filter([0.1e0, 0.2e0, 0.3e0, 0.4e0, 0.5e0, 0.6e0, 0.7e0, 0.8e0, 0.9e0],
+      SELECT {_RUN}, len(list_filter([k * 0.1e0 for k in range(1, 10)],
         lambda e: e <= score)) AS bin, avg(y) AS fp, avg(score) AS mp, count(*) AS c FROM j_test GROUP BY ALL)
     GROUP BY ALL""")
 cte("m_val", f"""
