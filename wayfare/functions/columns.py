@@ -63,3 +63,8 @@ def ratio(top: Column, bottom: Column, default: float = 0.0) -> Column:
 def half_even(x: Column) -> Column:
     """Counts are rounded half to even, as Python's ``round`` does."""
     return F.bround(x, 0).cast("bigint")
+
+
+def correlation(x: str, y: str) -> Column:
+    """Aggregate: Pearson correlation, null when a side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import correlation
 from ..functions.ranks import hash_cut, keyed_hash
 from ..session import materialise, new_path
 from .features import FEATURES, feature_names
@@ -256,7 +257,7 @@ def rank_correlations(attribution: DataFrame, by: Sequence[str] = ("stage",)) ->
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     # pairs are over the features of one session: a fixed number per explained row
     return a.join(b, on).groupBy(*[F.col(f"a.{k}") for k in by], F.col("a.feature").alias("a"),
-                                 F.col("b.feature").alias("b")).agg(F.corr("a._rank", "b._rank").alias("rho"))
+                                 F.col("b.feature").alias("b")).agg(correlation("a._rank", "b._rank").alias("rho"))
 
 
 def correlation_groups(attribution: DataFrame, *, threshold: float = CORRELATED) -> DataFrame:
@@ -267,7 +268,7 @@ def correlation_groups(attribution: DataFrame, *, threshold: float = CORRELATED)
     """
     edges: dict[str, list[tuple[str, str]]] = {}
     strong = rank_correlations(attribution).where(
-        F.col("rho").isNotNull() & ~F.isnan("rho") & (F.abs("rho") >= threshold))
+        F.abs("rho") >= threshold)
     for r in strong.collect():  # at most the pairs of the feature list
         edges.setdefault(r["stage"], []).append((r["a"], r["b"]))
     rows = []

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import correlation
 from .attribution import MAX_BACKGROUND, _midranks
 
 FAITHFUL = 0.5
@@ -84,7 +85,7 @@ def faithfulness(
     moved = draws.withColumn("_sum", total).withColumn("x", _replaced(F.col("x"), F.col("b"), F.col("_set")))
     scored = predict(moved).withColumn("_drop", F.col("_p") - F.col("p"))
     steady = (F.stddev_pop("_sum") >= 1e-12) & (F.stddev_pop("_drop") >= 1e-12)
-    per_row = scored.groupBy(*by, key).agg(steady.alias("_ok"), F.corr("_sum", "_drop").alias("r")).where("_ok")
+    per_row = scored.groupBy(*by, key).agg(steady.alias("_ok"), correlation("_sum", "_drop").alias("r")).where("_ok")
     return per_row.groupBy(*by).agg(
         F.avg("r").alias("correlation_mean"), F.coalesce(F.stddev_samp("r"), F.lit(0.0)).alias("correlation_std"),
         F.count(F.lit(1)).alias("n_instances")).withColumns(
@@ -214,7 +215,7 @@ def rank_consistency(
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     pairs = a.join(b, on).groupBy(
         *[F.col(f"a.{k}") for k in by], F.col(f"a.{run}").alias("_a"), F.col(f"b.{run}").alias("_b")).agg(
-        F.nanvl(F.coalesce(F.corr("a._rank", "b._rank"), F.lit(0.0)), F.lit(0.0)).alias("rho"))
+        F.coalesce(correlation("a._rank", "b._rank"), F.lit(0.0)).alias("rho"))
     return pairs.groupBy(*by).agg(
         F.avg("rho").alias("mean_spearman"), F.min("rho").alias("min_spearman"),
         F.count(F.lit(1)).alias("n_pairs")).withColumns(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import micros
+from ..functions.columns import correlation, micros
 from ..functions.ranks import hash_rank
 from ..sources.schema import EventColumns
 from .attribution import _midranks
@@ -140,7 +140,7 @@ def cross_paradigm(aligned: DataFrame, by: Sequence[str] = ("stage",), *, thresh
     by = list(by)
     ranked = _midranks(aligned, "sequence", by).withColumnRenamed("_rank", "_s")
     ranked = _midranks(ranked, "tabular", by).withColumnRenamed("_rank", "_t")
-    rho = F.nanvl(F.coalesce(F.corr("_s", "_t"), F.lit(0.0)), F.lit(0.0))
+    rho = F.coalesce(correlation("_s", "_t"), F.lit(0.0))
     n = F.count(F.lit(1))
     return ranked.groupBy(*by).agg(n.alias("n_concepts"), F.when(n >= 3, rho).alias("spearman")).withColumns(
         {"passes": F.col("spearman") > threshold, "threshold": F.lit(threshold)})
@@ -167,10 +167,10 @@ def per_instance_agreement(
     ranked = _midranks(both, "tabular", keys).withColumnRenamed("_rank", "_t")
     ranked = _midranks(ranked, "sequence", keys).withColumnRenamed("_rank", "_s")
     table = ranked.groupBy(*keys).agg(
-        F.corr("_t", "_s").alias("spearman"), F.corr("tabular", "sequence").alias("pearson"),
+        correlation("_t", "_s").alias("spearman"), correlation("tabular", "sequence").alias("pearson"),
         F.count(F.lit(1)).alias("n_sessions"),
         ((F.stddev_pop("tabular") >= 1e-12) & (F.stddev_pop("sequence") >= 1e-12)).alias("_vary"))
-    zero = lambda c: F.nanvl(F.coalesce(c, F.lit(0.0)), F.lit(0.0)).alias(c)
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return table.where(F.col("_vary") & (F.col("n_sessions") >= min_shared)).select(
         *keys, zero("spearman"), zero("pearson"), "n_sessions")
 
