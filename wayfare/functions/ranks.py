@@ -151,39 +151,45 @@ def running_totals(
     )
 
 
-def nearest_quantile(df: DataFrame, column: str, q: float, name: str, width: int = 4096) -> DataFrame:
-    """One row: the value of integer ``column`` at rank ``round((n - 1) * q)``.
+def nearest_quantiles(
+    df: DataFrame, columns: Sequence[str], q: float, groups: Sequence[str] = (), width: int = 4096
+) -> DataFrame:
+    """Per group and integer column, the value at rank ``round((n - 1) * q)``.
 
-    Half ranks round up. The value histogram is cut into blocks of ``width``
-    consecutive values; the block holding the rank is found from block counts,
-    then the value inside it, so no task sees more than the block table or one
-    block.
+    Half ranks round up. Returns (groups, ``column``, ``value``). All columns
+    share one value histogram. It is cut into blocks of ``width`` consecutive
+    values; the block holding the rank is found from block counts, then the
+    value inside it, so no task sees more than a block table or one block.
     """
+    keys = [*groups, "column"]
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("bigint").alias("_v")) for c in columns])
     counts = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("bigint").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        df.select(*groups, F.explode(cells).alias("c")).select(*groups, "c.*")
+        .where(F.col("_v").isNotNull())
+        .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_block", F.floor(F.col("_v") / width))
     )
-    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_n"))
     located = (
-        blocks.select(
-            "_block", "_n",
-            F.coalesce(F.sum("_n").over(_before([], [F.col("_block")])), F.lit(0)).alias("_skip"),
-            F.sum("_n").over(Window.partitionBy()).alias("_total"),
+        counts.groupBy(*keys, "_block").agg(F.sum("_n").alias("_n"))
+        .select(
+            *keys, "_block", "_n",
+            F.coalesce(F.sum("_n").over(_before(keys, [F.col("_block")])), F.lit(0)).alias("_skip"),
+            F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
         )
         .withColumn("_rank", F.floor((F.col("_total") - 1) * F.lit(q) + F.lit(0.5)))
         .where((F.col("_skip") <= F.col("_rank")) & (F.col("_rank") < F.col("_skip") + F.col("_n")))
-        .select("_block", "_skip", "_rank")
+        .select(*keys, "_block", "_skip", "_rank")
     )
-    inside = counts.join(F.broadcast(located), "_block")  # located is one row
+    inside = counts.join(F.broadcast(located), [*keys, "_block"])  # one row per group and column
+    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        inside.select(
-            "_v", "_rank",
-            (F.col("_skip") + F.sum("_n").over(
-                Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            )).alias("_upto"),
-        )
+        inside.select(*keys, "_v", "_rank", (F.col("_skip") + F.sum("_n").over(upto)).alias("_upto"))
         .where(F.col("_upto") > F.col("_rank"))
-        .agg(F.min("_v").alias(name))
+        .groupBy(*keys).agg(F.min("_v").alias("value"))
     )
+
+
+def nearest_quantile(df: DataFrame, column: str, q: float, name: str, width: int = 4096) -> DataFrame:
+    """One row with the quantile of one column, see :func:`nearest_quantiles`."""
+    return nearest_quantiles(df, [column], q, width=width).select(F.col("value").alias(name))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.probability import chi2_one_p, normal_quantile, sign_p, signed_rank, two_sided_p
-from .metrics import threshold_counts
+from .metrics import join_runs, threshold_counts
 from .resampling import joint_counts, paired_bootstrap
 
 # The pre-declared feature-set contrasts, the richer set first.
@@ -63,7 +63,7 @@ def delong_components(
     placed = _placements(scores, columns, groups)
     aucs = placed.groupBy(*groups, "axis").agg(
         (F.sum(F.col("pos") * F.col("beats")) / F.first("n_pos")).alias("auc"))
-    placed = placed.join(aucs, [*groups, "axis"]).select(
+    placed = join_runs(placed, aucs, [*groups, "axis"]).select(
         *groups, "axis", "score", "auc", "n_pos", "n_neg",
         (F.col("beats") - F.col("auc")).alias("dp"), (F.col("beaten") - F.col("auc")).alias("dn"))
     joint = joint_counts(scores, columns, groups)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import half_even, ratio
 from ..functions.ranks import hash_rank
+from .metrics import join_runs
 
 # Default contact budgets.
 FLAG_RATES = (0.01, 0.02, 0.05, 0.10, 0.20, 0.30, 0.50, 1.00)
@@ -145,7 +146,7 @@ def flag_sweep(flagged: DataFrame) -> DataFrame:
 def confusion(scores: DataFrame, thresholds: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Confusion counts and the rates derived from them, per run."""
     groups = list(groups)
-    joined = scores.join(thresholds, groups) if groups else scores.crossJoin(F.broadcast(thresholds))
+    joined = join_runs(scores, thresholds, groups)
     hit, y = F.col("score") >= F.col("threshold"), F.col("y") == 1
     counted = joined.groupBy(*groups, "threshold").agg(
         F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"),

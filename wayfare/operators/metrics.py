@@ -1,9 +1,7 @@
 """Ranking and calibration metrics from per-score counts, for many runs at once.
 
 ``scores`` holds ``groups``, ``y`` (0/1) and ``score``. Ties are collapsed
-first, so every metric is a sum over distinct scores. Joins below pair these
-counts with one-row-per-run tables; Spark broadcasts those after checking
-their size.
+first, so every metric is a sum over distinct scores.
 """
 
 from __future__ import annotations
@@ -17,6 +15,17 @@ from ..functions.columns import pr_gain, pr_lift, ratio
 from ..functions.ranks import SINGLE_TASK_ROWS, running_totals
 
 
+def join_runs(df: DataFrame, per_run: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Attach a table with one row per run.
+
+    Runs are declared by the caller (stages, models, seeds), so the table is a
+    short list and is broadcast: shuffling score counts on a handful of run keys
+    would put each run into one task.
+    """
+    small = F.broadcast(per_run)
+    return df.join(small, list(groups)) if groups else df.crossJoin(small)
+
+
 def threshold_counts(
     scores: DataFrame, groups: Sequence[str] = (), *, single_task_rows: int = SINGLE_TASK_ROWS
 ) -> DataFrame:
@@ -28,7 +37,7 @@ def threshold_counts(
         counts, "score", ["pos", "neg"], groups, descending=True, single_task_rows=single_task_rows)
     running = running.withColumnsRenamed({"pos_cum": "tp", "neg_cum": "fp"})
     totals = running.groupBy(*groups).agg(F.max("tp").alias("n_pos"), F.max("fp").alias("n_neg"))
-    return running.join(totals, groups) if groups else running.crossJoin(F.broadcast(totals))
+    return join_runs(running, totals, groups)
 
 
 def ranking_metrics(counts: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
@@ -115,7 +124,7 @@ def _binned(counts: DataFrame, groups: Sequence[str], n_bins: int, strategy: str
         raise ValueError(f"unknown binning strategy {strategy!r}")
     edges = score_quantiles(counts, groups, 0.0, 1.0, n_bins + 1).groupBy(*groups).agg(
         F.array_sort(F.collect_set("q_value")).alias("_edges"))  # at most n_bins + 1 values
-    joined = counts.join(edges, groups) if groups else counts.crossJoin(F.broadcast(edges))
+    joined = join_runs(counts, edges, groups)
     inner = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
     return joined.withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col("score")))).withColumn(
         "_flat", F.size("_edges") < 2)
@@ -163,7 +172,7 @@ def select_threshold(
     if objective not in ("f1", "cost"):
         raise ValueError(f"unknown objective {objective!r}")
     sizes = counts.groupBy(*groups).agg(F.count(F.lit(1)).alias("_distinct"))
-    sized = counts.join(sizes, groups) if groups else counts.crossJoin(F.broadcast(sizes))
+    sized = join_runs(counts, sizes, groups)
     columns = [*groups, "threshold", "tp", "fp", "n_pos", "n_neg"]
     few = sized.where(F.col("_distinct") <= max_candidates).withColumnRenamed("score", "threshold")
     many = sized.where(F.col("_distinct") > max_candidates)
@@ -186,7 +195,7 @@ def classification_report(
 ) -> DataFrame:
     """All metrics of each run at its given threshold."""
     groups = list(groups)
-    joined = counts.join(thresholds, groups) if groups else counts.crossJoin(F.broadcast(thresholds))
+    joined = join_runs(counts, thresholds, groups)
     over = F.col("score") >= F.col("threshold")
     fixed = joined.groupBy(*groups, "threshold").agg(
         F.coalesce(F.sum(F.when(over, F.col("pos"))), F.lit(0)).alias("_tp"),
@@ -199,7 +208,7 @@ def classification_report(
         ratio(tp, p).alias("recall"), ((tp + n - fp) / (p + n)).alias("accuracy"))
     out = ranking_metrics(counts, groups)
     for part in (ece(counts, groups, strategy="quantile"), fixed):
-        out = out.join(part, groups) if groups else out.crossJoin(F.broadcast(part))
+        out = join_runs(out, part, groups)
     return out
 
 

@@ -33,16 +33,31 @@ def _long(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
 
 
 def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Exact medians of all columns from one value histogram."""
-    counts = _long(df, columns, "double").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    """Exact medians of all columns.
+
+    A sketch first brackets each median between two values about two percent of
+    the rows apart; only the values inside the brackets are then counted.
+    """
+    columns = list(columns)
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    ends = doubles.approxQuantile(columns, [0.49, 0.51], 0.004)
+    bracket = {c: e for c, e in zip(columns, ends) if e}
+    if not bracket:
+        return {}
+    row = doubles.agg(
+        *[F.count(c).alias(f"n_{c}") for c in bracket],
+        *[F.count_if(F.col(c) < lo).alias(f"b_{c}") for c, (lo, _) in bracket.items()]).first()
+    inside = doubles.select(*[
+        F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.col(c)).alias(c) for c, (lo, hi) in bracket.items()])
+    counts = _long(inside, list(bracket), "double").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     running = running_totals(counts, "value", ["n"], ["feature"])
-    # one row per column
-    total = F.broadcast(running.groupBy("feature").agg(F.max("n_cum").alias("total")))
-    low, high = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
-    holds = lambda r: (r >= F.col("n_cum") - F.col("n")) & (r < F.col("n_cum"))
-    found = running.join(total, "feature").groupBy("feature").agg(
-        ((F.max(F.when(holds(low), F.col("value"))) + F.max(F.when(holds(high), F.col("value")))) / 2).alias("m"))
-    return {r["feature"]: r["m"] for r in found.collect()}
+    skipped = F.create_map(*[F.lit(x) for c in bracket for x in (c, row[f"b_{c}"])])[F.col("feature")]
+    total = F.create_map(*[F.lit(x) for c in bracket for x in (c, row[f"n_{c}"])])[F.col("feature")]
+    low, high = F.floor((total - 1) / 2), F.ceil((total - 1) / 2)
+    first, last = skipped + F.col("n_cum") - F.col("n"), skipped + F.col("n_cum")
+    pick = lambda r: F.max(F.when((r >= first) & (r < last), F.col("value")))
+    found = running.groupBy("feature").agg(((pick(low) + pick(high)) / 2).alias("m"))
+    return {r["feature"]: r["m"] for r in found.collect()}  # one row per column
 
 
 def column_levels(

@@ -29,7 +29,9 @@ MIN_RESAMPLES = 2000
 METRICS = ("pr_auc", "pr_gain", "pr_lift", "roc_auc", "brier")
 _BLOCK = 250
 _CELL_ROWS = 50_000
-_CELL_LIMIT = 16_000
+_CELL_LIMIT = 200_000
+#: Drawn counts a task holds at once (resamples of a block times rows of a range).
+_DRAWS = 12_500_000
 
 
 def _check(n_resamples: int) -> None:
@@ -43,7 +45,7 @@ def joint_counts(scores: DataFrame, columns: Sequence[str], groups: Sequence[str
 
 
 def _cells(joint: DataFrame, columns: Sequence[str], groups: Sequence[str], rows: int, cell_rows: int):
-    """Tag rows with a score range per column; collect the cell totals."""
+    """Tag rows with a score range per column; collect the cell totals; size the blocks."""
     chunks = 1
     if rows > cell_rows:
         most = int(_CELL_LIMIT ** (1 / len(columns))) // 2  # odd and even ranges
@@ -58,7 +60,8 @@ def _cells(joint: DataFrame, columns: Sequence[str], groups: Sequence[str], rows
     for row in tagged.groupBy(*groups, *ranges, "y").agg(F.sum("n").alias("n")).collect():
         run = tuple(row[g] for g in groups)
         totals.setdefault(run, []).append((tuple(row[c] for c in ranges), int(row["y"]), int(row["n"])))
-    return tagged, {run: sorted(v) for run, v in totals.items()}
+    block = max(1, min(_BLOCK, _DRAWS * chunks // max(rows, 1)))
+    return tagged, {run: sorted(v) for run, v in totals.items()}, block
 
 
 def _rng(seed: int, run: tuple, *parts) -> np.random.Generator:
@@ -106,9 +109,9 @@ def resampled_metrics(
     """
     columns, groups = list(columns), list(groups)
     joint, rows = materialise_counted(joint_counts(scores, columns, groups), "joint")
-    tagged, totals = _cells(joint, columns, groups, rows, cell_rows)
+    tagged, totals, per_block = _cells(joint, columns, groups, rows, cell_rows)
     ranges = [f"_c{j}" for j in range(len(columns))]
-    blocks = math.ceil(n_resamples / _BLOCK)
+    blocks = math.ceil(n_resamples / per_block)
 
     parts = []
     for j, c in enumerate(columns):
@@ -130,7 +133,7 @@ def resampled_metrics(
 
     def measure(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         run, axis, chunk, block = tuple(key[:width]), int(key[width]), int(key[width + 1]), int(key[width + 2])
-        size = min(_BLOCK, n_resamples - block * _BLOCK)
+        size = min(per_block, n_resamples - block * per_block)
         draws = _cell_draws(totals[run], run, block, size, seed)
         above, n_class, here = {}, {}, {}
         for y, (known, drawn) in draws.items():
@@ -155,7 +158,7 @@ def resampled_metrics(
         called = np.maximum(tp + fp, 1)
         return pd.DataFrame({
             **{g: [v] * size for g, v in zip(groups, run)},
-            "axis": axis, "r": block * _BLOCK + np.arange(size),
+            "axis": axis, "r": block * per_block + np.arange(size),
             "n_pos": n_class[1], "n_neg": n_class[0],
             "ap": (pos * (tp / called)).sum(axis=1),
             "above": (neg * (tp - pos + pos / 2)).sum(axis=1),
@@ -252,14 +255,14 @@ def stratified_resample(
     """The counts of one resample: how often each (score, label) is drawn."""
     groups = list(groups)
     joint, rows = materialise_counted(joint_counts(scores, ["score"], groups), "joint")
-    tagged, totals = _cells(joint, ["score"], groups, rows, cell_rows)
-    width, block, at = len(groups), resample // _BLOCK, resample % _BLOCK
+    tagged, totals, per_block = _cells(joint, ["score"], groups, rows, cell_rows)
+    width, block, at = len(groups), resample // per_block, resample % per_block
 
     def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         run = tuple(key[:width])
-        draws = _cell_draws(totals[run], run, block, _BLOCK, seed)
+        draws = _cell_draws(totals[run], run, block, per_block, seed)
         pdf = pdf.reset_index(drop=True)
-        pdf["drawn"] = _row_draws(pdf, ["score"], ["_c0"], draws, run, block, _BLOCK, seed)[at]
+        pdf["drawn"] = _row_draws(pdf, ["score"], ["_c0"], draws, run, block, per_block, seed)[at]
         return pdf[[*groups, "score", "y", "n", "drawn"]]
 
     kinds = dict(joint.dtypes)
