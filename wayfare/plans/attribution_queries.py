@@ -465,7 +465,22 @@ def _(a: Artefacts):
     return _rounded_curve(per_stage(a, lambda s, rows, back, p: quality.insertion_curve(rows, back, p)))
 
 
-@query("random_curve")
+cte("q_shuffled", """
+    SELECT r.*, draw, row_number() OVER (PARTITION BY r.stage, session_id, draw
+        ORDER BY md5(session_id || '|' || draw || '|42|order|' || i)) AS place,
+      CAST('0x' || substr(md5(session_id || '|' || draw || '|42|base'), 1, 8) AS BIGINT) % size AS no
+    FROM q_rows r JOIN q_size z ON r.stage = z.stage, range(0, 5) AS t(draw)""")
+cte("q_random", """
+    SELECT stage, step, avg(p) AS p FROM (
+      SELECT o.stage, session_id, draw, step, 1 / (1 + exp(-sum(w * CASE WHEN place <= round_even(step / 10.0e0 * n, 0)
+        THEN b.v ELSE o.v END))) AS p
+      FROM q_shuffled o JOIN q_back b ON o.stage = b.stage AND o.no = b.no AND o.i = b.i, range(0, 11) AS t(step)
+      GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""")
+
+
+@query("random_curve", f"""
+    SELECT stage, {rnd('sum(area)')} AS auc FROM (
+      SELECT stage, (p + lag(p) OVER (PARTITION BY stage ORDER BY step)) / 2 * 0.1e0 AS area FROM q_random) GROUP BY 1""")
 def _(a: Artefacts):
     return rounded(per_stage(a, lambda s, rows, back, p: quality.random_curve(rows, back, p)))
 
@@ -476,7 +491,17 @@ def _linear_phi(stage):
         F.zip_with(F.zip_with("x", "_noise", lambda a, b: b), w, lambda n, c: n * c), F.col("_phi"), lambda a, b: a + b))
 
 
-@query("local_lipschitz")
+cte("q_noise", """
+    SELECT stage, session_id, draw, w, (CASE WHEN sd > 0 THEN sd ELSE 1 END) * 0.05e0
+      * sqrt(-2 * ln((CAST('0x' || substr(md5(session_id || '|' || draw || '|' || i || '|42|a'), 1, 8) AS BIGINT) + 0.5e0) / 4294967296.0e0))
+      * cos(2 * pi() * (CAST('0x' || substr(md5(session_id || '|' || draw || '|' || i || '|42|b'), 1, 8) AS BIGINT) + 0.5e0) / 4294967296.0e0) AS e
+    FROM (SELECT *, stddev_pop(v) OVER (PARTITION BY stage, i) AS sd FROM q_rows), range(0, 5) AS t(draw)""")
+
+
+@query("local_lipschitz", f"""
+    SELECT stage, {rnd('max(ratio)')} AS max_ratio, {rnd('avg(ratio)')} AS mean_ratio, count(DISTINCT session_id) AS n_instances,
+      0.05e0 AS noise_scale
+    FROM (SELECT stage, session_id, draw, sqrt(sum(w * e * w * e)) / sqrt(sum(e * e)) AS ratio FROM q_noise GROUP BY 1, 2, 3) GROUP BY 1""")
 def _(a: Artefacts):
     return rounded(per_stage(a, lambda s, rows, back, p: quality.local_lipschitz(rows, _linear_phi(s))))
 

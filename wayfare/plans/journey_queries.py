@@ -372,11 +372,13 @@ def _(a: Artefacts):
 
 # features -----------------------------------------------------------------------
 _FEATURE_QUERIES = {
-    "f_n_events": ("n_events", "n_views"),
+    "f_n_events": ("n_events",),
+    "f_n_views": ("n_views",),
     "f_n_unique_products": ("n_unique_products",),
     "f_n_unique_categories": ("n_unique_categories",),
     "f_prefix_duration_s": ("prefix_duration_s",),
-    "f_inter_event_mean_s": ("inter_event_mean_s", "inter_event_std_s"),
+    "f_inter_event_mean_s": ("inter_event_mean_s",),
+    "f_inter_event_std_s": ("inter_event_std_s",),
     "f_last_gap_s": ("last_gap_s",),
     "f_hour_of_day": ("hour_of_day",),
     "f_is_weekend": ("is_weekend",),
@@ -388,9 +390,11 @@ _FEATURE_QUERIES = {
     "f_category_entropy_normalised": ("category_entropy_normalised",),
     "f_n_category_transitions": ("n_category_transitions",),
     "f_distinct_transition_rate": ("distinct_transition_rate",),
-    "f_category_revisit_rate": ("category_revisit_rate", "product_revisit_rate"),
+    "f_category_revisit_rate": ("category_revisit_rate",),
+    "f_product_revisit_rate": ("product_revisit_rate",),
     "f_purchase_intent_score": ("purchase_intent_score",),
-    "f_price_mean": ("price_mean", "price_max"),
+    "f_price_mean": ("price_mean",),
+    "f_price_max": ("price_max",),
 }
 
 
