@@ -176,3 +176,24 @@ def test_schema_checks_and_io(spark, tmp_path):
 def test_bool_from_text(spark):
     df = spark.createDataFrame([("TRUE",), ("true",), ("FALSE",), (None,)], "x string")
     assert [r[0] for r in df.select(bool_from_text(F.col("x"))).collect()] == [1, 1, 0, 0]
+
+
+def test_copies_with_null_keys_are_equal(spark):
+    rows = [(None, 0, "view", None, "a"), (None, 0, "view", None, "b"), (1, 0, "view", None, "c"), (1, 0, "view", None, "d"),
+            (1, 0, "view", 3, "e")] + [(2, 5, "view", 9, "z")] * 500
+    got = sorted(r["seq"] for r in cleaning.dedup_events(log(spark, rows)).collect())
+    assert got == [0, 2, 4, 5]
+
+
+def test_clean_plan_does_not_shuffle_full_rows(spark, journey):
+    table = journey((0, "v", 1, 1), (30, "v", 2, 2)).withColumn("user_session", F.lit("a"))
+    plan = cleaning.clean_events(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_features_use_one_shuffle(spark, journey):
+    from wayfare.operators.features import stage_features
+
+    table = journey((0, "v", 1, 1), (30, "v", 2, 2))
+    plan = stage_features(table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

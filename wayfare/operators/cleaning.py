@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import bool_from_text, parse_event_time
+from ..session import materialise
 from ..sources.schema import (
     CRITICAL_COLUMNS,
     EVENT_TYPES,
@@ -28,15 +29,23 @@ def is_valid_event() -> Column:
 
 
 def dedup_events(events: DataFrame, keys=DEDUP_KEYS, order: str = "seq") -> DataFrame:
-    """One row per key, the earliest in source order.
+    """One row per key, the earliest in source order; null keys are equal.
 
-    Written as an aggregate, not a ranked window: copies collapse before the
-    shuffle, so a group of copies of any size costs one row per input task.
+    Only keys and source order are aggregated, and copies combine before that
+    shuffle, so a group of copies of any size costs one row per input task. Keys
+    that do occur twice are written as a table; Spark broadcasts it when it is
+    small, which in a log it nearly always is, and the full rows are then
+    filtered where they are, without a shuffle.
     """
     keys = list(keys)
-    rest = [order] + [c for c in events.columns if c not in keys and c != order]
-    first = F.min(F.struct(*rest)).alias("_first")
-    return events.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*events.columns)
+    copies = materialise(
+        events.groupBy(*keys).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > 1).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_first"),
+        "copies")
+    later = F.col(order) != F.col("_first")
+    for k in keys:
+        later = later & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return events.join(copies, later, "left_anti")
 
 
 def clean_events(events: DataFrame) -> DataFrame:
