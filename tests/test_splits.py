@@ -106,7 +106,8 @@ def test_stratified_slice_and_permutation(spark):
     mixed = splits.permute_labels(df, 3)
     assert mixed.count() == df.count()
     assert mixed.where("stage = 'S1' and label").count() == 21
-    assert mixed.join(df, ["stage", "session_id"]).where(mixed["label"] != df["label"]).count() > 0
+    moved = mixed.withColumnRenamed("label", "new").join(df, ["stage", "session_id"]).where("new != label")
+    assert moved.count() > 0
 
 
 def test_common_cohort(spark):
