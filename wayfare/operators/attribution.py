@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from math import factorial
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
