@@ -7,13 +7,10 @@ the loss of executors, prunes columns and carries its row count.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_COUNTS: dict[str, int] = {}
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Settings the operators rely on: naive times are read as UTC, AQE splits skew."""
@@ -25,19 +22,22 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for written tables; a temporary one only in local mode."""
+    """The folder for written tables: ``spark.checkpoint.dir``, or one in the warehouse where that is unset.
+
+    Both are shared by all executors. Tables written here go when the driver ends.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="wayfare-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/wayfare-tables"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path of its own for a written table, removed at the end of the driver's JVM."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
