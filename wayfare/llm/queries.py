@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import new_path
 from .binary_records import record_digests, write_records
 from .chunk_bpe import encoding_digests
-from .common import documents
+from . import decision_lists, rule_ensemble
+from .common import documents, table
+from .decontamination import contamination
+from .secret_index import find_secrets
 from .token_counts import count_tokens
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
+def op1_rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return rule_ensemble.score_documents(docs, rule_ensemble.learn_from(docs, table(spark, folder, "labels")))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(documents(spark, folder), public_tokenizers.path(PIECE_BPE))
 
@@ -22,11 +30,27 @@ def op5_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encoding_digests(documents(spark, folder), public_tokenizers.path(WORD_BPE))
 
 
+def op7_secret_index(spark: SparkSession, folder: str) -> DataFrame:
+    return find_secrets(documents(spark, folder))
+
+
+def op8_decision_lists(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return decision_lists.apply_rules(docs, decision_lists.learn_from(docs, table(spark, folder, "labels")))
+
+
 def op9_binary_records(spark: SparkSession, folder: str) -> DataFrame:
     place = new_path(spark, "token-records")
     write_records(documents(spark, folder), public_tokenizers.path(WORD_BPE), place, end_id=2)
     return record_digests(spark, place)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_chunk_bpe, op9_binary_records)}
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(documents(spark, folder), table(spark, folder, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_rule_ensemble, op3_token_counts, op5_chunk_bpe, op7_secret_index, op8_decision_lists, op9_binary_records,
+    op10_decontamination,
+)}
 ORACLES: dict[str, str] = {}

@@ -25,7 +25,7 @@ _CAREFUL = re.compile(rb"<\||[\xcc-\xff]")
 class WordIds:
     """Bounded table word -> ids as little-endian unsigned integers of ``width`` bytes."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -42,15 +42,25 @@ class WordIds:
 
     def _fresh(self, word: bytes) -> bytes:
         bare = word.rstrip(b".,")
-        text = bare.decode()
-        if text.isalpha() and not _CAREFUL.search(bare):
-            low = "".join(c.lower() for c in text)
-            if low.isalpha() and not _CAREFUL.search(coded := low.encode()):
-                ids = [t.id for t in self.model.tokenize(coded.decode("latin-1").translate(_ALPHABET))]
-                if len(bare) < len(word):
-                    ids += self.library(word[len(bare):].decode())
-                return array(self.code, ids).tobytes()
-        return array(self.code, self.library(word.decode())).tobytes()
+        if bare and len(bare) < len(word):
+            text = bare.decode()
+            if text[-1].isalpha():  # letters and marks never share a token
+                return self._known(bare) + self._known(word[len(bare):])
+        elif not _CAREFUL.search(word):
+            text = word.decode()
+            low = text if text.islower() else "".join(c.lower() for c in text)
+            if text.isalpha() and low.isalpha() and not _CAREFUL.search(coded := low.encode()):
+                return self._pack(t.id for t in self.model.tokenize(coded.decode("latin-1").translate(_ALPHABET)))
+        return self._pack(self.library(word.decode()))
+
+    def _pack(self, ids) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _known(self, word: bytes) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.known[word] = self._fresh(word)
+        return ids
 
     def __call__(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, packed."""
@@ -61,13 +71,7 @@ class WordIds:
             pass
         if len(known) > self.room:
             known.clear()
-        found = []
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                ids = known[w] = self._fresh(w)
-            found.append(ids)
-        return found
+        return list(map(self._known, words))
 
 
 def word_ids(path: str) -> WordIds:
