@@ -11,6 +11,7 @@ from .chunk_bpe import encoding_digests
 from . import decision_lists, rule_ensemble
 from .common import documents, table
 from .decontamination import contamination
+from .ngram_join import ngram_components
 from .secret_index import find_secrets
 from .token_counts import count_tokens
 
@@ -26,6 +27,10 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(documents(spark, folder), public_tokenizers.path(PIECE_BPE))
 
 
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_components(documents(spark, folder))
+
+
 def op5_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encoding_digests(documents(spark, folder), public_tokenizers.path(WORD_BPE))
 
@@ -50,7 +55,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_rule_ensemble, op3_token_counts, op5_chunk_bpe, op7_secret_index, op8_decision_lists, op9_binary_records,
+    op1_rule_ensemble, op3_token_counts, op4_ngram_join, op5_chunk_bpe, op7_secret_index, op8_decision_lists, op9_binary_records,
     op10_decontamination,
 )}
 ORACLES: dict[str, str] = {}
