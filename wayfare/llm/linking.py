@@ -20,7 +20,7 @@ def shared_only(signatures: DataFrame) -> DataFrame:
     """The rows ``sig, id`` whose signature two ids or more have, written."""
     met = signatures.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     met = met.where("lo <> hi").select("sig")
-    return materialise(signatures.join(met, "sig", "left_semi"), "shared-signatures")
+    return materialise(signatures.join(met, "sig", "left_semi").distinct(), "shared-signatures")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -11,6 +11,7 @@ from .chunk_bpe import encoding_digests
 from . import decision_lists, rule_ensemble
 from .common import documents, table
 from .decontamination import contamination
+from .line_dedup import line_report
 from .ngram_join import ngram_components
 from .secret_index import find_secrets
 from .token_counts import count_tokens
@@ -23,6 +24,10 @@ def op1_rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
     return rule_ensemble.score_documents(docs, rule_ensemble.learn_from(docs, table(spark, folder, "labels")))
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_report(documents(spark, folder))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(documents(spark, folder), public_tokenizers.path(PIECE_BPE))
 
@@ -55,7 +60,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_rule_ensemble, op3_token_counts, op4_ngram_join, op5_chunk_bpe, op7_secret_index, op8_decision_lists, op9_binary_records,
+    op1_rule_ensemble, op2_line_dedup, op3_token_counts, op4_ngram_join, op5_chunk_bpe, op7_secret_index, op8_decision_lists, op9_binary_records,
     op10_decontamination,
 )}
 ORACLES: dict[str, str] = {}
