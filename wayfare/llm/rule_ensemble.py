@@ -35,18 +35,20 @@ STATISTICS = (
 Rule = tuple[tuple[str, bool, float], ...]
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and :data:`STATISTICS` of each text."""
+def with_statistics(docs: DataFrame, *kept: Column) -> DataFrame:
+    """``doc_id``, :data:`STATISTICS` of each text and the ``kept`` columns."""
+    names = ["doc_id", *[f"kept{i}" for i in range(len(kept))]]
+    kept = [c.alias(n) for c, n in zip(kept, names[1:])]
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), word_statistics(text).alias("w"), line_numbers(text).alias("l"),
         count_of(text, "#*$%&<>").alias("symbols"), count_of(text, "|").alias("bars"),
         count_of(text, "!").alias("shouts"), count_of(text, "A-Z").alias("uppers"),
-        count_of(text, ".").alias("stops"),
-    ).select("doc_id", "w.*", "l.*", "symbols", "bars", "shouts", "uppers", "stops")
+        count_of(text, ".").alias("stops"), *kept,
+    ).select(*names, "w.*", "l.*", "symbols", "bars", "shouts", "uppers", "stops")
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     return base.select(
-        "doc_id", F.col("n_words").cast("double").alias("n_words"), share("word_chars", "n_words").alias("mean_word"),
+        *names, F.col("n_words").cast("double").alias("n_words"), share("word_chars", "n_words").alias("mean_word"),
         share("n_distinct_words", "n_words").alias("distinct_rate"), share("symbols", "n_words").alias("symbol_rate"),
         share("bars", "n_words").alias("bar_rate"), share("shouts", "n_words").alias("shout_rate"),
         share("uppers", "word_chars").alias("upper_rate"), share("stops", "n_words").alias("stop_rate"),
@@ -138,3 +140,9 @@ def score_documents(docs: DataFrame, model: RuleEnsemble, cut: float = 0.3) -> D
     """``doc_id, held_out, score, predicted`` of every row of ``docs``."""
     scored = with_statistics(docs).select("doc_id", model.score().alias("score"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: RuleEnsemble, cut: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score ``cut`` or more, all columns as they were."""
+    scored = with_statistics(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    return scored.where(model.score() >= cut).select("kept0.*")
