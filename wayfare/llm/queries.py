@@ -13,6 +13,7 @@ from .common import documents, table
 from .decontamination import contamination
 from .line_dedup import line_report
 from .ngram_join import ngram_components
+from .pii_crf import find_personal_data, labelled_runs, train
 from .secret_index import find_secrets
 from .token_counts import count_tokens
 
@@ -40,6 +41,11 @@ def op5_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encoding_digests(documents(spark, folder), public_tokenizers.path(WORD_BPE))
 
 
+def op6_pii_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return find_personal_data(docs, train(labelled_runs(docs)))
+
+
 def op7_secret_index(spark: SparkSession, folder: str) -> DataFrame:
     return find_secrets(documents(spark, folder))
 
@@ -60,7 +66,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_rule_ensemble, op2_line_dedup, op3_token_counts, op4_ngram_join, op5_chunk_bpe, op7_secret_index, op8_decision_lists, op9_binary_records,
+    op1_rule_ensemble, op2_line_dedup, op3_token_counts, op4_ngram_join, op5_chunk_bpe, op6_pii_crf, op7_secret_index, op8_decision_lists, op9_binary_records,
     op10_decontamination,
 )}
 ORACLES: dict[str, str] = {}
