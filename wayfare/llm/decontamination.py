@@ -142,4 +142,4 @@ def contamination(
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
     leaked = contamination(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti")
+    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["leaked_id"]), "left_anti")

@@ -210,7 +210,10 @@ def dedup_lines(docs: DataFrame, **rule) -> DataFrame:
     """
     removed = line_report(docs, **rule).where("n_removed > 0").dropDuplicates(["doc_id"])
     removed = removed.select(F.col("doc_id").alias("gone_id"), "removed", F.expr("n_removed = n_lines").alias("empty"))
-    met = docs.join(removed, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    names = [c for c in docs.columns if c != "text"]
+    # Other columns travel as one struct, so that no name can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").alias("text"))
+    met = rows.join(removed, F.col("row.doc_id").eqNullSafe(F.col("gone_id")), "left")
     lines = F.split(F.col("text"), "\n")
 
     def without(gone):
@@ -218,4 +221,4 @@ def dedup_lines(docs: DataFrame, **rule) -> DataFrame:
 
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(without(F.col("removed")), "\n"))
     met = met.where(~F.coalesce("empty", F.lit(False)))
-    return met.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return met.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
