@@ -109,9 +109,10 @@ def test_hot_users_are_cut_the_same_way(spark):
     rows = [(u, rng.randrange(0, 5000), "view", i, "a") for i, u in enumerate(rng.choices([1, 1, 1, 2, 3, None], k=600))]
     events = log(spark, rows)
     plain = sessions.assign_sessions(events).select("seq", "session_id")
-    hot = sessions.SessionRules(hot_floor=50, hot_share=0.0, hot_chunk_seconds=1800)
-    assert sorted(sessions.hot_users(events, hot)) == [1, 2, 3]
-    chunked = sessions.assign_sessions(events, hot).select("seq", "session_id")
+    long = sessions.SessionRules(chunk_seconds=10**9)
+    short = sessions.SessionRules(chunk_seconds=70)
+    assert sessions.assign_sessions(events, long).exceptAll(sessions.assign_sessions(events, short)).isEmpty()
+    chunked = sessions.assign_sessions(events, sessions.SessionRules(chunk_seconds=1800)).select("seq", "session_id")
     assert plain.exceptAll(chunked).count() == 0 and chunked.count() == 600
 
 

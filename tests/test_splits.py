@@ -133,5 +133,5 @@ def test_chunked_running_totals_equal_one_window(spark, descending):
         F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 991).cast("double").alias("v"), (F.col("id") % 2).alias("g")
     ).groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
     one = running_totals(df, "v", ["n"], ["g"], descending=descending)
-    many = running_totals(df, "v", ["n"], ["g"], descending=descending, single_task_rows=0, chunks=16)
+    many = running_totals(df, "v", ["n"], ["g"], descending=descending, rows_per_chunk=20)
     assert one.exceptAll(many).count() == 0 and many.count() == df.count()

@@ -6,8 +6,8 @@ Three devices keep the work spread, whatever the key distribution:
   ties cost nothing;
 * hash order: MD5 text is uniform, so its first three digits cut any group,
   however large, into 4096 even slots whose offsets are a tiny running sum;
-* value order: beyond a checked row count, quantile bounds cut the values into
-  chunks and only the chunk totals are scanned in order.
+* value order: quantile bounds cut the values into chunks, as many as the row
+  count asks for, and only the chunk totals are scanned in order.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 
 from ..session import materialise_counted
 
-#: Rows a single ordered window may hold; larger inputs take the chunked path.
-SINGLE_TASK_ROWS = 1_000_000
+#: Rows that one ordered window holds on average; their number gives the number of chunks.
+ROWS_PER_CHUNK = 1_000_000
 _SLOT_DIGITS = 3
 
 
@@ -94,14 +94,16 @@ def value_chunk(value: Column, bounds: Sequence[float]) -> Column:
 
     A value that holds a large share of rows is a bound, hence alone in its chunk.
     """
-    array = F.array(*[F.lit(float(b)) for b in bounds])
+    array = F.array(*[F.lit(float(b)) for b in bounds]).cast("array<double>")
     return (
         F.size(F.filter(array, lambda b: b < value)) + F.size(F.filter(array, lambda b: b <= value))
     )
 
 
 def chunk_bounds(df: DataFrame, column: str, chunks: int) -> list[float]:
-    """At most ``chunks`` approximate quantiles; read once, used as literals."""
+    """Approximate quantiles that cut a column into ``chunks``; read once, used as literals."""
+    if chunks < 2:
+        return []
     probabilities = [i / chunks for i in range(1, chunks)]
     found = df.select(F.col(column).cast("double").alias("v")).approxQuantile(
         "v", probabilities, 0.25 / chunks
@@ -109,27 +111,40 @@ def chunk_bounds(df: DataFrame, column: str, chunks: int) -> list[float]:
     return sorted(set(found))
 
 
+def value_positions(
+    df: DataFrame, value: str, key: str, seed: int | str, rows: int, name: str = "pos", *,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+) -> DataFrame:
+    """0-based position of each of ``rows`` rows by value, ties by hash of the key, then key.
+
+    A value with many ties is a chunk of its own and is cut further by the hash,
+    so the order does not depend on the chunks.
+    """
+    bounds = chunk_bounds(df, value, -(-rows // rows_per_chunk))
+    tagged = df.withColumns({"_h": keyed_hash(key, seed), "_chunk": value_chunk(F.col(value), bounds)})
+    tagged = tagged.withColumn("_sub", F.when(F.col("_chunk") % 2 == 1, _slot("_h")).otherwise(""))
+    cells = tagged.groupBy("_chunk", "_sub").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_chunk", "_sub").rowsBetween(Window.unboundedPreceding, -1)  # one row per cell
+    cells = cells.select("_chunk", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+    within = Window.partitionBy("_chunk", "_sub").orderBy(value, "_h", key)
+    numbered = tagged.withColumn("_r", F.row_number().over(within) - 1).join(cells, ["_chunk", "_sub"])
+    return numbered.withColumn(name, F.col("_r") + F.col("_skip")).drop("_h", "_chunk", "_sub", "_r", "_skip")
+
+
 def running_totals(
     table: DataFrame, order: str, sums: Sequence[str], groups: Sequence[str] = (), *,
-    descending: bool = False, single_task_rows: int = SINGLE_TASK_ROWS, chunks: int = 256,
+    descending: bool = False, rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Add ``<s>_cum`` for each sum column, in value order within each group.
 
     ``table`` holds one row per (group, value). It is written once; its row
-    count decides between one ordered window and the chunked scan.
+    count gives the number of chunks.
     """
     groups = list(groups)
     table, rows = materialise_counted(table, "totals")
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
 
-    if rows <= single_task_rows:
-        upto = (
-            Window.partitionBy(*groups).orderBy(direction(order))
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return table.select("*", *[F.sum(s).over(upto).alias(f"{s}_cum") for s in sums])
-
-    bounds = chunk_bounds(table, order, chunks)
+    bounds = chunk_bounds(table, order, -(-rows // rows_per_chunk))
     tagged = table.withColumn("_chunk", value_chunk(F.col(order).cast("double"), bounds))
     totals = tagged.groupBy(*groups, "_chunk").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     earlier = _before(groups, [direction("_chunk")])

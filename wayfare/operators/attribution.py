@@ -1,9 +1,9 @@
 """Feature attribution and the tables built on it.
 
 Attributions are long: ``stage``, ``seed``, ``session_id``, ``feature``,
-``value``, ``shap``. The explained rows of a stage are at most ``MAX_EXPLAIN``
-and the background at most ``MAX_BACKGROUND``, so windows over one stage and
-feature are bounded.
+``value``, ``shap``. All validation rows are explained against all train rows
+unless the caller gives a size: what the background contributes is one mean per
+feature, or one count per leaf and pattern of its box.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from math import factorial
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +25,13 @@ from .features import FEATURES, feature_names
 from .models import FittedModel, fit_model
 from .stages import MODEL_STAGES
 
-MAX_EXPLAIN = 5000
-MAX_BACKGROUND = 2000
 CORRELATED = 0.95
 
 
-def hash_sample(rows: DataFrame, limit: int, seed: int | str, key: str = "session_id") -> DataFrame:
-    """At most ``limit`` rows, the first in seeded hash order."""
+def hash_sample(rows: DataFrame, limit: int | None, seed: int | str, key: str = "session_id") -> DataFrame:
+    """At most ``limit`` rows, the first in seeded hash order; all rows without a limit."""
+    if limit is None:
+        return rows
     cut = hash_cut(rows.select(key), key, seed, lambda n: F.least(n, F.lit(int(limit))))
     return rows.crossJoin(F.broadcast(cut)).where(keyed_hash(key, seed) <= F.col("cut")).drop("cut")  # one row
 
@@ -93,25 +94,61 @@ def tree_leaves(model) -> list[tuple[float, dict[int, tuple[float, float]]]]:
     return leaves
 
 
-def leaf_shapley(x: np.ndarray, background: np.ndarray, leaves) -> np.ndarray:
+Patterns = list[list[tuple[tuple[bool, ...], int]]]
+
+
+def box_patterns(background: np.ndarray, leaves) -> Patterns:
+    """Per leaf, how many background rows meet which conditions of its box."""
+    out = []
+    for _, box in leaves:
+        names = list(box)
+        low, high = (np.array([box[f][i] for f in names]) for i in (0, 1))
+        inside = (background[:, names] > low) & (background[:, names] <= high)
+        patterns, counts = np.unique(inside, axis=0, return_counts=True)
+        out.append([(tuple(map(bool, p)), int(n)) for p, n in zip(patterns, counts)])
+    return out
+
+
+def background_patterns(background: DataFrame, leaves) -> Patterns:
+    """As :func:`box_patterns`, over a table of rows ``x``: one sum per leaf and pattern.
+
+    A leaf of depth ``d`` has at most ``2 ** d`` patterns, so the model bounds the result.
+    """
+    def count(batches):
+        for pdf in batches:
+            if len(pdf):
+                found = box_patterns(np.vstack(pdf["x"].to_numpy()), leaves)
+                rows = [(i, sum(bit << k for k, bit in enumerate(p)), n) for i, part in enumerate(found) for p, n in part]
+                yield pd.DataFrame(rows, columns=["leaf", "pattern", "n"])
+
+    table = background.select("x").mapInPandas(count, "leaf int, pattern long, n long")
+    out: Patterns = [[] for _ in leaves]
+    for r in table.groupBy("leaf", "pattern").agg(F.sum("n").alias("n")).orderBy("leaf", "pattern").collect():
+        width = len(leaves[r["leaf"]][1])
+        out[r["leaf"]].append((tuple(bool(r["pattern"] >> k & 1) for k in range(width)), r["n"]))
+    return out
+
+
+def leaf_shapley(x: np.ndarray, background: np.ndarray | Patterns, leaves) -> np.ndarray:
     """Interventional Shapley values of a sum of boxes, averaged over the background.
 
+    ``background`` holds rows, or their counts by :func:`background_patterns`.
     A leaf is reached by a mix of a row and a background row when every feature
     of its box is taken from a side that lies in it. With ``u`` features only
     the row satisfies and ``v`` only the background row does, each of the ``u``
     earns (u-1)! v! / (u+v)! of the leaf, each of the ``v`` loses u! (v-1)! / (u+v)!.
     """
     out = np.zeros(x.shape)
-    for value, box in leaves:
+    known = box_patterns(background, leaves) if isinstance(background, np.ndarray) else background
+    for (value, box), patterns in zip(leaves, known):
         if not box:
             continue
         names = list(box)
         low, high = (np.array([box[f][i] for f in names]) for i in (0, 1))
         in_x = (x[:, names] > low) & (x[:, names] <= high)
-        in_b = (background[:, names] > low) & (background[:, names] <= high)
-        # background rows with the same pattern act alike
-        patterns, counts = np.unique(in_b, axis=0, return_counts=True)
-        for pattern, count in zip(patterns, counts):
+        size = sum(n for _, n in patterns)
+        for pattern, count in patterns:
+            pattern = np.array(pattern)
             live = np.all(in_x | pattern, axis=1)
             if not live.any():
                 continue
@@ -119,7 +156,7 @@ def leaf_shapley(x: np.ndarray, background: np.ndarray, leaves) -> np.ndarray:
             u, v = only_x.sum(axis=1), only_b.sum(axis=1)
             gain = _SHARE[np.maximum(u - 1, 0), v] * (u > 0)
             loss = _SHARE[u, np.maximum(v - 1, 0)] * (v > 0)
-            weight = value * count / len(background)
+            weight = value * count / size
             block = only_x * (weight * gain)[:, None] - only_b * (weight * loss)[:, None]
             out[np.ix_(np.flatnonzero(live), names)] += block
     return out
@@ -129,21 +166,24 @@ _SIZE = 32
 _SHARE = np.array([[factorial(a) * factorial(b) / factorial(a + b + 1) for b in range(_SIZE)] for a in range(_SIZE)])
 
 
-def tree_attribution(rows: DataFrame, background: np.ndarray, model, names: Sequence[str], *, keys: Sequence[str]) -> DataFrame:
+def tree_attribution(rows: DataFrame, background: DataFrame, model, names: Sequence[str], *, keys: Sequence[str]) -> DataFrame:
     """Shapley values of a tree ensemble for rows that hold a model-space array ``x``.
 
-    Trees and background are bounded (see ``tree_leaves`` and MAX_BACKGROUND);
-    rows are explained batch by batch in parallel.
+    ``background`` holds rows ``x`` too; only its counts per leaf and pattern
+    travel, as a broadcast that the model bounds (see :func:`tree_leaves`).
     """
-    leaves, names, keys = tree_leaves(model), list(names), list(keys)
+    names, keys = list(names), list(keys)
+    leaves = tree_leaves(model)
+    known = rows.sparkSession.sparkContext.broadcast((leaves, background_patterns(background, leaves)))
     kinds = dict(rows.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["x array<double>", "phi array<double>"])
 
     def explain(batches):
+        leaves, patterns = known.value
         for pdf in batches:
             if len(pdf):
                 x = np.vstack(pdf["x"].to_numpy())
-                yield pdf[[*keys, "x"]].assign(phi=list(leaf_shapley(x, background, leaves)))
+                yield pdf[[*keys, "x"]].assign(phi=list(leaf_shapley(x, patterns, leaves)))
 
     spread = rows.select(*keys, "x").repartition(rows.sparkSession.sparkContext.defaultParallelism * 2, *keys)
     return spread.mapInPandas(explain, schema)
@@ -156,23 +196,22 @@ def to_long(arrays: DataFrame, names: Sequence[str], keys: Sequence[str]) -> Dat
 
 
 def stage_attribution(
-    fitted: FittedModel, explain: DataFrame, background: DataFrame, *, background_size: int = MAX_BACKGROUND,
+    fitted: FittedModel, explain: DataFrame, background: DataFrame, *, background_size: int | None = None,
     seed: int = 42, keys: Sequence[str] = ("session_id",),
 ) -> DataFrame:
     """Interventional Shapley values of a fitted stage model, as (keys, x, phi)."""
-    size = min(background_size, MAX_BACKGROUND)
     prepared = fitted.preprocessor
     keys = list(keys)
     x = prepared.transform(explain).select(*keys, vector_to_array("features").alias("x"))
-    chosen = prepared.transform(hash_sample(background, size, seed)).select(vector_to_array("features").alias("x"))
-    rows = np.array([r["x"] for r in chosen.collect()], float)  # at most MAX_BACKGROUND rows
+    chosen = prepared.transform(hash_sample(background, background_size, seed)).select(vector_to_array("features").alias("x"))
     if fitted.kind == "logreg":
-        w, mean = fitted.estimator.coefficients.toArray(), rows.mean(axis=0)
+        w = fitted.estimator.coefficients.toArray()
+        mean = chosen.agg(*[F.avg(F.col("x")[i]) for i in range(len(w))]).first()
         phi = F.zip_with(
             F.zip_with("x", F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b),
             F.array(*[F.lit(float(c)) for c in w]), lambda d, c: d * c)
         return x.withColumn("phi", phi)
-    return tree_attribution(x, rows, fitted.estimator, prepared.names, keys=keys)
+    return tree_attribution(x, chosen, fitted.estimator, prepared.names, keys=keys)
 
 
 class Explanation:
@@ -194,9 +233,9 @@ class Explanation:
 def explain_stages(
     features: DataFrame, split: DataFrame, *, stages: Sequence[str] = MODEL_STAGES, model: str = "gbt",
     seed: int = 42, params: dict | None = None, imbalance: str = "class_weight",
-    background_size: int = MAX_BACKGROUND, max_explain: int = MAX_EXPLAIN,
+    background_size: int | None = None, max_explain: int | None = None,
 ) -> dict[str, Explanation]:
-    """Fit one model per stage on train and explain a bounded sample of validation rows."""
+    """Fit one model per stage on train and explain its validation rows."""
     out = {}
     for stage in stages:
         rows = features.where(F.col("stage") == stage).join(
@@ -210,14 +249,14 @@ def explain_stages(
 
 
 def explain_rows(rows: DataFrame, columns: Sequence[str], *, stage: str, model: str = "gbt", seed: int = 42,
-                 params=None, imbalance="class_weight", background_size=MAX_BACKGROUND,
-                 max_explain=MAX_EXPLAIN) -> Explanation | None:
+                 params=None, imbalance="class_weight", background_size: int | None = None,
+                 max_explain: int | None = None) -> Explanation | None:
     """Fit on the train rows of one table and explain its validation rows."""
     train, val = (rows.where(F.col("partition") == p) for p in ("train", "val"))
     if train.isEmpty() or val.isEmpty():
         return None
     fitted = fit_model(train, model, columns, seed=seed, params=params, imbalance=imbalance)
-    chosen = hash_sample(val, min(max_explain, MAX_EXPLAIN), seed)
+    chosen = hash_sample(val, max_explain, seed)
     arrays = stage_attribution(fitted, chosen, train, background_size=background_size, seed=seed)
     return Explanation(stage, seed, fitted, train, materialise(arrays, "attribution"))
 

@@ -79,13 +79,13 @@ def flow_table(raw: DataFrame, stats: DataFrame, caps: tuple[int, int], *, gap_m
     none = F.lit(None).cast("bigint")
     text = F.lit
     steps = [
-        (1, "raw events", text("as delivered by the source"), "e1", none),
-        (2, "schema-valid events", text("critical fields present, known event type"), "e2", none),
-        (3, "deduplicated events", text("one row per user, time, type and product"), "e3", none),
-        (4, "sessionised", text(f"inactivity gap = {gap_minutes} min"), "e3", F.col("s4")),
-        (5, "length-filtered sessions",
-         text(f">= {min_events} events and <= p{percentile * 100:g} on length "
-              f"({caps[0]} events) and duration ({caps[1]} s)"), "e5", F.col("s5")),
+        (1, "read", text("all rows of the log"), "e1", none),
+        (2, "valid", text("required columns filled, type among the known ones"), "e2", none),
+        (3, "distinct", text("first of the rows that agree in user, time, type and product"), "e3", none),
+        (4, "in sessions", text(f"a new session after {gap_minutes} idle minutes"), "e3", F.col("s4")),
+        (5, "in kept sessions",
+         text(f"at least {min_events} events; at most {caps[0]} events and {caps[1]} seconds, "
+              f"the {percentile:g} quantiles"), "e5", F.col("s5")),
     ]
     rows = F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(name).alias("step"), rule.alias("rule"),

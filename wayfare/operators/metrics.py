@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import pr_gain, pr_lift, ratio
-from ..functions.ranks import SINGLE_TASK_ROWS, running_totals
+from ..functions.ranks import ROWS_PER_CHUNK, running_totals
 
 
 def join_runs(df: DataFrame, per_run: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -27,14 +27,14 @@ def join_runs(df: DataFrame, per_run: DataFrame, groups: Sequence[str]) -> DataF
 
 
 def threshold_counts(
-    scores: DataFrame, groups: Sequence[str] = (), *, single_task_rows: int = SINGLE_TASK_ROWS
+    scores: DataFrame, groups: Sequence[str] = (), *, rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> DataFrame:
     """Per distinct score, descending: positives, negatives and running TP and FP."""
     groups = list(groups)
     counts = scores.groupBy(*groups, "score").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     running = running_totals(
-        counts, "score", ["pos", "neg"], groups, descending=True, single_task_rows=single_task_rows)
+        counts, "score", ["pos", "neg"], groups, descending=True, rows_per_chunk=rows_per_chunk)
     running = running.withColumnsRenamed({"pos_cum": "tp", "neg_cum": "fp"})
     totals = running.groupBy(*groups).agg(F.max("tp").alias("n_pos"), F.max("fp").alias("n_neg"))
     return join_runs(running, totals, groups)
@@ -161,24 +161,16 @@ def ece(
 
 def select_threshold(
     counts: DataFrame, groups: Sequence[str] = (), *, objective: str = "f1", cost_fp: float = 1.0,
-    cost_fn: float = 1.0, max_candidates: int = 512,
+    cost_fn: float = 1.0,
 ) -> DataFrame:
     """Best threshold per run; the lowest wins ties.
 
-    Candidates are the distinct scores, or 512 quantiles from 0.001 to 0.999
-    when there are more.
+    Every distinct score is a candidate: the running counts give all of them at once.
     """
     groups = list(groups)
     if objective not in ("f1", "cost"):
         raise ValueError(f"unknown objective {objective!r}")
-    sizes = counts.groupBy(*groups).agg(F.count(F.lit(1)).alias("_distinct"))
-    sized = join_runs(counts, sizes, groups)
-    columns = [*groups, "threshold", "tp", "fp", "n_pos", "n_neg"]
-    few = sized.where(F.col("_distinct") <= max_candidates).withColumnRenamed("score", "threshold")
-    many = sized.where(F.col("_distinct") > max_candidates)
-    spaced = score_quantiles(many, groups, 0.001, 0.999, max_candidates)
-    candidates = few.select(columns).unionByName(
-        spaced.withColumnRenamed("q_value", "threshold").select(columns))
+    candidates = counts.withColumnRenamed("score", "threshold")
     tp, fp = F.col("tp"), F.col("fp")
     fn = F.col("n_pos") - tp
     if objective == "f1":

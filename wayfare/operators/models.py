@@ -37,7 +37,7 @@ def build_model(model_type: str, *, seed: int, params: dict | None = None, weigh
             standardization=False)
     elif model_type == "random_forest":
         model = RandomForestClassifier(
-            numTrees=p.pop("n_estimators", 500), maxDepth=p.pop("max_depth", 12),
+            numTrees=p.pop("n_estimators", 500), maxDepth=p.pop("max_depth", 30),
             minInstancesPerNode=p.pop("min_samples_leaf", 5), seed=seed,
             featureSubsetStrategy=str(p.pop("max_features", "auto")))
     elif model_type in BOOSTED:

@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.ranks import (
-    SINGLE_TASK_ROWS,
-    chunk_bounds,
+    ROWS_PER_CHUNK,
     hash_rank,
-    keyed_hash,
     running_totals,
-    value_chunk,
+    value_positions,
 )
 from ..session import materialise_counted
 
@@ -177,7 +175,8 @@ def with_class_weight(rows: DataFrame, label: str = "y", name: str = "weight") -
 
 
 def near_rows(
-    rows: DataFrame, k: int, *, key: str, features: str, seed: int, projections: int = 3, reach: int | None = None
+    rows: DataFrame, k: int, *, key: str, features: str, seed: int, projections: int = 3, reach: int | None = None,
+    rows_per_chunk: int = ROWS_PER_CHUNK, width: int = 100_000,
 ) -> DataFrame:
     """Add ``near``: the ``k`` closest rows among neighbours along random projections.
 
@@ -186,6 +185,7 @@ def near_rows(
     form no group. The neighbours are approximate.
     """
     reach = reach or 2 * k
+    width = max(width, 2 * reach)
     size = F.size(features)
     table, n = materialise_counted(rows.select(key, features), "minority")
     near = table.withColumn("_c", F.array().cast(f"array<struct<k:{dict(rows.dtypes)[key]},x:array<double>>>"))
@@ -197,17 +197,15 @@ def near_rows(
                 F.pmod(F.xxhash64(i, F.lit(f"{seed}|{p}")), F.lit(2001)) / 1000.0 - 1.0)),
             F.lit(0.0), lambda acc, v: acc + v)
         near = near.withColumn("_p", along)
-        if n > SINGLE_TASK_ROWS:
-            bounds = chunk_bounds(near, "_p", min(4096, n // SINGLE_TASK_ROWS * 4 + 2))
-            # equal projections spread by hash, so that no chunk holds a large tie
-            spread = F.when(value_chunk(F.col("_p"), bounds) % 2 == 1, F.substring(keyed_hash(key, seed), 1, 2))
-            near = near.withColumns({"_chunk": value_chunk(F.col("_p"), bounds), "_sub": F.coalesce(spread, F.lit(""))})
-        else:
-            near = near.withColumns({"_chunk": F.lit(0), "_sub": F.lit("")})
-        w = Window.partitionBy("_chunk", "_sub").orderBy("_p", key)
+        placed = value_positions(near, "_p", key, seed, n, rows_per_chunk=rows_per_chunk)
+        # Blocks of neighbouring positions, each with the rows next to it on either side.
+        block, at = F.floor(F.col("pos") / width), F.col("pos") % width
+        placed = placed.withColumn("_block", F.explode(F.array_compact(F.array(
+            block, F.when(at < reach, block - 1), F.when(at >= width - reach, block + 1)))))
+        w = Window.partitionBy("_block").orderBy("pos")
         around = F.concat(
             F.collect_list(me).over(w.rowsBetween(-reach, -1)), F.collect_list(me).over(w.rowsBetween(1, reach)))
-        near = near.withColumn("_c", F.concat("_c", around)).drop("_p", "_chunk", "_sub")
+        near = placed.withColumn("_c", F.concat("_c", around)).where(F.col("_block") == block).drop("_p", "pos", "_block")
 
     def gap(c):
         return F.aggregate(F.zip_with(c["x"], F.col(features), lambda a, b: (a - b) * (a - b)), F.lit(0.0),

@@ -1,8 +1,7 @@
 """Checks of attributions: faithfulness, replacement curves, stability, consistency.
 
-Explained rows are arrays (``x``, ``phi``) in model space and at most
-``MAX_EXPLAIN`` per stage; background rows are numbered and at most
-``MAX_BACKGROUND``. ``predict`` adds a column ``p`` to rows with an array
+Explained rows are arrays (``x``, ``phi``) in model space; background rows are
+numbered in hash order, and a draw picks one by number. ``predict`` adds a column ``p`` to rows with an array
 ``x``. Random choices are hashes of the row key and the draw number.
 """
 
@@ -15,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import correlation
-from .attribution import MAX_BACKGROUND, _midranks
+from ..functions.ranks import hash_rank
+from .attribution import _midranks
 
 FAITHFUL = 0.5
 AGREEING = 0.6
@@ -40,17 +40,15 @@ def _bits(*parts) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def numbered_background(background: DataFrame, key: str = "session_id", limit: int = MAX_BACKGROUND) -> DataFrame:
-    """Background rows as (no, b); the caller passes a sample of at most ``limit`` rows."""
-    w = Window.orderBy(key)  # at most MAX_BACKGROUND rows
-    return background.select((F.row_number().over(w) - 1).alias("no"), F.col("x").alias("b")).where(
-        F.col("no") < limit)
+def numbered_background(background: DataFrame, key: str = "session_id") -> DataFrame:
+    """Background rows as (no, b), numbered from 0 in hash order of the key, slot by slot."""
+    return hash_rank(background, key, "bg").select((F.col("rank") - 1).alias("no"), F.col("x").alias("b"))
 
 
 def _with_background(rows: DataFrame, background: DataFrame, pick: Column) -> DataFrame:
     size = background.agg(F.count(F.lit(1)).alias("_size"))
     return rows.crossJoin(F.broadcast(size)).withColumn("no", F.pmod(pick, F.col("_size"))).join(
-        F.broadcast(background), "no").drop("no", "_size")
+        background, "no").drop("no", "_size")
 
 
 def _hash_order(key: Column, *parts) -> Column:

@@ -20,8 +20,6 @@ from .model_queries import SMALL
 from .registry import query, r, rnd, rounded
 from .sql_text import cte
 
-BACKGROUND = 200
-
 
 def unit(name: str) -> float:
     return 1e-5 if name.endswith("_s") else 0.01 if name in ("price_mean", "price_max", "hour_of_day") else 0.2
@@ -40,7 +38,7 @@ def _parts(a: Artefacts, stage: str, table=None):
     columns = ["session_id", *feature_names("S3" if stage == "W" else stage)]
     train = rows.where(F.col("partition") == "train").select(columns)
     val = rows.where(F.col("partition") == "val").select(columns)
-    return at.hash_sample(val, at.MAX_EXPLAIN, 42), at.hash_sample(train, BACKGROUND, "bg")
+    return val, train
 
 
 def attributions(a: Artefacts):
@@ -85,10 +83,9 @@ cte("a_cells", f"""
     SELECT session_id, stage, feature, v FROM (
       UNPIVOT (SELECT session_id, stage, {_COLS} FROM j_feats) ON {_COLS} INTO NAME feature VALUE v)
     WHERE NOT (stage = 'S1' AND feature IN {_in(_LATER)})""")
-cte("a_back", f"""
+cte("a_back", """
     SELECT f.session_id, stage FROM j_feats f JOIN j_split p ON f.session_id = p.session_id
-    WHERE "partition" = 'train'
-    QUALIFY row_number() OVER (PARTITION BY stage ORDER BY md5(f.session_id || '|bg')) <= {BACKGROUND}""")
+    WHERE "partition" = 'train'""")
 cte("a_means", """
     SELECT c.stage, feature, avg(v) AS mean FROM a_cells c JOIN a_back b ON c.stage = b.stage AND c.session_id = b.session_id
     GROUP BY 1, 2""")
@@ -218,9 +215,8 @@ def _(a: Artefacts):
 # whole sessions ---------------------------------------------------------------------
 cte("b_cells", f"""
     UNPIVOT (SELECT session_id, {_COLS} FROM k_feats) ON {_COLS} INTO NAME feature VALUE v""")
-cte("b_back", f"""
-    SELECT f.session_id FROM k_feats f JOIN j_split p ON f.session_id = p.session_id WHERE "partition" = 'train'
-    QUALIFY row_number() OVER (ORDER BY md5(f.session_id || '|bg')) <= {BACKGROUND}""")
+cte("b_back", """
+    SELECT f.session_id FROM k_feats f JOIN j_split p ON f.session_id = p.session_id WHERE "partition" = 'train'""")
 cte("b_means", "SELECT feature, avg(v) AS mean FROM b_cells WHERE session_id IN (SELECT session_id FROM b_back) GROUP BY 1")
 cte("b_imp", f"""
     SELECT c.feature, avg(abs({_WEIGHT.replace('feature', 'c.feature').replace('seed', '42')} * (v - mean))) AS m
@@ -267,7 +263,7 @@ def _(a: Artefacts):
     table = whole_session_features(a.sessions, exclude_purchase=True).join(
         a.split.select("session_id", "partition"), "session_id").withColumn("y", F.col("label").cast("int"))
     rows = materialise(table, "whole_rows")
-    found = at.explain_rows(rows, feature_names("S3"), stage="W", model="gbt", params=SMALL["gbt"], background_size=100)
+    found = at.explain_rows(rows, feature_names("S3"), stage="W", model="gbt", params=SMALL["gbt"])
     test = found.fitted.score(rows.where(F.col("partition") == "test")).select("y", "score")
     scored = ranking_metrics(threshold_counts(test)).select("n", "prevalence", "pr_auc", "roc_auc")
     shares = at.aggregate_shares(at.global_importance(found.long()).select("feature", "share"), reference(a))
@@ -298,8 +294,7 @@ def _(a: Artefacts):
 @query("permutation_null")
 def _(a: Artefacts):
     observed, nulls = at.permutation_null(
-        a.features, a.split, stages=("S1",), n_rounds=2, model="gbt", params=SMALL["gbt"],
-        background_size=50, max_explain=at.MAX_EXPLAIN)
+        a.features, a.split, model="logreg")
     return at.null_table(observed, nulls)
 
 
@@ -307,7 +302,7 @@ def explanations(a: Artefacts, seed: int = 42):
     key = (a.spark.sparkContext.applicationId, a.folder, seed)
     if key not in _EXPLAINED:
         _EXPLAINED[key] = at.explain_stages(
-            a.features, a.split, model="gbt", seed=seed, params=SMALL["gbt"], background_size=100)
+            a.features, a.split, model="gbt", seed=seed, params=SMALL["gbt"])
     return _EXPLAINED[key]
 
 
@@ -395,7 +390,7 @@ cte("q_cells", """
       %s AS w FROM a_cells c""" % (_NAMES, _WEIGHT.replace("seed", "42")))
 cte("q_back", """
     SELECT b.stage, no, i, v FROM q_cells c JOIN (SELECT stage, session_id,
-      row_number() OVER (PARTITION BY stage ORDER BY session_id) - 1 AS no FROM a_back) b
+      row_number() OVER (PARTITION BY stage ORDER BY md5(session_id || '|bg'), session_id) - 1 AS no FROM a_back) b
     ON c.stage = b.stage AND c.session_id = b.session_id""")
 cte("q_size", "SELECT stage, max(no) + 1 AS size FROM q_back GROUP BY 1")
 cte("q_rows", """
@@ -535,12 +530,11 @@ def _(a: Artefacts):
     out = None
     for stage, e in explanations(a).items():
         rows = e.arrays.withColumn("stage", F.lit(stage))
-        chosen = at.hash_sample(e.background, 100, 42)
-        x = e.fitted.preprocessor.transform(chosen)
+        x = e.fitted.preprocessor.transform(e.background)
         back = materialise(quality.numbered_background(
             x.select("session_id", vector_to_array("features").alias("x"))), "back")
         predict = lambda df, e=e: e.fitted.score_matrix(df, "x", "p")
-        part = quality.faithfulness(rows, back, predict, n_subsets=10)
+        part = quality.faithfulness(rows, back, predict)
         for name, curve in (("deletion", quality.deletion_curve), ("insertion", quality.insertion_curve)):
             found = curve(rows, back, predict).select(
                 "stage", F.col("auc").alias(f"{name}_auc"), F.col("monotone").alias(f"{name}_monotone"))
@@ -576,7 +570,7 @@ def _(a: Artefacts):
 
 def sequence_rows(a: Artefacts):
     return a.table("sequences", lambda: sequences.build_sequences(
-        stage_prefixes(a.sessions), keys=("stage", "session_id"), max_len=8).join(
+        stage_prefixes(a.sessions), keys=("stage", "session_id")).join(
         a.split.select("session_id", "partition"), "session_id"))
 
 
@@ -585,7 +579,7 @@ def sequence_models(a: Artefacts):
     if key not in _SEQUENCE:
         rows = sequence_rows(a)
         _SEQUENCE[key] = {
-            s: sequences.fit_sequences(rows.where((F.col("stage") == s) & (F.col("partition") == "train")), max_iter=15)
+            s: sequences.fit_sequences(rows.where((F.col("stage") == s) & (F.col("partition") == "train")))
             for s in MODEL_STAGES}
     return _SEQUENCE[key]
 
@@ -609,7 +603,7 @@ def sequence_attribution(a: Artefacts, per_row: bool):
         for s, model in sequence_models(a).items():
             rows = sequence_rows(a).where((F.col("stage") == s) & (F.col("partition") == "val"))
             part = sequences.permutation_attribution(
-                at.hash_sample(rows, at.MAX_EXPLAIN, 42), model.predict, n_repeats=3, per_row=per_row)
+                rows, model.predict, per_row=per_row)
             out = part if out is None else out.unionByName(part)
         return out
 

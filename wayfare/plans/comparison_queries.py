@@ -209,9 +209,9 @@ def _(a: Artefacts):
 
 
 def cohort_scores(a: Artefacts):
-    """Scores of the sessions that reach every stage, on all partitions."""
+    """Test scores of the sessions that reach every stage."""
     cohort = common_cohort(a.features)
-    return a.scores.where(F.col("feature_set") == "full").join(cohort, "session_id", "left_semi")
+    return a.test_scores.where(F.col("feature_set") == "full").join(cohort, "session_id", "left_semi")
 
 
 @query("cohort_bootstrap")

@@ -147,16 +147,16 @@ def _(a: Artefacts):
       coalesce(lag(n_events) OVER (ORDER BY position) - n_events, 0) AS events_removed,
       lag(n_sessions) OVER (ORDER BY position) - n_sessions AS sessions_removed
     FROM (
-      SELECT 1 AS position, 'raw events' AS step, 'as delivered by the source' AS rule,
+      SELECT 1 AS position, 'read' AS step, 'all rows of the log' AS rule,
         count(*) AS n_events, CAST(NULL AS BIGINT) AS n_sessions FROM j_events UNION ALL
-      SELECT 2, 'schema-valid events', 'critical fields present, known event type', count(*), NULL
+      SELECT 2, 'valid', 'required columns filled, type among the known ones', count(*), NULL
         FROM j_valid UNION ALL
-      SELECT 3, 'deduplicated events', 'one row per user, time, type and product', count(*), NULL
+      SELECT 3, 'distinct', 'first of the rows that agree in user, time, type and product', count(*), NULL
         FROM j_clean UNION ALL
-      SELECT 4, 'sessionised', 'inactivity gap = 1440 min', count(*), count(DISTINCT session_id)
+      SELECT 4, 'in sessions', 'a new session after 1440 idle minutes', count(*), count(DISTINCT session_id)
         FROM j_assigned UNION ALL
-      SELECT 5, 'length-filtered sessions', '>= 2 events and <= p99.5 on length (' || max(cap_events)
-        || ' events) and duration (' || max(cap_duration_s) || ' s)', count(*),
+      SELECT 5, 'in kept sessions', 'at least 2 events; at most ' || max(cap_events)
+        || ' events and ' || max(cap_duration_s) || ' seconds, the 0.995 quantiles', count(*),
         count(DISTINCT session_id) FROM j_sessions, j_caps)""")
 def _(a: Artefacts):
     return cleaning.flow_table(

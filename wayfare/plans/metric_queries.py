@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import adjust_prior, pr_gain, pr_lift
 from ..operators import decisions, metrics
+from ..operators.splits import common_cohort
 from .artefacts import RUN, Artefacts
 from .registry import query, r, rnd, rounded
 from .sql_text import cte
@@ -168,13 +169,27 @@ def _(a: Artefacts):
     return rounded(decisions.ablation_table(a.results))
 
 
+cte("m_cohort_counts", f"""
+    SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER g AS n_pos, sum(neg) OVER g AS n_neg
+    FROM (SELECT {_RUN}, score, sum(y) AS pos, sum(1 - y) AS neg FROM j_test WHERE feature_set = 'full'
+      AND session_id IN (SELECT session_id FROM j_feats GROUP BY 1 HAVING count(*) = 3) GROUP BY ALL)
+    WINDOW g AS (PARTITION BY {_RUN}), w AS (PARTITION BY {_RUN} ORDER BY score DESC)""")
+cte("m_cohort_results", f"""
+    SELECT *, pr_auc / nullif(prevalence, 0) AS pr_auc_lift FROM (
+      SELECT {_RUN}, CAST(n_pos + n_neg AS BIGINT) AS n, CAST(n_pos AS DOUBLE) / (n_pos + n_neg) AS prevalence,
+        coalesce(sum(pos * CAST(tp AS DOUBLE) / (tp + fp)) / nullif(n_pos, 0), 0) AS pr_auc,
+        CASE WHEN n_pos * n_neg > 0 THEN CAST(sum(neg * (tp - pos + pos / 2)) AS DOUBLE) / CAST(n_pos * n_neg AS DOUBLE) END AS roc_auc
+      FROM m_cohort_counts GROUP BY {_RUN}, n_pos, n_neg)""")
+
+
 @query("cohort_table", f"""
     SELECT stage, min(n) AS n_eval, {rnd('min(prevalence)')} AS prevalence,
       {_mean_sd('pr_auc', 'pr_auc_mean', 'pr_auc_sd')}, {_mean_sd('roc_auc', 'roc_auc_mean', 'roc_auc_sd')},
       {_mean_sd('pr_auc_lift', 'lift_mean', 'lift_sd')}, count(*) AS n_seeds
-    FROM m_results WHERE feature_set = 'full' GROUP BY 1""")
+    FROM m_cohort_results GROUP BY 1""")
 def _(a: Artefacts):
-    return rounded(decisions.cohort_table(a.results.where(F.col("feature_set") == "full")))
+    cohort = a.test_scores.where(F.col("feature_set") == "full").join(common_cohort(a.features), "session_id", "left_semi")
+    return rounded(decisions.cohort_table(metrics.ranking_metrics(metrics.threshold_counts(cohort, RUN), RUN)))
 
 
 @query("stage_performance", f"""
