@@ -399,7 +399,7 @@ def static_contrast(migration: DataFrame, stages: Sequence[str] = MODEL_STAGES)
         "group", "static_share", (F.col("peak_share") - F.col("_low")).alias("range_share"),
         F.col("_p.stage").alias("peak_stage"), "peak_share", F.col("_t.stage").alias("trough_stage"),
         (inner(-F.col("_p.o")) | inner(F.col("_t.o"))).alias("non_monotone"),
-        (F.col("peak_share") - F.col("static_share")).alias("static_understates_peak_by"), "n_stages")
+        (F.col("peak_share") - F.col("static_share")).alias("static_understates_peak_by"), "n_stages").orderBy(F.desc("range_share"), "group")
 
 
 def aggregate_shares(shares: DataFrame, groups: DataFrame, *, check: bool = True) -> DataFrame:
@@ -426,6 +426,7 @@ def contrast_table(importance: DataFrame, whole: DataFrame, stages: Sequence[str
         .select("group", *[F.col(s).alias(f"share_{s}") for s in stages], peak.alias("stage_peak"),
                 at.alias("stage_peak_at"), "whole_session_share",
                 (peak - F.col("whole_session_share")).alias("flattening"))
+        .orderBy(F.desc("flattening"), "group")
     )
 
 

@@ -31,8 +31,8 @@ def _csv_schema(columns, known):
 def scan_events(spark: SparkSession, path: str) -> DataFrame:
     """Event files with an explicit source order in ``seq``.
 
-    Parquet keeps ``(file, row)``; CSV rows are numbered in split order, which
-    is stable for the same files.
+    Parquet keeps ``(file, row)``; CSV rows keep file, start of their split and
+    place in it, which sort by file and position however files are split.
     """
     if path.endswith((".csv", ".csv.gz", ".csv/")):
         columns = _csv_columns(spark, path)
@@ -42,7 +42,9 @@ def scan_events(spark: SparkSession, path: str) -> DataFrame:
             .schema(_csv_schema(columns, EVENT_SCHEMA))
             .csv(path)
         )
-        return events.withColumn("seq", F.monotonically_increasing_id())
+        return events.select("*", F.struct(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("row")).alias("seq"))
     events = spark.read.parquet(path)
     validate_columns(events.columns)
     if "seq" in events.columns:
