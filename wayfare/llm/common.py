@@ -106,7 +106,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             both.join(low, "u").where("v > u")
             .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         )
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u")
         small = (

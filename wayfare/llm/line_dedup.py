@@ -181,7 +181,9 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int
     signed = signed.where("l.key is not null")
     rows = shared_only(signed.select(F.explode("l.bands").alias("sig"), F.col("l.key").alias("id")))
     texts = materialise(_line_texts(docs, rows.select("id").distinct(), least_words), "candidate-lines")
-    linked = link(rows, lambda pairs: _verified(pairs, texts, similarity))
+    # Sizes of lines are not known as sets here, so none is ruled out by them.
+    rows = rows.withColumn("n", F.lit(1))
+    linked = link(rows, lambda pairs: _verified(pairs, texts, similarity), 0)
     spots = described.select("doc_id", F.explode(F.arrays_zip("no", "key")).alias("l"))
     first = spots.groupBy(F.col("l.key").alias("id")).agg(F.min(F.struct("doc_id", "l.no", "l.key")).alias("spot"))
     first = first.join(linked.select("id", "component"), "id", "left")

@@ -5,6 +5,8 @@ compared with one of them only, its pivot; what links becomes components, and th
 another pivot and compares just the items of other components with it. A group of copies thus costs a
 few comparisons per member. In the end all pairs of items that share a signature but not a component
 are compared, so no link between components is lost; the rounds before make these few.
+
+The number of rounds only decides which comparisons are spared, never the result.
 """
 
 from __future__ import annotations
@@ -32,34 +34,53 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return known.join(open_sigs.select("sig"), "sig", "left_semi")
 
 
-def link(rows: DataFrame, verify, rounds: int = 3) -> DataFrame:
+def _pairs_left(open_rows: DataFrame) -> tuple[int, int]:
+    """Rows, and pairs of rows that share a signature but not a component."""
+    held = open_rows.groupBy("sig", "comp").agg(F.count("*").alias("n"))
+    held = held.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("own"))
+    rows, pairs = held.agg(F.sum("n"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2)).first()
+    return rows or 0, pairs or 0
+
+
+def link(rows: DataFrame, verify, percent: int, rounds: int = 6, spare: int = 4) -> DataFrame:
     """``id, component, n_links`` of all ids that link to another.
 
-    ``rows``: ``sig, id`` as of :func:`shared_only`. ``verify(pairs)`` gets distinct pairs ``a < b``
-    and returns those that link. ``n_links`` counts the links that were needed and found.
+    ``rows``: ``sig, id`` as of :func:`shared_only`, and a size ``n`` of the item; items whose sizes
+    differ by more than ``percent`` allows cannot link. ``verify(pairs)`` gets distinct pairs
+    ``a < b`` and returns those that link. Rounds of pivots end after ``rounds``, or as soon as all pairs
+    between components are at most ``spare`` for each row; then those pairs are compared, which is
+    the last round. ``n_links`` counts the links that were needed and found.
     """
     spark, links, labels = rows.sparkSession, None, None
+
+    def likely(x: str, y: str) -> str:
+        return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
+
     for turn in range(rounds + 1):
-        open_rows = _labelled(rows, labels)
+        open_rows, last = _labelled(rows, labels), turn == rounds
         if turn:
             open_rows = materialise(open_rows, "open-signatures")
-            if not open_rows.head(1):
+            n, left = _pairs_left(open_rows)
+            if not left:
                 break
-        if turn < rounds:
-            key = F.struct(F.xxhash64("id", F.lit(turn)), "id", "comp") if turn else F.struct(F.lit(0), "id", "comp")
+            last = last or left <= spare * n
+        if not last:
+            key = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0), "id", "comp", "n")
             pivots = open_rows.groupBy("sig").agg(F.min(key).alias("p")).select(
-                "sig", F.col("p.id").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
-            met = open_rows.join(pivots, "sig").where("comp <> pivot_comp")
+                "sig", F.col("p.id").alias("pivot"), F.col("p.comp").alias("pivot_comp"), F.col("p.n").alias("pivot_n"))
+            met = open_rows.join(pivots, "sig").where("comp <> pivot_comp").where(likely("n", "pivot_n"))
             pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         else:
-            other = open_rows.select("sig", F.col("id").alias("b"), F.col("comp").alias("other_comp"))
-            met = open_rows.withColumnRenamed("id", "a").join(other, "sig").where("a < b and comp <> other_comp")
+            other = open_rows.select("sig", F.col("id").alias("b"), F.col("comp").alias("other_comp"), F.col("n").alias("other_n"))
+            met = open_rows.withColumnRenamed("id", "a").join(other, "sig")
+            met = met.where("a < b and comp <> other_comp").where(likely("n", "other_n"))
             pairs = met.select("a", "b").distinct()
-        found = materialise(verify(materialise(pairs, "candidate-pairs")), "links")
-        if not found.head(1):
-            continue
-        links = found if links is None else links.unionByName(found)
-        labels = materialise(components(links), "labels")
+        found = materialise(verify(pairs), "links")
+        if found.head(1):
+            links = found if links is None else links.unionByName(found)
+            labels = materialise(components(links), "labels")
+        if last:
+            break
     if labels is None:
         return spark.createDataFrame([], rows.select("id", F.col("id").alias("component"), F.lit(0).cast("long").alias("n_links")).schema)
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
