@@ -83,14 +83,16 @@ def bands(lines: list[str]) -> np.ndarray:
     least = least.reshape(len(lines), _BINS)
     own = least < _EMPTY
     made, have = least.copy(), own.copy()
-    turn = 0
-    while not have.all() and turn < 8 * _BINS:
+    turn, open_rows = 0, np.flatnonzero(~own.all(axis=1))
+    while len(open_rows) and turn < 8 * _BINS:
         turn += 1
         # The same bin asks the same bins in the same order, in every line.
         source = np.array([xxhash.xxh3_64_intdigest(bytes([b, turn % 256, turn // 256])) % _BINS for b in range(_BINS)])
-        take = ~have & own[:, source]
-        made[take] = least[:, source][take]
-        have |= take
+        take = ~have[open_rows] & own[open_rows][:, source]
+        at, bin_ = np.nonzero(take)
+        made[open_rows[at], bin_] = least[open_rows[at], source[bin_]]
+        have[open_rows[at], bin_] = True
+        open_rows = open_rows[~have[open_rows].all(axis=1)]
     made = made.reshape(len(lines), BANDS, ROWS)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(lines), BANDS)).copy()
     for r in range(ROWS):
