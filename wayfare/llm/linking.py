@@ -42,7 +42,7 @@ def _pairs_left(open_rows: DataFrame) -> tuple[int, int]:
     return rows or 0, pairs or 0
 
 
-def link(rows: DataFrame, verify, percent: int, rounds: int = 6, spare: int = 4) -> DataFrame:
+def link(rows: DataFrame, verify, percent: int, rounds: int = 3, spare: int = 4) -> DataFrame:
     """``id, component, n_links`` of all ids that link to another.
 
     ``rows``: ``sig, id`` as of :func:`shared_only`, and a size ``n`` of the item; items whose sizes
