@@ -294,7 +294,7 @@ def _(a: Artefacts):
 @query("permutation_null")
 def _(a: Artefacts):
     observed, nulls = at.permutation_null(
-        a.features, a.split, model="logreg")
+        a.features, a.split, stages=("S1",), n_rounds=2, model="gbt", params=SMALL["gbt"])
     return at.null_table(observed, nulls)
 
 
