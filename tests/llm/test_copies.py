@@ -128,6 +128,13 @@ def test_line_dedup(spark, docs, rows, odd, none):
     assert ld.line_report(none).collect() == []
 
 
+def test_short_lines_outlive_the_long_ones(spark):
+    footer = "the footer that every page of the site has"
+    table = spark.createDataFrame([(1, footer), (2, f"本页面独有\n{footer}\n \n"), (3, f"{footer}\n\t\n"), (4, f"a b\n\n{footer}")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in ld.dedup_lines(table).collect()} == {1: footer, 2: "本页面独有\n \n", 4: "a b\n"}
+    assert ld.line_report(table).columns == ["doc_id", "n_lines", "n_removed", "removed"]
+
+
 def test_bands_find_similar_lines():
     rnd, hit, n = random.Random(7), 0, 0
     for _ in range(300):

@@ -31,7 +31,7 @@ _BINS = BANDS * ROWS
 _EMPTY = np.uint64(1 << 32)
 _BASE = 0x9E3779B97F4A7C15
 _PLACES = 1 << 26
-_LINES = {"doc_id": pa.int64(), "no": pa.list_(pa.int32()), "key": pa.list_(pa.int64()), "bands": pa.list_(pa.int64())}
+_LINES = {"doc_id": pa.int64(), "n_filled": pa.int32(), "no": pa.list_(pa.int32()), "key": pa.list_(pa.int64()), "bands": pa.list_(pa.int64())}
 _TEXTS = {"key": pa.int64(), "line": pa.string()}
 
 
@@ -101,23 +101,25 @@ def bands(lines: list[str]) -> np.ndarray:
 
 
 def describe(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per row of ``docs``: numbers, keys and band keys of its lines."""
+    """One row per row of ``docs``: how many of its lines hold a word, and numbers, keys and band keys of those that take part."""
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            split = [lines_of(t, least_words) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            filled = [sum(not line.isspace() for line in (t or "").split("\n") if line) for t in texts]
+            split = [lines_of(t, least_words) for t in texts]
             keys = [[line_key(s) for _, s in part] for part in split]
             new: dict[int, str] = {}
             for part, known in zip(split, keys):
                 new.update(zip(known, (s for _, s in part)))
             of = dict(zip(new, bands(list(new.values())).tolist())) if new else {}
             return arrow(
-                _LINES, batch.column(0), [[no for no, _ in part] for part in split], keys,
+                _LINES, batch.column(0), filled, [[no for no, _ in part] for part in split], keys,
                 [[b for k in known for b in of[k]] for known in keys])
 
         return step
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(rows, make, "doc_id long, no array<int>, key array<long>, bands array<long>")
+    return map_batches(rows, make, "doc_id long, n_filled int, no array<int>, key array<long>, bands array<long>")
 
 
 def _line_texts(docs: DataFrame, keys: DataFrame, least_words: int) -> DataFrame:
@@ -195,25 +197,30 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int
     return described, kept
 
 
-def line_report(docs: DataFrame, **rule) -> DataFrame:
-    """``doc_id, n_lines, n_removed, removed``: the lines of each document that take part, and those that go."""
+def _judged(docs: DataFrame, **rule) -> DataFrame:
+    """The columns of :func:`line_report`, and ``n_filled``."""
     described, kept = kept_lines(docs, **rule)
     met = described.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left")
     spots = F.arrays_zip("no", "key")
     gone = F.transform(F.array_except(spots, F.coalesce("kept", F.expr("cast(array() as array<struct<no:int,key:bigint>>)"))), lambda s: s["no"])
     return met.select(
         "doc_id", F.size("key").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"),
-        F.sort_array(gone).alias("removed"))
+        F.sort_array(gone).alias("removed"), "n_filled")
+
+
+def line_report(docs: DataFrame, **rule) -> DataFrame:
+    """``doc_id, n_lines, n_removed, removed``: the lines of each document that take part, and those that go."""
+    return _judged(docs, **rule).drop("n_filled")
 
 
 def dedup_lines(docs: DataFrame, **rule) -> DataFrame:
     """``docs`` without the lines that go; documents all of whose lines with a word went are left out.
 
-    Lines too short to take part stay with the lines around them, and go with a document of which
-    nothing else stays. Documents without lines that take part are as they were.
+    Lines too short to take part stay, also where no other line of their document does. Documents
+    without lines that take part are as they were.
     """
-    removed = line_report(docs, **rule).where("n_removed > 0").dropDuplicates(["doc_id"])
-    removed = removed.select(F.col("doc_id").alias("gone_id"), "removed", F.expr("n_removed = n_lines").alias("empty"))
+    removed = _judged(docs, **rule).where("n_removed > 0").dropDuplicates(["doc_id"])
+    removed = removed.select(F.col("doc_id").alias("gone_id"), "removed", F.expr("n_removed = n_filled").alias("empty"))
     names = [c for c in docs.columns if c != "text"]
     # Other columns travel as one struct, so that no name can clash.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").alias("text"))
