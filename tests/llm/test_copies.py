@@ -135,6 +135,17 @@ def test_short_lines_outlive_the_long_ones(spark):
     assert ld.line_report(table).columns == ["doc_id", "n_lines", "n_removed", "removed"]
 
 
+def test_rows_without_an_id_keep_their_own_lines(spark):
+    footer = "the footer that every page of the site has"
+    own = [f"line {'abcdefgh'[k] * 9} belongs to page {k * 7919} alone" for k in range(8)]
+    texts = [f"{own[k]}\n{footer}" if k % 2 else f"{footer}\n{own[k]}" for k in range(8)]
+    for ids in ([None] * 8, [5] * 8, [None, 5] * 4):
+        table = spark.createDataFrame([*zip(ids, texts), (None, footer)], "doc_id long, text string")
+        left = [r.text.split("\n") for r in ld.dedup_lines(table).collect()]
+        assert Counter(line for t in left for line in t) == Counter([*own, footer]) and len(left) in (8, 9)
+        assert sum(r.n_removed for r in ld.line_report(table).collect()) == 8
+
+
 def test_bands_find_similar_lines():
     rnd, hit, n = random.Random(7), 0, 0
     for _ in range(300):

@@ -77,6 +77,11 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def text_key(text: Column) -> Column:
+    """64-bit hash of a text: with the id it tells rows apart where ids repeat or are null."""
+    return F.xxhash64(text.cast("string"))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, whatever the optimizer inlines."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

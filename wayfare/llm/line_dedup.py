@@ -7,11 +7,11 @@ itself if shorter). One hash of a run gives a bin and a value; the least value o
 the signature, and an empty bin borrows from another by a fixed sequence. Nine bands of four bins find
 a pair of similarity 0.8 with probability 0.991, of 0.9 with 0.9999. Pairs that share a band are
 verified by the exact Jaccard similarity of their sets; components are found without pairs inside
-them (see :mod:`linking`). The line at the smallest (doc_id, line number) of a component stays.
+them (see :mod:`linking`). The line at the smallest (doc_id, hash of the text, line number) of a component stays.
 
-Null texts have no lines. Rows that repeat an id count as one document whose lines are those of all
-its rows: a line equal to one that stays at the same number stays too. A null id is an id, before all
-others. An empty table gives an empty one; other columns are passed on.
+Null texts have no lines. A row is known by its id and a 64-bit hash of its text, so rows of one id
+with different texts, and rows without an id, are judged each for itself. Rows equal in both count as
+one document and stay or go alike. Null ids come before all others. An empty table gives an empty one; other columns are passed on.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import arrow, map_batches, small_batches
+from .common import arrow, map_batches, small_batches, text_key
 from .linking import link, shared_only
 
 RUN, BANDS, ROWS, LEAST_WORDS, SIMILARITY = 8, 9, 4, 5, 0.8
@@ -31,7 +31,7 @@ _BINS = BANDS * ROWS
 _EMPTY = np.uint64(1 << 32)
 _BASE = 0x9E3779B97F4A7C15
 _PLACES = 1 << 26
-_LINES = {"doc_id": pa.int64(), "n_filled": pa.int32(), "no": pa.list_(pa.int32()), "key": pa.list_(pa.int64()), "bands": pa.list_(pa.int64())}
+_LINES = {"doc_id": pa.int64(), "text_key": pa.int64(), "n_filled": pa.int32(), "no": pa.list_(pa.int32()), "key": pa.list_(pa.int64()), "bands": pa.list_(pa.int64())}
 _TEXTS = {"key": pa.int64(), "line": pa.string()}
 
 
@@ -101,7 +101,7 @@ def bands(lines: list[str]) -> np.ndarray:
 
 
 def describe(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per row of ``docs``: how many of its lines hold a word, and numbers, keys and band keys of those that take part."""
+    """One row per row of ``docs``: hash of its text, how many of its lines hold a word, and numbers, keys and band keys of those that take part."""
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1).to_pylist()
@@ -113,13 +113,14 @@ def describe(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 new.update(zip(known, (s for _, s in part)))
             of = dict(zip(new, bands(list(new.values())).tolist())) if new else {}
             return arrow(
-                _LINES, batch.column(0), filled, [[no for no, _ in part] for part in split], keys,
+                _LINES, batch.column(0), batch.column(2), filled, [[no for no, _ in part] for part in split], keys,
                 [[b for k in known for b in of[k]] for known in keys])
 
         return step
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(rows, make, "doc_id long, n_filled int, no array<int>, key array<long>, bands array<long>")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("text_key"))
+    return map_batches(rows, make, "doc_id long, text_key long, n_filled int, no array<int>, key array<long>, bands array<long>")
 
 
 def _line_texts(docs: DataFrame, keys: DataFrame, least_words: int) -> DataFrame:
@@ -177,7 +178,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The described rows, and ``doc_id, kept``: number and key of the lines of a document that stay."""
+    """The described rows, and ``kept_id, kept_text, kept``: number and key of the lines of a row that stay."""
     small_batches(docs.sparkSession)
     described = materialise(describe(docs, least_words), "lines")
     signed = described.select(F.explode(F.arrays_zip("key", F.transform(
@@ -188,29 +189,29 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int
     # Sizes of lines are not known as sets here, so none is ruled out by them.
     rows = rows.withColumn("n", F.lit(1))
     linked = link(rows, lambda pairs: _verified(pairs, texts, similarity), 0)
-    spots = described.select("doc_id", F.explode(F.arrays_zip("no", "key")).alias("l"))
-    first = spots.groupBy(F.col("l.key").alias("id")).agg(F.min(F.struct("doc_id", "l.no", "l.key")).alias("spot"))
+    spots = described.select("doc_id", "text_key", F.explode(F.arrays_zip("no", "key")).alias("l"))
+    first = spots.groupBy(F.col("l.key").alias("id")).agg(F.min(F.struct("doc_id", "text_key", "l.no", "l.key")).alias("spot"))
     first = first.join(linked.select("id", "component"), "id", "left")
     first = first.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("spot").alias("spot"))
-    kept = first.groupBy(F.col("spot.doc_id").alias("kept_id")).agg(
+    kept = first.groupBy(F.col("spot.doc_id").alias("kept_id"), F.col("spot.text_key").alias("kept_text")).agg(
         F.collect_list(F.struct("spot.no", "spot.key")).alias("kept"))
     return described, kept
 
 
 def _judged(docs: DataFrame, **rule) -> DataFrame:
-    """The columns of :func:`line_report`, and ``n_filled``."""
+    """The columns of :func:`line_report`, and ``text_key, n_filled``."""
     described, kept = kept_lines(docs, **rule)
-    met = described.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left")
+    met = described.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_text")), "left")
     spots = F.arrays_zip("no", "key")
     gone = F.transform(F.array_except(spots, F.coalesce("kept", F.expr("cast(array() as array<struct<no:int,key:bigint>>)"))), lambda s: s["no"])
     return met.select(
         "doc_id", F.size("key").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"),
-        F.sort_array(gone).alias("removed"), "n_filled")
+        F.sort_array(gone).alias("removed"), "text_key", "n_filled")
 
 
 def line_report(docs: DataFrame, **rule) -> DataFrame:
     """``doc_id, n_lines, n_removed, removed``: the lines of each document that take part, and those that go."""
-    return _judged(docs, **rule).drop("n_filled")
+    return _judged(docs, **rule).drop("text_key", "n_filled")
 
 
 def dedup_lines(docs: DataFrame, **rule) -> DataFrame:
@@ -219,12 +220,14 @@ def dedup_lines(docs: DataFrame, **rule) -> DataFrame:
     Lines too short to take part stay, also where no other line of their document does. Documents
     without lines that take part are as they were.
     """
-    removed = _judged(docs, **rule).where("n_removed > 0").dropDuplicates(["doc_id"])
-    removed = removed.select(F.col("doc_id").alias("gone_id"), "removed", F.expr("n_removed = n_filled").alias("empty"))
+    removed = _judged(docs, **rule).where("n_removed > 0").dropDuplicates(["doc_id", "text_key"])
+    removed = removed.select(
+        F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_text"), "removed", F.expr("n_removed = n_filled").alias("empty"))
     names = [c for c in docs.columns if c != "text"]
     # Other columns travel as one struct, so that no name can clash.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").alias("text"))
-    met = rows.join(removed, F.col("row.doc_id").eqNullSafe(F.col("gone_id")), "left")
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (text_key(F.col("text")) == F.col("gone_text"))
+    met = rows.join(removed, same, "left")
     lines = F.split(F.col("text"), "\n")
 
     def without(gone):
