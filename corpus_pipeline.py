@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wayfare.llm import rule_ensemble
 from wayfare.llm.chunk_bpe import encode_documents
 from wayfare.llm.common import documents, small_batches, table
-from wayfare.llm.decontamination import decontaminate
+from wayfare.llm.decontamination import decontaminate_rows
 from wayfare.llm.line_dedup import dedup_lines
 from wayfare.llm.ngram_join import one_of_each
 from wayfare.session import materialise
@@ -40,7 +40,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

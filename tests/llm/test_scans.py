@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tempfile
 from collections import Counter, defaultdict
 
 import pytest
@@ -154,3 +155,17 @@ def test_extra_columns_survive(spark, odd):
     benchmark = spark.createDataFrame([(1, "the very same row comes two times")], "item_id long, text string")
     left = dc.decontaminate(odd, benchmark)
     assert left.columns == odd.columns and left.count() == odd.count() - 2
+
+
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_a_leaked_row_leaves_others_of_its_id(spark, small):
+    benchmark = spark.createDataFrame([(1, "a b c d e f g h"), (2, "zzq short item")], "item_id long, text string")
+    rows = [(None, "x a b c d e f g h"), (None, "clean words without an id"), (None, None), (7, "zzq short item"), (7, "another text of seven"), (8, "of eight")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter([rows[1], rows[2], rows[4], rows[5]])
+    assert Counter(map(tuple, dc.decontaminate_rows(table, benchmark, small=small).collect())) == want
+    if small:
+        pipeline = pytest.importorskip("corpus_pipeline")
+        folder = tempfile.mkdtemp(prefix="run-")
+        benchmark.write.parquet(f"{folder}/benchmark.parquet")
+        assert Counter(map(tuple, pipeline.benchmark_decontamination(spark, table, folder).collect())) == want

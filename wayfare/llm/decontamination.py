@@ -13,8 +13,9 @@ Radius: at similarity 0.8 two fingerprints differ in 9.7 bits on average (deviat
 fewer than two of a thousand there, and none of equal texts.
 
 The benchmark side is broadcast up to ``small`` shingles, else joined by shuffle, with one result.
-Null or wordless texts and items match nothing; null ids are ids; rows that repeat an id are all
-searched; repeated items are one by ``item_id``; other columns are ignored.
+Null or wordless texts and items match nothing. A row is known by its id and a 64-bit hash of its text,
+and :func:`decontaminate_rows` removes just the rows that hold an item. The report, and
+:func:`decontaminate` with it, go by id, null included. Repeated items are one by ``item_id``; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import let
+from .common import let, text_key
 from .text_statistics import shingles_of
 
 SHINGLE, RADIUS, SIMILARITY = 5, 18, 0.8
@@ -82,32 +83,32 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, items: DataFrame, small: bool) -> DataFrame:
-    """``doc_id, at, shingles, print``: the windows of ``docs`` in which an item could stand."""
+    """``doc_id, text_key, at, shingles, print``: the windows of ``docs`` in which an item could stand."""
     hint = F.broadcast if small else (lambda df: df)
     seeds = items.select("size", F.posexplode("shingles").alias("place", "h")).distinct()
-    texts = docs.select("doc_id", F.explode(F.array(plain_words(F.col("text")))).alias("words"))
+    texts = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.explode(F.array(plain_words(F.col("text")))).alias("words"))
     begin = F.greatest(F.col("at") - F.col("place"), F.lit(0))
     window = F.slice("words", begin + 1, F.least(F.col("size"), F.size("words") - begin))
 
     def cut(found: DataFrame) -> DataFrame:
-        return found.select("doc_id", begin.alias("at"), window.alias("words"))
+        return found.select("doc_id", "text_key", begin.alias("at"), window.alias("words"))
 
-    hits = texts.select("doc_id", "words", F.posexplode(shingles_of(F.col("words"), SHINGLE)).alias("at", "h"))
+    hits = texts.select("doc_id", "text_key", "words", F.posexplode(shingles_of(F.col("words"), SHINGLE)).alias("at", "h"))
     if small:
         found = cut(hits.join(hint(seeds), "h"))
     else:  # texts do not travel with every shingle
-        met = hits.select("doc_id", "at", "h").join(seeds, "h").select("doc_id", "at", "place", "size").distinct()
-        met = met.withColumnRenamed("doc_id", "id")
-        found = cut(texts.join(met, F.col("doc_id").eqNullSafe(F.col("id"))))
+        met = hits.select("doc_id", "text_key", "at", "h").join(seeds, "h")
+        met = met.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "at", "place", "size").distinct()
+        found = cut(texts.join(met, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))))
     # Items of fewer words: one run length at a time, of four at most.
     for n in [r[0] for r in items.where(F.col("size") < SHINGLE).select("size").distinct().orderBy("size").collect()]:
         run = F.transform(F.sequence(F.lit(0), F.size("words") - n), _run(n))
         run = F.when(F.size("words") >= n, run).otherwise(F.expr("cast(array() as array<array<string>>)"))
-        short = texts.select("doc_id", F.posexplode(run).alias("at", "words"))
+        short = texts.select("doc_id", "text_key", F.posexplode(run).alias("at", "words"))
         short = short.withColumn("h", _short(F.col("words")))
-        found = found.unionByName(short.join(hint(seeds.where(F.col("size") == n).select("h")), "h").select("doc_id", "at", "words"))
-    found = found.dropDuplicates(["doc_id", "at", "words"])
-    found = found.select("doc_id", "at", F.explode(F.array(shingles(F.col("words")))).alias("shingles"))
+        found = found.unionByName(short.join(hint(seeds.where(F.col("size") == n).select("h")), "h").select("doc_id", "text_key", "at", "words"))
+    found = found.dropDuplicates(["doc_id", "text_key", "at", "words"])
+    found = found.select("doc_id", "text_key", "at", F.explode(F.array(shingles(F.col("words")))).alias("shingles"))
     return found.select("*", simhash(F.col("shingles")).alias("print"))
 
 
@@ -115,6 +116,20 @@ def _run(n: int):
     return lambda i: F.slice(F.col("words"), i + 1, F.lit(n))
 
 
+def _matches(docs: DataFrame, benchmark: DataFrame, radius: int, similarity: float, small: int) -> DataFrame:
+    """``doc_id, text_key, item_id, at, similarity``: all windows that hold an item."""
+    items = materialise(items_of(benchmark), "benchmark-items")
+    few = (items.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= small
+    found = materialise(windows(docs, items, few), "benchmark-windows")
+    sides = [df.select("*", F.explode(blocks(F.col("print"), radius)).alias("b")).select("*", "b.*").drop("b") for df in (found, items)]
+    right = sides[1].select("item_id", F.col("shingles").alias("other"), F.col("print").alias("item_print"), "block", "bits")
+    near = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius
+    pairs = sides[0].join(F.broadcast(right) if few else right, ["block", "bits"]).where(near)
+    pairs = pairs.dropDuplicates(["doc_id", "text_key", "at", "shingles", "item_id", "other"])
+    scored = pairs.select("doc_id", "text_key", "item_id", "at", weighted_similarity(F.col("shingles"), F.col("other")).alias("similarity"))
+    return scored.where(F.col("similarity") >= similarity)
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY,
     small: int = 1_000_000,
@@ -123,23 +138,25 @@ def contamination(
 
     Only documents with an item are returned.
     """
-    items = materialise(items_of(benchmark), "benchmark-items")
-    few = (items.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= small
-    found = materialise(windows(docs, items, few), "benchmark-windows")
-    sides = [df.select("*", F.explode(blocks(F.col("print"), radius)).alias("b")).select("*", "b.*").drop("b") for df in (found, items)]
-    right = sides[1].select("item_id", F.col("shingles").alias("other"), F.col("print").alias("item_print"), "block", "bits")
-    near = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius
-    pairs = sides[0].join(F.broadcast(right) if few else right, ["block", "bits"]).where(near)
-    pairs = pairs.dropDuplicates(["doc_id", "at", "shingles", "item_id", "other"])
-    scored = pairs.select("doc_id", "item_id", "at", weighted_similarity(F.col("shingles"), F.col("other")).alias("similarity"))
     best = F.max(F.struct("similarity", (-F.col("at")).alias("back")))
-    scored = scored.where(F.col("similarity") >= similarity).groupBy("doc_id", "item_id").agg(best.alias("best"))
+    scored = _matches(docs, benchmark, radius, similarity, small).groupBy("doc_id", "item_id").agg(best.alias("best"))
     return scored.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("item_id").cast("long").alias("item_id"),
         F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("long").alias("at"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
+    """The rows of ``docs`` whose id has no row with a benchmark item; all rows without an id share one."""
     leaked = contamination(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct()
     return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["leaked_id"]), "left_anti")
+
+
+def decontaminate_rows(
+    docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY,
+    small: int = 1_000_000,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, each judged by its own text."""
+    leaked = _matches(docs, benchmark, radius, similarity, small)
+    leaked = leaked.select(F.col("doc_id").alias("leaked_id"), F.col("text_key").alias("leaked_text")).distinct()
+    same = docs["doc_id"].eqNullSafe(leaked["leaked_id"]) & (text_key(docs["text"]) == leaked["leaked_text"])
+    return docs.join(leaked, same, "left_anti")
