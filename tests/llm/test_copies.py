@@ -135,6 +135,11 @@ def test_short_lines_outlive_the_long_ones(spark):
     assert ld.line_report(table).columns == ["doc_id", "n_lines", "n_removed", "removed"]
 
 
+def test_lines_take_part_by_characters(spark):
+    table = spark.createDataFrame([(1, "Read more\n本站所有内容版权所有\nyes"), (2, "first own line\nRead  more\nyes"), (3, "本站所有内容版权所有\nsecond own line")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_lines, r.removed) for r in ld.line_report(table).collect()} == {1: (2, []), 2: (2, [1]), 3: (2, [0])}
+
+
 def test_rows_without_an_id_keep_their_own_lines(spark):
     footer = "the footer that every page of the site has"
     own = [f"line {'abcdefgh'[k] * 9} belongs to page {k * 7919} alone" for k in range(8)]

@@ -1,7 +1,8 @@
 """Fuzzy line deduplication by MinHash; of each component of similar lines the first one stays.
 
 A line is compared lower-cased, with its white space as single spaces. Lines of fewer than
-``least_words`` words are left alone: they are too short to call a repetition. Equal lines are one
+``least_chars`` characters in that form are left alone: they are too short to call a repetition. The
+bound is the length of a run, so that menu lines and scripts without spaces take part. Equal lines are one
 *text line*, known by a 64-bit hash. A line's set is its distinct runs of eight characters (the line
 itself if shorter). One hash of a run gives a bin and a value; the least value of each of 36 bins is
 the signature, and an empty bin borrows from another by a fixed sequence. Nine bands of four bins find
@@ -26,7 +27,7 @@ from ..session import materialise
 from .common import arrow, map_batches, small_batches, text_key
 from .linking import link, shared_only
 
-RUN, BANDS, ROWS, LEAST_WORDS, SIMILARITY = 8, 9, 4, 5, 0.8
+RUN, BANDS, ROWS, LEAST_CHARS, SIMILARITY = 8, 9, 4, 8, 0.8
 _BINS = BANDS * ROWS
 _EMPTY = np.uint64(1 << 32)
 _BASE = 0x9E3779B97F4A7C15
@@ -39,13 +40,13 @@ def plain(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def lines_of(text: str | None, least_words: int = LEAST_WORDS) -> list[tuple[int, str]]:
+def lines_of(text: str | None, least_chars: int = LEAST_CHARS) -> list[tuple[int, str]]:
     """Number and plain form of the lines that take part."""
     found = []
     for no, line in enumerate((text or "").split("\n")):
-        words = line.lower().split()
-        if len(words) >= least_words:
-            found.append((no, " ".join(words)))
+        line = plain(line)
+        if line and len(line) >= least_chars:
+            found.append((no, line))
     return found
 
 
@@ -100,13 +101,13 @@ def bands(lines: list[str]) -> np.ndarray:
     return ((key ^ (key >> np.uint64(28))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
 
 
-def describe(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def describe(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """One row per row of ``docs``: hash of its text, how many of its lines hold a word, and numbers, keys and band keys of those that take part."""
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1).to_pylist()
             filled = [sum(not line.isspace() for line in (t or "").split("\n") if line) for t in texts]
-            split = [lines_of(t, least_words) for t in texts]
+            split = [lines_of(t, least_chars) for t in texts]
             keys = [[line_key(s) for _, s in part] for part in split]
             new: dict[int, str] = {}
             for part, known in zip(split, keys):
@@ -123,7 +124,7 @@ def describe(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return map_batches(rows, make, "doc_id long, text_key long, n_filled int, no array<int>, key array<long>, bands array<long>")
 
 
-def _line_texts(docs: DataFrame, keys: DataFrame, least_words: int) -> DataFrame:
+def _line_texts(docs: DataFrame, keys: DataFrame, least_chars: int) -> DataFrame:
     """``key, line`` of the lines among ``keys`` and a few more.
 
     The keys travel to the scan as a Bloom filter of fixed size (8 MB), so no text is shuffled
@@ -143,7 +144,7 @@ def _line_texts(docs: DataFrame, keys: DataFrame, least_words: int) -> DataFrame
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found: dict[int, str] = {}
             for text in batch.column(0).to_pylist():
-                for _, line in lines_of(text, least_words):
+                for _, line in lines_of(text, least_chars):
                     key = line_key(line)
                     p = key % _PLACES
                     if held[p >> 3] >> (p & 7) & 1:
@@ -177,15 +178,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return map_batches(met.select("a", "b", "line_a", "line_b"), make, "a long, b long").distinct()
 
 
-def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
+def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
     """The described rows, and ``kept_id, kept_text, kept``: number and key of the lines of a row that stay."""
     small_batches(docs.sparkSession)
-    described = materialise(describe(docs, least_words), "lines")
+    described = materialise(describe(docs, least_chars), "lines")
     signed = described.select(F.explode(F.arrays_zip("key", F.transform(
         F.sequence(F.lit(0), F.size("key") - 1), lambda i: F.slice("bands", i * BANDS + 1, F.lit(BANDS))).alias("bands"))).alias("l"))
     signed = signed.where("l.key is not null")
     rows = shared_only(signed.select(F.explode("l.bands").alias("sig"), F.col("l.key").alias("id")))
-    texts = materialise(_line_texts(docs, rows.select("id").distinct(), least_words), "candidate-lines")
+    texts = materialise(_line_texts(docs, rows.select("id").distinct(), least_chars), "candidate-lines")
     # Sizes of lines are not known as sets here, so none is ruled out by them.
     rows = rows.withColumn("n", F.lit(1))
     linked = link(rows, lambda pairs: _verified(pairs, texts, similarity), 0)
