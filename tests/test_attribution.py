@@ -339,3 +339,21 @@ def test_vector_round_trip(rows):
     b = {r[0]: r[1] for r in fitted.score(df).select("session_id", "score").collect()}
     assert a == pytest.approx(b)
     assert array_to_vector is not None
+
+
+def test_permutation_null_query_takes_all_stages_and_rounds(monkeypatch):
+    import inspect
+
+    from wayfare.operators.stages import MODEL_STAGES
+    from wayfare.plans import attribution_queries as queries
+    from wayfare.plans.artefacts import Artefacts
+
+    calls, real = [], {n: inspect.signature(getattr(queries.at, n)) for n in ("permutation_null", "explain_stages")}
+    monkeypatch.setattr(Artefacts, "__init__", lambda self, spark, folder: None)
+    monkeypatch.setattr(Artefacts, "features", None)
+    monkeypatch.setattr(Artefacts, "split", None)
+    monkeypatch.setattr(queries.at, "permutation_null", lambda *a, **o: calls.append(o) or (None, None))
+    monkeypatch.setattr(queries.at, "null_table", lambda *a: None)
+    queries.query.__globals__["QUERIES"]["permutation_null"](None, "")
+    assert calls[0].get("n_rounds", real["permutation_null"].parameters["n_rounds"].default) == 20
+    assert calls[0].get("stages", real["explain_stages"].parameters["stages"].default) == MODEL_STAGES
