@@ -6,11 +6,11 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path[:0] = [str(Path(__file__).resolve().parent), str(Path(__file__).resolve().parent.parent)]
 
-from wayfare.session import configure  # noqa: E402
+from times import START  # noqa: E402
 
-START = dt.datetime(2024, 1, 6, 10, 0, 0)  # a Saturday
+from wayfare.session import configure  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import START
+from times import START
 from pyspark.sql import functions as F
 
 from wayfare.functions.columns import bool_from_text, parse_event_time
