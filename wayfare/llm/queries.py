@@ -13,6 +13,7 @@ from .common import documents, table
 from .decontamination import contamination
 from .line_dedup import line_report
 from .ngram_join import ngram_components
+from .periodic_runs import run_digests
 from .pii_crf import find_personal_data, labelled_runs, train
 from .secret_index import find_secrets
 from .token_counts import count_tokens
@@ -65,8 +66,12 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(documents(spark, folder), table(spark, folder, "benchmark"))
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return run_digests(documents(spark, folder))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_rule_ensemble, op2_line_dedup, op3_token_counts, op4_ngram_join, op5_chunk_bpe, op6_pii_crf, op7_secret_index, op8_decision_lists, op9_binary_records,
-    op10_decontamination,
+    op10_decontamination, op12_periodic_runs,
 )}
 ORACLES: dict[str, str] = {}
