@@ -10,6 +10,7 @@ from .binary_records import record_digests, write_records
 from .chunk_bpe import encoding_digests
 from . import decision_lists, rule_ensemble
 from .common import documents, table
+from .conversation_repair import damaged, repair_digests
 from .decontamination import contamination
 from .line_dedup import line_report
 from .ngram_join import ngram_components
@@ -70,8 +71,12 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return run_digests(documents(spark, folder))
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_digests(damaged(table(spark, folder, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_rule_ensemble, op2_line_dedup, op3_token_counts, op4_ngram_join, op5_chunk_bpe, op6_pii_crf, op7_secret_index, op8_decision_lists, op9_binary_records,
-    op10_decontamination, op12_periodic_runs,
+    op10_decontamination, op12_periodic_runs, op13_conversation_repair,
 )}
 ORACLES: dict[str, str] = {}
