@@ -17,6 +17,7 @@ from .ngram_join import ngram_components
 from .periodic_runs import run_digests
 from .pii_crf import find_personal_data, labelled_runs, train
 from .secret_index import find_secrets
+from .substring_dedup import repeat_digests
 from .token_counts import count_tokens
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -67,6 +68,10 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(documents(spark, folder), table(spark, folder, "benchmark"))
 
 
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeat_digests(documents(spark, folder))
+
+
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return run_digests(documents(spark, folder))
 
@@ -77,6 +82,6 @@ def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_rule_ensemble, op2_line_dedup, op3_token_counts, op4_ngram_join, op5_chunk_bpe, op6_pii_crf, op7_secret_index, op8_decision_lists, op9_binary_records,
-    op10_decontamination, op12_periodic_runs, op13_conversation_repair,
+    op10_decontamination, op11_substring_dedup, op12_periodic_runs, op13_conversation_repair,
 )}
 ORACLES: dict[str, str] = {}
