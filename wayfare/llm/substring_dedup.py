@@ -222,11 +222,13 @@ def holders(rows: DataFrame) -> DataFrame:
     edges = read.where(f"kind = {_EDGE}").groupBy("key").agg(
         F.min(F.struct("doc", "tkey", "start", "shard")).alias("least"), F.max("first").alias("most"))
     edges = edges.where("most > least.doc").select("key", F.col("least.doc").alias("least_doc"), F.col("least.shard").alias("least_shard"))
-    opened = read.where(f"kind = {_OPEN}").drop("first", "shard").join(F.broadcast(edges), "key")  # two rows a task
-    opened = opened.select(
-        F.when(F.col("doc") > F.col("least_doc"), _PROBE).otherwise(_REFERENCE).alias("kind"), "key", "doc", "tkey", "start", "n",
-        F.col("least_doc").alias("first"), F.col("least_shard").alias("shard"))
-    return read.where(f"kind < {_OPEN}").unionByName(opened)
+    edges = edges.withColumnRenamed("key", "edge")
+    met = read.where(f"kind < {_EDGE}").join(F.broadcast(edges), F.expr(f"key = edge and kind = {_OPEN}"), "left")  # two rows a task
+    opened, later = F.col("kind") == _OPEN, F.col("doc") > F.col("least_doc")
+    return met.where(f"kind < {_OPEN} or edge is not null").select(
+        F.when(~opened, F.col("kind")).when(later, _PROBE).otherwise(_REFERENCE).alias("kind"), "key", "doc", "tkey", "start", "n",
+        F.when(opened, F.col("least_doc")).otherwise(F.col("first")).alias("first"),
+        F.when(opened, F.col("least_shard")).otherwise(F.col("shard")).alias("shard"))
 
 
 # automata --------------------------------------------------------------------------------
