@@ -276,3 +276,54 @@ def test_calibrators(spark):
         values = [r["calibrated"] for r in out]
         assert all(b >= a - 1e-12 for a, b in zip(values, values[1:]))
         assert abs(np.mean([dict(out)[v] for v in s]) - y.mean()) < 0.02
+
+
+def _pooled(s, y):
+    """Pool adjacent violators, one value per distinct score."""
+    stack = []
+    for v in np.unique(s).tolist():
+        stack.append([[v], float(y[s == v].sum()), int((s == v).sum())])
+        while len(stack) > 1 and stack[-2][1] / stack[-2][2] >= stack[-1][1] / stack[-1][2]:
+            b = stack.pop()
+            stack[-1] = [stack[-1][0] + b[0], stack[-1][1] + b[1], stack[-1][2] + b[2]]
+    return {v: t / n for block, t, n in stack for v in block}
+
+
+@pytest.mark.parametrize(("parts", "most"), [(1, 1 << 20), (17, 1 << 20), (17, 0)])
+def test_isotonic_fit_of_several_runs(spark, monkeypatch, parts, most):
+    rng = np.random.default_rng(9)
+    rows, want, outside = [], {}, {}
+    for run, noise in (("up", 0.2), ("down", -1.0), ("flat", 0.0), ("one", 0.5)):
+        s = np.round(rng.random(1 if run == "one" else 600), 3)
+        y = (rng.random(len(s)) < np.clip(0.5 + noise * (s - 0.5) * 3, 0, 1)).astype(int)
+        rows += [(run, float(a), int(b)) for a, b in zip(s, y)]
+        want |= {(run, v): f for v, f in _pooled(s, y).items()}
+        x = np.array(sorted(v for r, v in want if r == run))
+        probes = [-1.0, 2.0, *((x[:-1] + x[1:]) / 2)[:50]]
+        outside |= {(run, float(q)): float(np.interp(q, x, [want[run, v] for v in x])) for q in probes}
+    monkeypatch.setattr(calibration, "MOST_KNOTS", most)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        fit = calibration.calibrate_isotonic(spark.createDataFrame(rows, "run string, score double, y int"), ["run"])
+        asked = spark.createDataFrame(list(want | outside), "run string, score double")
+        got = {(r["run"], r["score"]): r["calibrated"] for r in fit.transform(asked).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == pytest.approx(want | outside)
+
+
+def test_prior_em_of_several_runs(spark):
+    rng = np.random.default_rng(3)
+    runs = {"a": (rng.beta(2, 5, 500), 0.3), "b": (rng.beta(5, 1, 400), 0.02), "c": (rng.random(300) * 1e-4, 0.5), "d": (np.full(50, 0.25), 0.25)}
+    rows = [(k, float(v)) for k, (s, _) in runs.items() for v in s]
+    found = calibration.estimate_prior_em(
+        spark.createDataFrame(rows, "run string, score double"), {(k,): p for k, (_, p) in runs.items()}, ["run"])
+    for r in found.collect():
+        s, prior = runs[r["run"]]
+        q, source, done, i = np.clip(s, 1e-12, 1 - 1e-12), prior, False, 0
+        while not done and i < 1000:
+            a, b = q * prior / source, (1 - q) * (1 - prior) / (1 - source)
+            prior, done, i = np.mean(a / (a + b)), abs(np.mean(a / (a + b)) - prior) < 1e-8, i + 1
+        assert (r["converged"], r["prior_estimated"]) == (done, pytest.approx(prior, abs=1e-8))
+        assert abs(r["n_iterations"] - i) <= 1
