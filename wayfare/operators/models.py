@@ -75,6 +75,17 @@ class FittedModel:
             "features", "probability", "rawPrediction", "prediction")
 
 
+def balanced(rows: DataFrame, imbalance: str, *, key: str = "session_id", seed: int = 42) -> tuple[DataFrame, str | None]:
+    """Prepared train rows (``key, y, features``) against an imbalance, and the name of their weight."""
+    if imbalance not in IMBALANCE:
+        raise ModelError(f"unknown imbalance method {imbalance!r}")
+    if imbalance == "class_weight":
+        return with_class_weight(rows), "weight"
+    if imbalance == "smote":
+        return smote_oversample(rows, key=key, seed=seed).withColumn("features", array_to_vector("features")), None
+    return rows, None
+
+
 def fit_model(
     train: DataFrame, model_type: str, numeric: Sequence[str], categorical: Sequence[str] = (), *, seed: int,
     params: dict | None = None, imbalance: str = "class_weight", key: str = "session_id",
@@ -83,12 +94,7 @@ def fit_model(
     if imbalance not in IMBALANCE:
         raise ModelError(f"unknown imbalance method {imbalance!r}")
     prepared = preprocess(train, numeric, categorical, scale=model_type in NEEDS_SCALING)
-    rows = prepared.transform(train).select(key, "y", "features")
-    weight = None
-    if imbalance == "class_weight":
-        rows, weight = with_class_weight(rows), "weight"
-    elif imbalance == "smote":
-        rows = smote_oversample(rows, key=key, seed=seed).withColumn("features", array_to_vector("features"))
+    rows, weight = balanced(prepared.transform(train).select(key, "y", "features"), imbalance, key=key, seed=seed)
     rows = rows.persist()
     try:
         model = build_model(model_type, seed=seed, params=params, weight=weight, n_rows=rows.count())

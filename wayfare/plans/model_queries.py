@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import calibration, models, preprocess
-from ..operators.features import feature_names
+from ..operators.features import FEATURE_SETS, feature_names
 from ..operators.decisions import static_summary as summary_of
 from ..operators.splits import month_split
 from ..operators.cleaning import prepare_static
@@ -14,7 +14,7 @@ from ..session import materialise, new_path
 from ..sources.provided import MONTHS
 from ..sources.schema import STATIC_CATEGORICAL, STATIC_NUMERIC
 from . import runs
-from .artefacts import RUN, Artefacts
+from .artefacts import RUN, SEEDS, Artefacts
 from .registry import query, rnd, rounded
 from .sql_text import cte
 
@@ -31,7 +31,7 @@ def stage_runs(a: Artefacts) -> runs.Runs:
     """One set of stage fits that the queries on fitted scores share."""
     def build():
         found = runs.run_stage_models(
-            a.features, a.split, models=("logreg",), feature_sets=("baseline", "full"))
+            a.features, a.split, models=("logreg",), feature_sets=tuple(FEATURE_SETS), seeds=SEEDS)
         _RUNS[(a.spark.sparkContext.applicationId, a.folder)] = found
         return found.scores
 
@@ -126,15 +126,15 @@ def _(a: Artefacts):
 
 @query("run_common_cohort")
 def _(a: Artefacts):
-    return rounded(runs.run_common_cohort(a.features, a.split, models=("logreg",)).results)
+    return rounded(runs.run_common_cohort(a.features, a.split, models=("logreg",), seeds=SEEDS).results)
 
 
 def _static_runs(a: Artefacts) -> runs.Runs:
     key = (a.spark.sparkContext.applicationId, a.folder, "static")
     if key not in _RUNS:
         _RUNS[key] = _merge([
-            runs.run_static_models(static_split(a), models=("logreg",)),
-            runs.run_static_models(static_split(a), models=("gbt",), seeds=(42, 43), params=SMALL["gbt"]),
+            runs.run_static_models(static_split(a), models=("logreg",), seeds=SEEDS),
+            runs.run_static_models(static_split(a), models=("gbt",), seeds=SEEDS, params=SMALL["gbt"]),
         ])
     return _RUNS[key]
 

@@ -1,27 +1,34 @@
 """Model runs: fit, calibrate, choose a threshold, score, over stages and seeds.
 
-The loop over runs is on the driver because each fit is its own Spark job; rows
-never pass through it. All scores end up in one written long table.
+Only the fits are jobs of their own, a bounded number at a time; what comes before is shared
+and what comes after is done for all runs in one pass. Rows never pass through the driver.
+All scores end up in one written long table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.calibration import CALIBRATIONS, estimate_prior_em
 from ..operators.features import feature_names
 from ..operators.metrics import classification_report, select_threshold, threshold_counts
-from ..operators.models import fit_model
+from ..operators.models import NEEDS_SCALING, balanced, build_model
+from ..operators.preprocess import preprocess
 from ..operators.splits import common_cohort, stratified_slice
 from ..operators.stages import MODEL_STAGES
 from ..session import materialise
 from ..sources.schema import STATIC_CATEGORICAL, STATIC_NUMERIC
 
 KEYS = ["stage", "model", "feature_set", "seed"]
+#: Fits that run beside each other.
+POOL = 4
 
 
 @dataclass
@@ -33,45 +40,106 @@ class Runs:
     results: DataFrame
 
 
-def _one(rows: DataFrame, run: tuple, numeric, categorical, *, seed, model, imbalance, calibrate,
-         params, fit_on, calibrate_on) -> tuple[DataFrame, float]:
-    fitted = fit_model(rows.where(fit_on), model, numeric, categorical, seed=seed, params=params, imbalance=imbalance)
-    scored = fitted.score(rows, "raw_score").select("session_id", "partition", "y", "raw_score", calibrate_on.alias("_c"))
-    scored = materialise(scored, "scored")
-    held = scored.where("_c").select("y", F.col("raw_score").alias("score"))
-    if calibrate == "none":
-        final = scored.withColumn("score", F.col("raw_score"))
-    else:
-        fit = CALIBRATIONS[calibrate](held)
-        final = fit.transform(scored.withColumn("score", F.col("raw_score"))).withColumn(
-            "score", F.col("calibrated")).drop("calibrated")
-    prior = held.agg(F.avg("y")).first()[0]
-    final = final.select(*[F.lit(v).alias(k) for k, v in zip(KEYS, run)],
-                         "partition", "session_id", "y", "score", "raw_score")
-    return final, float(prior)
-
-
-def _finish(parts: list[DataFrame], priors: dict[tuple, float], evaluate: DataFrame | None = None) -> Runs:
-    scores = parts[0]
-    for p in parts[1:]:
-        scores = scores.unionByName(p)
-    scores = materialise(scores, "scores")
+@dataclass
+class _Ready:
+    """Rows of one stage and feature set in model space, written once for all their runs."""
+
+    rows: DataFrame
+    trained_on: DataFrame
+    weight: str | None
+    n_rows: int
+
+
+def _ready(rows, numeric, categorical, *, scale, imbalance, seed, fit_on, calibrate_on) -> _Ready:
+    prepared = preprocess(rows.where(fit_on), numeric, categorical, scale=scale)
+    table = materialise(prepared.transform(rows).select(
+        "session_id", "partition", "y", fit_on.alias("_fit"), calibrate_on.alias("_c"), "features"), "ready")
+    train, weight = balanced(table.where("_fit").select("session_id", "y", "features"), imbalance, seed=seed)
+    if imbalance == "smote":
+        train = materialise(train, "oversampled")
+    return _Ready(table, train, weight, train.count())
+
+
+def _scored(ready: _Ready, runs: list[tuple[tuple, object]]) -> DataFrame:
+    """The raw scores of all runs over one set of prepared rows: one pass, one row per run and session."""
+    wide, columns = ready.rows, []
+    for i, (_, model) in enumerate(runs):
+        model.setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setPredictionCol(f"_q{i}")
+        wide = model.transform(wide)
+        columns.append(vector_to_array(f"_p{i}")[1])
+    cells = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(KEYS, run)], c.alias("raw_score"))
+                      for (run, _), c in zip(runs, columns)])
+    return wide.select(F.explode(cells).alias("c"), "partition", "session_id", "y", "_c").select("c.*", "partition", "session_id", "y", "_c")
+
+
+@dataclass
+class Job:
+    """Rows of one stage and feature set, with the models and seeds to fit on them."""
+
+    rows: DataFrame
+    stage: str
+    feature_set: str
+    numeric: list[str]
+    categorical: list[str]
+    fit_on: Column
+    calibrate_on: Column
+    params: dict[str, dict] | dict | None = None
+
+
+def _run_jobs(jobs: list[Job], models, seeds, *, imbalance, calibrate, evaluate=None) -> Runs:
+    """All runs of all jobs.
+
+    Preprocessing happens once per stage, set and scaling; fits run beside each other, ``POOL`` at a time, so that small
+    ones do not wait for each other's single tasks; a model without randomness is fitted once for all seeds. Scores, calibration,
+    thresholds, metrics and priors are each one pass for all runs together.
+    """
+    if calibrate != "none" and calibrate not in CALIBRATIONS:
+        raise ValueError(f"unknown calibration {calibrate!r}")
+
+    def prepare(task):
+        job, scale, seed = task
+        return _ready(job.rows, job.numeric, job.categorical, scale=scale, imbalance=imbalance, seed=seed,
+                      fit_on=job.fit_on, calibrate_on=job.calibrate_on)
+
+    def fit(task):
+        ready, model, seed, params = task
+        built = build_model(model, seed=seed, params=params, weight=ready.weight, n_rows=ready.n_rows)
+        return built.fit(ready.trained_on)
+
+    def spot(j, model, seed):
+        """Which prepared rows a run uses: drawn rows differ by seed."""
+        return (j, model in NEEDS_SCALING, seed if imbalance == "smote" else seeds[0])
+
+    spots = sorted({spot(j, m, s) for j in range(len(jobs)) for m in models for s in seeds})
+    fits = [(k, m, s) for k in spots for m in models for s in seeds if spot(k[0], m, s) == k]
+    # Linear fits hold no randomness: their first seed stands for all that share the rows.
+    first = {(k, m, s): (k, m, next(t for t in seeds if spot(k[0], m, t) == k) if m == "logreg" else s) for k, m, s in fits}
+    share = inheritable_thread_target(jobs[0].rows.sparkSession)
+    with ThreadPoolExecutor(POOL) as pool:
+        ready = dict(zip(spots, pool.map(share(prepare), [(jobs[j], scale, seed) for j, scale, seed in spots])))
+        distinct = list(dict.fromkeys(first.values()))
+        fitted = dict(zip(distinct, pool.map(share(fit), [(ready[k], m, s, jobs[k[0]].params) for k, m, s in distinct])))
+    raw = None
+    for k in spots:
+        runs = [((jobs[k[0]].stage, m, jobs[k[0]].feature_set, s), fitted[first[k, m, s]].copy()) for kk, m, s in fits if kk == k]
+        part = _scored(ready[k], runs)
+        raw = part if raw is None else raw.unionByName(part)
+    raw = materialise(raw, "raw_scores")
+    held = raw.where("_c").select(*KEYS, "y", F.col("raw_score").alias("score"))
+    scores = raw.withColumn("score", F.col("raw_score"))
+    if calibrate != "none":
+        scores = CALIBRATIONS[calibrate](held, KEYS).transform(scores).withColumn("score", F.col("calibrated")).drop("calibrated")
+    scores = materialise(scores.select(*KEYS, "partition", "session_id", "y", "score", "raw_score"), "scores")
+    priors = {tuple(r)[:-1]: float(r["p"]) for r in held.groupBy(*KEYS).agg(F.avg("y").alias("p")).collect()}  # one row per run
     thresholds = materialise(select_threshold(
-        threshold_counts(scores.where(F.col("partition") == "val"), KEYS), KEYS).select(*KEYS, "threshold"))
+        threshold_counts(scores.where(F.col("partition") == "val"), KEYS), KEYS).select(*KEYS, "threshold"), "thresholds")
     test = scores.where(F.col("partition") == "test")
     if evaluate is not None:
         test = test.join(evaluate, "session_id", "left_semi")
     results = classification_report(threshold_counts(test, KEYS), thresholds, KEYS)
-    estimated = None
-    for run, prior in priors.items():
-        same = F.lit(True)
-        for k, v in zip(KEYS, run):
-            same = same & (F.col(k) == F.lit(v))
-        part = estimate_prior_em(test.where(same), prior, KEYS)
-        estimated = part if estimated is None else estimated.unionByName(part)
-    results = results.join(F.broadcast(estimated.select(
-        *KEYS, F.col("prior_source").alias("prior_calibration"), "prior_estimated")), KEYS, "left")
-    return Runs(scores, thresholds, materialise(results, "results"))
+    estimated = estimate_prior_em(test, priors, KEYS).select(
+        *KEYS, F.col("prior_source").alias("prior_calibration"), "prior_estimated")
+    return Runs(scores, thresholds, materialise(results.join(F.broadcast(estimated), KEYS, "left"), "results"))  # one row per run
 
 
 def run_stage_models(
@@ -89,7 +157,7 @@ def run_stage_models(
     """
     if params and len(models) != 1:
         raise ValueError("tuned parameters belong to exactly one model type")
-    parts, priors = [], {}
+    jobs = []
     for stage in stages:
         rows = features.where(F.col("stage") == stage).join(
             split.select("session_id", "partition"), "session_id").withColumn("y", F.col("label").cast("int"))
@@ -107,27 +175,20 @@ def run_stage_models(
         if not sizes["test_pos"]:
             continue
         if not sizes["train_pos"] or not sizes["train_neg"]:
-            raise ValueError(f"stage {stage} has no usable training rows")
+            raise ValueError(f"the train rows of {stage} hold one class only")
         held = F.coalesce(F.col("in_slice"), F.lit(False))
-        for name in feature_sets:
-            columns = feature_names(stage, name)
-            for model in models:
-                for seed in seeds:
-                    run = (stage, model, name, seed)
-                    scored, prior = _one(
-                        rows, run, columns, [], seed=seed, model=model, imbalance=imbalance,
-                        calibrate=calibrate, params=(params or {}).get(stage),
-                        fit_on=F.col("_train") & ~held, calibrate_on=held)
-                    parts.append(scored)
-                    priors[run] = prior
-    return _finish(parts, priors, cohort)
+        jobs += [Job(rows, stage, name, list(feature_names(stage, name)), [], F.col("_train") & ~held, held, (params or {}).get(stage))
+                 for name in feature_sets]
+    if not jobs:
+        raise ValueError("the test partition holds no positive session at any stage")
+    return _run_jobs(jobs, models, seeds, imbalance=imbalance, calibrate=calibrate, evaluate=cohort)
 
 
 def run_common_cohort(features: DataFrame, split: DataFrame, *, train_on_cohort: bool = False, **options) -> Runs:
     """Fit each stage as usual, evaluate all of them on the sessions that reach every stage."""
     cohort = materialise(common_cohort(features), "cohort")
     if cohort.isEmpty():
-        raise ValueError("no session reaches every stage; the cohort is empty")
+        raise ValueError("the cohort of sessions with all stages holds nothing")
     return run_stage_models(features, split, cohort=cohort, train_on_cohort=train_on_cohort, **options)
 
 
@@ -142,17 +203,9 @@ def run_static_models(
         rows.where(F.col("partition") == "train").select("session_id", "y"), calibration_fraction, label="y")
     rows = materialise(rows.join(sliced.select("session_id", "in_slice"), "session_id", "left"), "static_rows")
     held = F.coalesce(F.col("in_slice"), F.lit(False))
-    parts, priors = [], {}
-    for model in models:
-        for seed in seeds:
-            run = ("static", model, "full", seed)
-            scored, prior = _one(
-                rows, run, list(STATIC_NUMERIC), list(STATIC_CATEGORICAL), seed=seed, model=model,
-                imbalance=imbalance, calibrate=calibrate, params=params,
-                fit_on=(F.col("partition") == "train") & ~held, calibrate_on=held)
-            parts.append(scored)
-            priors[run] = prior
-    return _finish(parts, priors)
+    job = Job(rows, "static", "full", list(STATIC_NUMERIC), list(STATIC_CATEGORICAL),
+              (F.col("partition") == "train") & ~held, held, params)
+    return _run_jobs([job], models, seeds, imbalance=imbalance, calibrate=calibrate)
 
 
 def static_results(runs: Runs) -> DataFrame:
