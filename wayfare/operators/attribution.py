@@ -22,7 +22,9 @@ from ..functions.columns import correlation
 from ..functions.ranks import hash_cut, keyed_hash
 from ..session import materialise, new_path
 from .features import FEATURES, feature_names
+from .many_fits import fit_many, with_places
 from .models import FittedModel, fit_model
+from .preprocess import preprocess
 from .stages import MODEL_STAGES
 
 CORRELATED = 0.95
@@ -455,9 +457,15 @@ def null_table(observed: DataFrame, nulls: DataFrame) -> DataFrame:
 
 
 def permutation_null(
-    features: DataFrame, split: DataFrame, *, n_rounds: int = 20, seed: int = 42, **options
+    features: DataFrame, split: DataFrame, *, n_rounds: int = 20, seed: int = 42, model: str = "gbt", **options
 ) -> tuple[DataFrame, DataFrame]:
-    """Observed grouped shares and those of refits on shuffled labels, same grouping and budget."""
+    """Observed grouped shares and those of refits on shuffled labels, same grouping and budget.
+
+    Linear models take :func:`linear_permutation_null`, which fits all stages and rounds in shared passes.
+    """
+    if model == "logreg" and not set(options) - {"stages"}:
+        return linear_permutation_null(features, split, n_rounds=n_rounds, seed=seed, **options)
+    options["model"] = model
     from .splits import permute_labels
 
     def long(table):
@@ -466,7 +474,7 @@ def permutation_null(
         for e in found.values():
             out = e.long() if out is None else out.unionByName(e.long())
         if out is None:
-            raise ValueError("no stage could be explained; the null has nothing to test")
+            raise ValueError("every stage lacks train or val rows; nothing to permute")
         return out
 
     real = long(features)
@@ -480,6 +488,59 @@ def permutation_null(
     return observed, nulls
 
 
+def linear_permutation_null(
+    features: DataFrame, split: DataFrame, *, n_rounds: int = 20, seed: int = 42, stages: Sequence[str] = MODEL_STAGES,
+    inverse_penalty: float = 1.0,
+) -> tuple[DataFrame, DataFrame]:
+    """The null of a linear model: every (stage, round) is one response over rows that are prepared once.
+
+    The attribution of a linear score is weight times distance from the train mean, so a round's mean
+    absolute attribution of a feature is its absolute weight times one mean over the validation rows.
+    """
+    spark, names, parts = features.sparkSession, {}, None
+    rows = features.where(F.col("stage").isin(list(stages))).join(
+        split.select("session_id", "partition"), "session_id").withColumn("y", F.col("label").cast("int"))
+    rows = materialise(with_places(rows, ["stage"]), "null_rows")
+    sizes = {r["stage"]: r for r in rows.groupBy("stage").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"), F.count_if(F.col("partition") == "train").alias("train"),
+        F.count_if(F.col("partition") == "val").alias("val")).collect()}  # one row per stage
+    for stage in stages:
+        if stage not in sizes or not sizes[stage]["train"] or not sizes[stage]["val"]:
+            continue
+        own = rows.where(F.col("stage") == stage)
+        prepared = preprocess(own.where(F.col("partition") == "train"), feature_names(stage), scale=True)
+        names[stage] = prepared.names
+        part = prepared.transform(own).select(
+            F.col("stage").alias("group"), "session_id", "partition", "place", vector_to_array("features").alias("x"))
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        raise ValueError("every stage lacks train or val rows; nothing to permute")
+    ready = materialise(parts, "null_ready")
+    width = {g: len(n) for g, n in names.items()}
+    fits = fit_many(ready.where("partition = 'train'"), {g: (sizes[g]["n"], sizes[g]["pos"]) for g in names}, width,
+                    n_rounds=n_rounds, seed=seed, inverse_penalty=inverse_penalty)
+    cells = ready.select("group", "partition", "session_id", F.posexplode("x").alias("i", "value"))
+    centre = cells.where("partition = 'train'").groupBy("group", "i").agg(F.avg("value").alias("mean"))
+    table = spark.createDataFrame(
+        [(g, i, f, float(fits.weights[g][0, i])) for g, own in names.items() for i, f in enumerate(own)],
+        "group string, i int, feature string, weight double")
+    known = F.broadcast(table.join(centre, ["group", "i"]))  # one row per stage and feature
+    real = materialise(cells.where("partition = 'val'").join(known, ["group", "i"]).select(
+        F.col("group").alias("stage"), "session_id", "feature", "value",
+        (F.col("weight") * (F.col("value") - F.col("mean"))).alias("shap")), "null_observed")
+    groups = reference_groups(correlation_groups(real))
+    observed = grouped_attribution(real, groups).select("stage", "group", "share")
+    spread = cells.where("partition = 'val'").join(F.broadcast(centre), ["group", "i"]).groupBy("group", "i").agg(
+        F.avg(F.abs(F.col("value") - F.col("mean"))).alias("spread"))
+    drawn = spark.createDataFrame(
+        [(r - 1, g, i, f, float(fits.weights[g][r, i])) for g, own in names.items() for r in range(1, n_rounds + 1) for i, f in enumerate(own)],
+        "round int, group string, i int, feature string, weight double")  # rounds times stages times features
+    drawn = drawn.join(F.broadcast(spread), ["group", "i"]).select(
+        "round", F.col("group").alias("stage"), "feature", (F.abs("weight") * F.col("spread")).alias("shap"))
+    return observed, null_shares(drawn, groups)
+
+
+
 def entropy_availability(attribution: DataFrame, feature: str = "category_entropy") -> DataFrame:
     """Share of explained rows where a feature is positive, and its attribution share
     overall and among those rows."""
