@@ -45,7 +45,19 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def discard(table: DataFrame | None) -> None:
+    """Delete a table that :func:`materialise` wrote, once nothing reads it any more."""
+    path = getattr(table, "_written_at", None)
+    if path is not None:
+        spark = table.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        table._written_at = None
 
 
 def materialise_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame, int]:
