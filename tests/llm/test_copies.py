@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wayfare.llm import line_dedup as ld
 from wayfare.llm import ngram_join as nj
 from wayfare.llm.common import components
+from wayfare.llm.linking import parity_words
 
 
 def union_find(ids, pairs):
@@ -85,6 +86,38 @@ def test_ngram_join(spark, docs, rows, odd, none):
     assert nj.ngram_components(none).collect() == []
 
 
+def test_one_of_each_judges_rows(spark):
+    a, b = "five words of one text here", "other words of another text there"
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, a), (5, a), (5, b), (None, a), (None, a), (7, near + " x"), (None, near), (8, None), (8, ""), (9, " "), (9, " "),
+            (None, "alone without an id, twice"), (None, "alone without an id, twice"), (4, "one row twice is one document"), (4, "one row twice is one document")]
+    got = nj.one_of_each(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, key long")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(
+        [(3, a), (5, b), (7, near + " x"), (8, None), (8, ""), (9, " "), (9, " "), (None, "alone without an id, twice")]
+        + [(4, "one row twice is one document")] * 2)
+
+
+def test_room_never_rules_out_a_link():
+    """Any two sets of similarity 0.8 share a signature that the bounds let through."""
+    rnd = np.random.default_rng(7)
+    for _ in range(400):
+        x = np.unique(rnd.integers(0, 1 << 63, int(rnd.integers(1, 300)), dtype=np.uint64))
+        y = x.copy()
+        for _ in range(int(rnd.integers(0, 2 + len(x) // 5))):
+            y = np.delete(y, rnd.integers(len(y))) if rnd.random() < 0.5 and len(y) > 1 else np.append(y, rnd.integers(0, 1 << 63, dtype=np.uint64))
+        y = np.unique(y)
+        common = len(np.intersect1d(x, y))
+        if 100 * common < 80 * (len(x) + len(y) - common):
+            continue
+        often = np.sort(rnd.choice(x, int(len(x) * rnd.choice([0, 0.5, 0.9, 1])), replace=False))
+        (s, r), (t, q) = nj.placed_signatures(x, often, 80), nj.placed_signatures(y, often, 80)
+        both, i, j = np.intersect1d(s, t, return_indices=True)
+        assert (180 * np.minimum(r[i], q[j]) >= 80 * (len(x) + len(y))).any()
+        marks = sum(int(a ^ b).bit_count() if a ^ b >= 0 else int((a ^ b) & (2**64 - 1)).bit_count()
+                    for a, b in zip(parity_words(x).tolist(), parity_words(y).tolist()))
+        assert marks <= len(x) + len(y) - 2 * common
+
+
 def test_signatures_never_miss():
     """Any two sets of similarity 0.8 share a signature, whichever tokens count as frequent."""
     rnd = np.random.default_rng(6)

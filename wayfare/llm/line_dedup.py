@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 from .common import arrow, map_batches, small_batches, text_key
-from .linking import link, shared_only
+from .linking import link, parity_words, shared_only
 
 RUN, BANDS, ROWS, LEAST_CHARS, SIMILARITY = 8, 9, 4, 8, 0.8
 _BINS = BANDS * ROWS
@@ -33,7 +33,7 @@ _EMPTY = np.uint64(1 << 32)
 _BASE = 0x9E3779B97F4A7C15
 _PLACES = 1 << 26
 _LINES = {"doc_id": pa.int64(), "text_key": pa.int64(), "n_filled": pa.int32(), "no": pa.list_(pa.int32()), "key": pa.list_(pa.int64()), "bands": pa.list_(pa.int64())}
-_TEXTS = {"key": pa.int64(), "line": pa.string()}
+_TEXTS = {"key": pa.int64(), "line": pa.string(), "n": pa.int64(), "marks": pa.list_(pa.int64())}
 
 
 def plain(line: str) -> str:
@@ -149,11 +149,21 @@ def _line_texts(docs: DataFrame, keys: DataFrame, least_chars: int) -> DataFrame
                     p = key % _PLACES
                     if held[p >> 3] >> (p & 7) & 1:
                         found[key] = line
-            return arrow(_TEXTS, list(found), list(found.values()))
+            sets = _run_sets(list(found.values()))
+            return arrow(_TEXTS, list(found), list(found.values()), [len(s) for s in sets], [parity_words(s) for s in sets])
 
         return step
 
-    return map_batches(docs.select(F.col("text").cast("string")), make, "key long, line string").dropDuplicates(["key"])
+    return map_batches(docs.select(F.col("text").cast("string")), make, "key long, line string, n long, marks array<long>").dropDuplicates(["key"])
+
+
+def _run_sets(lines: list[str]) -> list[np.ndarray]:
+    """The distinct run hashes of each line."""
+    if not lines:
+        return []
+    h, owner = run_hashes(lines)
+    bounds = np.searchsorted(owner, np.arange(len(lines) + 1))
+    return [np.unique(h[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -162,9 +172,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
             n = batch.num_rows
             if not n:
                 return None
-            h, owner = run_hashes(batch.column(2).to_pylist() + batch.column(3).to_pylist())
-            bounds = np.searchsorted(owner, np.arange(2 * n + 1))
-            sets = [np.unique(h[bounds[i]:bounds[i + 1]]) for i in range(2 * n)]
+            sets = _run_sets(batch.column(2).to_pylist() + batch.column(3).to_pylist())
             keep = []
             for s, t in zip(sets[:n], sets[n:]):
                 common = len(np.intersect1d(s, t, assume_unique=True))
@@ -187,9 +195,10 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least_chars: int
     signed = signed.where("l.key is not null")
     rows = shared_only(signed.select(F.explode("l.bands").alias("sig"), F.col("l.key").alias("id")))
     texts = materialise(_line_texts(docs, rows.select("id").distinct(), least_chars), "candidate-lines")
-    # Sizes of lines are not known as sets here, so none is ruled out by them.
-    rows = rows.withColumn("n", F.lit(1))
-    linked = link(rows, lambda pairs: _verified(pairs, texts, similarity), 0)
+    marks = texts.select(F.col("key").alias("id"), "n", "marks")
+    rows = rows.withColumn("room", F.lit(1 << 40))  # a band says nothing of places
+    linked = link(rows, marks, lambda pairs: _verified(pairs, texts, similarity), round(100 * similarity))
+    discard(texts)
     spots = described.select("doc_id", "text_key", F.explode(F.arrays_zip("no", "key")).alias("l"))
     first = spots.groupBy(F.col("l.key").alias("id")).agg(F.min(F.struct("doc_id", "text_key", "l.no", "l.key")).alias("spot"))
     first = first.join(linked.select("id", "component"), "id", "left")

@@ -11,12 +11,16 @@ The number of rounds only decides which comparisons are spared, never the result
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 from .common import components
 
+#: 64-bit words of a set's parity marks.
+MARK_WORDS = 8
+
 
 def shared_only(signatures: DataFrame) -> DataFrame:
     """The rows ``sig, id`` whose signature two ids or more have, written."""
@@ -42,45 +46,68 @@ def _pairs_left(open_rows: DataFrame) -> tuple[int, int]:
     return rows or 0, pairs or 0
 
 
-def link(rows: DataFrame, verify, percent: int, rounds: int = 3, spare: int = 4) -> DataFrame:
+def parity_words(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens of each of ``64 * MARK_WORDS`` slots, packed."""
+    parity = np.bincount((tokens & np.uint64(64 * MARK_WORDS - 1)).astype(np.int64), minlength=64 * MARK_WORDS) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
+def may_link(percent: int) -> str:
+    """What sizes, places and parities allow, between a row and ``other_*``, cheapest first.
+
+    Two sets of ``n`` and ``other_n`` tokens need ``common = percent * (n + other_n) / (100 + percent)`` common ones. ``room`` bounds
+    the common tokens of a pair that shares this signature. Slots of different parity are differing tokens.
+    """
+    differing = " + ".join(f"bit_count(marks[{k}] ^ other_marks[{k}])" for k in range(MARK_WORDS))
+    return (f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
+            f" and {100 + percent} * least(room, other_room) >= {percent} * (n + other_n)"
+            f" and {differing} <= n + other_n - 2 * ceil({percent} * (n + other_n) / {100 + percent})")
+
+
+def link(rows: DataFrame, marks: DataFrame, verify, percent: int, rounds: int = 3, spare: int = 4) -> DataFrame:
     """``id, component, n_links`` of all ids that link to another.
 
-    ``rows``: ``sig, id`` as of :func:`shared_only`, and a size ``n`` of the item; items whose sizes
-    differ by more than ``percent`` allows cannot link. ``verify(pairs)`` gets distinct pairs
+    ``rows``: ``sig, id, room`` as of :func:`shared_only`; ``marks``: ``id, n, marks`` of each id, its number of tokens and
+    their :func:`parity_words`. Pairs that :func:`may_link` rules out do not leave the join. ``verify(pairs)`` gets distinct pairs
     ``a < b`` and returns those that link. Rounds of pivots end after ``rounds``, or as soon as all pairs
     between components are at most ``spare`` for each row; then those pairs are compared, which is
-    the last round. ``n_links`` counts the links that were needed and found.
+    the last round. ``n_links`` counts the links that were needed and found. A table goes when its successor is written.
     """
-    spark, links, labels = rows.sparkSession, None, None
-
-    def likely(x: str, y: str) -> str:
-        return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
+    spark, links, labels, likely = rows.sparkSession, None, None, may_link(percent)
+    rows = materialise(rows.join(marks, "id"), "marked-signatures")
 
     for turn in range(rounds + 1):
         open_rows, last = _labelled(rows, labels), turn == rounds
         if turn:
             open_rows = materialise(open_rows, "open-signatures")
+            discard(rows)
+            rows = open_rows.drop("comp")
+            rows._written_at = open_rows._written_at
             n, left = _pairs_left(open_rows)
             if not left:
                 break
             last = last or left <= spare * n
         if not last:
-            key = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0), "id", "comp", "n")
+            key = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0), "id", "comp", "n", "room", "marks")
             pivots = open_rows.groupBy("sig").agg(F.min(key).alias("p")).select(
-                "sig", F.col("p.id").alias("pivot"), F.col("p.comp").alias("pivot_comp"), F.col("p.n").alias("pivot_n"))
-            met = open_rows.join(pivots, "sig").where("comp <> pivot_comp").where(likely("n", "pivot_n"))
+                "sig", F.col("p.id").alias("pivot"), F.col("p.comp").alias("pivot_comp"), F.col("p.n").alias("other_n"),
+                F.col("p.room").alias("other_room"), F.col("p.marks").alias("other_marks"))
+            met = open_rows.join(pivots, "sig").where("comp <> pivot_comp").where(likely)
             pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         else:
-            other = open_rows.select("sig", F.col("id").alias("b"), F.col("comp").alias("other_comp"), F.col("n").alias("other_n"))
+            other = open_rows.select("sig", F.col("id").alias("b"), F.col("comp").alias("other_comp"), F.col("n").alias("other_n"),
+                                     F.col("room").alias("other_room"), F.col("marks").alias("other_marks"))
             met = open_rows.withColumnRenamed("id", "a").join(other, "sig")
-            met = met.where("a < b and comp <> other_comp").where(likely("n", "other_n"))
+            met = met.where("a < b and comp <> other_comp").where(likely)
             pairs = met.select("a", "b").distinct()
         found = materialise(verify(pairs), "links")
         if found.head(1):
             links = found if links is None else links.unionByName(found)
-            labels = materialise(components(links), "labels")
+            before, labels = labels, materialise(components(links), "labels")
+            discard(before)
         if last:
             break
+    discard(rows)
     if labels is None:
         return spark.createDataFrame([], rows.select("id", F.col("id").alias("component"), F.lit(0).cast("long").alias("n_links")).schema)
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
