@@ -196,9 +196,10 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least_chars: int
     rows = shared_only(signed.select(F.explode("l.bands").alias("sig"), F.col("l.key").alias("id")))
     texts = materialise(_line_texts(docs, rows.select("id").distinct(), least_chars), "candidate-lines")
     marks = texts.select(F.col("key").alias("id"), "n", "marks")
-    rows = rows.withColumn("room", F.lit(1 << 40))  # a band says nothing of places
-    linked = link(rows, marks, lambda pairs: _verified(pairs, texts, similarity), round(100 * similarity))
-    discard(texts)
+    sized = rows.withColumn("room", F.lit(1 << 30))  # a band says nothing of places
+    linked = link(sized, marks, lambda pairs: _verified(pairs, texts, similarity), round(100 * similarity))
+    for written in (rows, texts):
+        discard(written)
     spots = described.select("doc_id", "text_key", F.explode(F.arrays_zip("no", "key")).alias("l"))
     first = spots.groupBy(F.col("l.key").alias("id")).agg(F.min(F.struct("doc_id", "text_key", "l.no", "l.key")).alias("spot"))
     first = first.join(linked.select("id", "component"), "id", "left")

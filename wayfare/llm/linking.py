@@ -69,12 +69,14 @@ def link(rows: DataFrame, marks: DataFrame, verify, percent: int, rounds: int =
 
     ``rows``: ``sig, id, room`` as of :func:`shared_only`; ``marks``: ``id, n, marks`` of each id, its number of tokens and
     their :func:`parity_words`. Pairs that :func:`may_link` rules out do not leave the join. ``verify(pairs)`` gets distinct pairs
-    ``a < b`` and returns those that link. Rounds of pivots end after ``rounds``, or as soon as all pairs
+    ``a < b`` and returns those that link. ``rows`` is deleted. Rounds of pivots end after ``rounds``, or as soon as all pairs
     between components are at most ``spare`` for each row; then those pairs are compared, which is
     the last round. ``n_links`` counts the links that were needed and found. A table goes when its successor is written.
     """
     spark, links, labels, likely = rows.sparkSession, None, None, may_link(percent)
-    rows = materialise(rows.join(marks, "id"), "marked-signatures")
+    marked = materialise(rows.join(marks, "id"), "marked-signatures")
+    discard(rows)
+    rows = marked
 
     for turn in range(rounds + 1):
         open_rows, last = _labelled(rows, labels), turn == rounds
