@@ -60,7 +60,7 @@ def may_link(percent: int) -> str:
     """
     differing = " + ".join(f"bit_count(marks[{k}] ^ other_marks[{k}])" for k in range(MARK_WORDS))
     return (f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
-            f" and {100 + percent} * least(room, other_room) >= {percent} * (n + other_n)"
+            f" and {100 + percent} * cast(least(room, other_room) as bigint) >= {percent} * (n + other_n)"
             f" and {differing} <= n + other_n - 2 * ceil({percent} * (n + other_n) / {100 + percent})")
 
 
