@@ -67,11 +67,19 @@ def _(a: Artefacts):
         F.count(F.lit(1)).alias("n_rows"), F.count_if("p.here").alias("n_present"))
 
 
-@query("table_audit", """
-    SELECT count(*) AS n_rows, bit_xor(CAST('0x' || substr(md5('=' || seq || '|=' || user_id || '|='
-      || event_type || '|=' || product_id), 1, 15) AS BIGINT)) AS digest FROM j_events""")
+# All columns; times as microseconds and prices as hundredths, whose text is the same in every engine.
+_AUDITED = ["seq", "user_id", "event_time", "event_type", "product_id", "category_id", "price", "user_session"]
+_AUDITED_SQL = " || '|' || ".join(
+    "coalesce('=' || " + {"event_time": "epoch_us(event_time)", "price": "CAST(round(price * 100) AS BIGINT)"}.get(c, c) + ", '~')"
+    for c in _AUDITED)
+
+
+@query("table_audit", f"""
+    SELECT count(*) AS n_rows, bit_xor(CAST('0x' || substr(md5({_AUDITED_SQL}), 1, 15) AS BIGINT)) AS digest FROM j_events""")
 def _(a: Artefacts):
-    return tables.table_audit(a.events, ["seq", "user_id", "event_type", "product_id"])
+    exact = a.events.withColumns({
+        "event_time": F.unix_micros(F.col("event_time").cast("timestamp")), "price": F.round(F.col("price") * 100).cast("bigint")})
+    return tables.table_audit(exact, _AUDITED)
 
 
 @query("write_table", """
