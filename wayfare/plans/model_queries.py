@@ -9,6 +9,7 @@ from ..operators import calibration, models, preprocess
 from ..operators.features import FEATURE_SETS, feature_names
 from ..operators.decisions import static_summary as summary_of
 from ..operators.splits import month_split
+from ..operators.stages import MODEL_STAGES
 from ..operators.cleaning import prepare_static
 from ..session import materialise, new_path
 from ..sources.provided import MONTHS
@@ -106,16 +107,17 @@ def _(a: Artefacts):
 
 @query("fit_models")
 def _(a: Artefacts):
-    rows = a.features.where(F.col("stage") == "S1").join(
-        a.split.select("session_id", "partition"), "session_id").withColumn("y", F.col("label").cast("int"))
-    rows = materialise(rows, "fit_rows")
-    train = rows.where(F.col("partition") == "train")
     out = None
-    for kind in ("logreg", "random_forest", "gbt"):
-        fitted = models.fit_model(train, kind, feature_names("S1"), seed=42, params=SMALL.get(kind))
-        part = fitted.score(rows).select(
-            F.lit(kind).alias("model"), "session_id", "partition", "y", F.round("score", 6).alias("score"))
-        out = part if out is None else out.unionByName(part)
+    for stage in MODEL_STAGES:
+        rows = a.features.where(F.col("stage") == stage).join(
+            a.split.select("session_id", "partition"), "session_id").withColumn("y", F.col("label").cast("int"))
+        rows = materialise(rows, "fit_rows")
+        train = rows.where(F.col("partition") == "train")
+        for kind in ("logreg", "random_forest", "gbt"):
+            fitted = models.fit_model(train, kind, feature_names(stage), seed=42, params=SMALL.get(kind))
+            part = fitted.score(rows).select(
+                "stage", F.lit(kind).alias("model"), "session_id", "partition", "y", F.round("score", 6).alias("score"))
+            out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -166,46 +168,37 @@ def _(a: Artefacts):
 
 
 # calibration ------------------------------------------------------------------------
-cte("c_levels", """
-    SELECT stage, score, avg(y) AS m, count(*) AS w FROM j_scores
-    WHERE feature_set = 'full' AND seed = 42 AND "partition" = 'train' GROUP BY 1, 2""")
-cte("c_sums", """
-    SELECT stage, score, row_number() OVER o AS i, sum(m * w) OVER o AS sy, sum(w) OVER o AS sw
-    FROM c_levels WINDOW o AS (PARTITION BY stage ORDER BY score)""")
-cte("c_spans", """
-    SELECT a.stage, a.i AS lo, b.i AS hi, (b.sy - coalesce(p.sy, 0)) / (b.sw - coalesce(p.sw, 0)) AS mean
-    FROM c_sums a JOIN c_sums b ON a.stage = b.stage AND a.i <= b.i
-    LEFT JOIN c_sums p ON p.stage = a.stage AND p.i = a.i - 1""")
-cte("c_lower", """
-    SELECT s.stage, s.i, x.lo, min(x.mean) AS least FROM c_sums s
-    JOIN c_spans x ON x.stage = s.stage AND x.lo <= s.i AND x.hi >= s.i GROUP BY 1, 2, 3""")
-cte("c_iso", """
-    SELECT s.stage, s.score, max(least) AS fitted FROM c_sums s JOIN c_lower l ON s.stage = l.stage AND s.i = l.i
-    GROUP BY 1, 2""")
-
-
-@query("calibrate_isotonic", f"SELECT stage, score, {rnd('fitted')} AS calibrated FROM c_iso")
+_C = "stage, feature_set, seed"
+cte("c_levels", f"""
+    SELECT {_C}, score, avg(y) AS m, count(*) AS w FROM j_scores WHERE "partition" = 'train' GROUP BY {_C}, score""")
+cte("c_sums", f"""
+    SELECT {_C}, score, row_number() OVER o AS i, sum(m * w) OVER o AS sy, sum(w) OVER o AS sw
+    FROM c_levels WINDOW o AS (PARTITION BY {_C} ORDER BY score)""")
+cte("c_spans", f"""
+    SELECT a.stage, a.feature_set, a.seed, a.i AS lo, b.i AS hi, (b.sy - coalesce(p.sy, 0)) / (b.sw - coalesce(p.sw, 0)) AS mean
+    FROM c_sums a JOIN c_sums b ON a.stage = b.stage AND a.feature_set = b.feature_set AND a.seed = b.seed AND a.i <= b.i
+    LEFT JOIN c_sums p ON p.stage = a.stage AND p.feature_set = a.feature_set AND p.seed = a.seed AND p.i = a.i - 1""")
+# Least mean from lo to any place at or after i, then the greatest over all lo up to i.
+cte("c_lower", f"""
+    SELECT {_C}, lo, hi AS i, min(mean) OVER (PARTITION BY {_C}, lo ORDER BY hi ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least
+    FROM c_spans""")
+cte("c_iso", f"SELECT {_C}, score, max(least) AS fitted FROM c_sums JOIN c_lower USING ({_C}, i) GROUP BY {_C}, score")
+
+
+@query("calibrate_isotonic", f"SELECT {_C}, score, {rnd('fitted')} AS calibrated FROM c_iso")
 def _(a: Artefacts):
-    train = a.scores.where((F.col("feature_set") == "full") & (F.col("seed") == 42) & (F.col("partition") == "train"))
-    train = materialise(train, "calibration")
-    out = None
-    for stage in ("S1", "S2", "S3"):
-        rows = train.where(F.col("stage") == stage)
-        part = calibration.calibrate_isotonic(rows).transform(rows.select("stage", "score").distinct())
-        out = part if out is None else out.unionByName(part)
-    return rounded(out.select("stage", "score", "calibrated"))
+    train = a.scores.where(F.col("partition") == "train")
+    by = ["stage", "feature_set", "seed"]
+    fit = calibration.calibrate_isotonic(train, by)
+    return rounded(fit.transform(train.select(*by, "score").distinct()).select(*by, "score", "calibrated"))
 
 
 @query("calibrate_sigmoid")
 def _(a: Artefacts):
-    train = a.scores.where((F.col("feature_set") == "full") & (F.col("seed") == 42) & (F.col("partition") == "train"))
-    train = materialise(train, "calibration")
-    out = None
-    for stage in ("S1", "S2", "S3"):
-        rows = train.where(F.col("stage") == stage)
-        part = calibration.calibrate_sigmoid(rows).transform(rows.select("stage", "session_id", "y", "score"))
-        out = part if out is None else out.unionByName(part)
-    return rounded(out.select("stage", "session_id", "y", "score", "calibrated"))
+    train = materialise(a.scores.where(F.col("partition") == "train"), "calibration")
+    by = ["stage", "feature_set", "seed"]
+    fit = calibration.calibrate_sigmoid(train, by)
+    return rounded(fit.transform(train.select(*by, "session_id", "y", "score")))
 
 
 _SOURCE = 0.59
