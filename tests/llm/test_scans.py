@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import tempfile
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -169,3 +170,26 @@ def test_a_leaked_row_leaves_others_of_its_id(spark, small):
         folder = tempfile.mkdtemp(prefix="run-")
         benchmark.write.parquet(f"{folder}/benchmark.parquet")
         assert Counter(map(tuple, pipeline.benchmark_decontamination(spark, table, folder).collect())) == want
+
+
+def test_weighted_similarity(spark):
+    rnd = random.Random(4)
+    pairs = [([rnd.randrange(k) for _ in range(rnd.randrange(1, 30))], [rnd.randrange(k) for _ in range(rnd.randrange(1, 30))]) for k in (1, 2, 5, 40) * 20]
+    table = spark.createDataFrame([*pairs, ([], [])], "a array<bigint>, b array<bigint>")
+    got = table.select("a", "b", dc.weighted_similarity(table.a, table.b).alias("s"), dc.occurrences(table.a).alias("o")).collect()
+    for r in got:
+        a, b = Counter(r.a), Counter(r.b)
+        assert len(set(r.o)) == len(r.a)
+        assert r.s == (pytest.approx(sum((a & b).values()) / sum((a | b).values())) if a or b else None)
+
+
+def test_contamination_of_a_long_text(spark):
+    """Time grows with the words: their square would take minutes here."""
+    rnd = random.Random(5)
+    item = " ".join(f"w{k % 7}" for k in range(40))
+    own = [f"word{rnd.randrange(10**6)}" for _ in range(200_000)]
+    table = spark.createDataFrame([(1, " ".join([*own, item])), (2, " ".join(own))], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    start = time.monotonic()
+    assert [(r.doc_id, r.item_id, r.similarity, r.at) for r in dc.contamination(table, benchmark).collect()] == [(1, 7, 1.0, 200_000)]
+    assert time.monotonic() - start < 60
