@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfare.operators import calibration, models
+from wayfare.operators import calibration, decisions, metrics, models
 from wayfare.operators.features import feature_names
 from wayfare.operators.splits import stratified_slice
 from wayfare.plans import runs
@@ -98,3 +98,17 @@ def test_sigmoid_of_several_runs(spark):
             w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x, x.T @ (p - y))
         assert [got[run, v] for v in s[:50]] == pytest.approx((1 / (1 + np.exp(-(w[0] * s[:50] + w[1])))).tolist(), abs=1e-6)
     assert got["one", 0.5] > 0.99
+
+
+def test_headline_runs_have_intervals(found):
+    for r in found.results.collect():
+        for m in metrics.INTERVAL_METRICS:
+            low, high = r[f"{m}_ci_low"], r[f"{m}_ci_high"]
+            if r["feature_set"] == "full":
+                assert low <= r[m] <= high and low < high, (r["stage"], r["seed"], m)
+            else:
+                assert low is None and high is None
+    table = decisions.stage_performance(found.results)
+    means = {r["stage"]: r for r in table.collect()}
+    assert {"pr_auc_ci_low", "pr_auc_ci_high", "roc_auc_ci_low", "roc_auc_ci_high"} <= set(table.columns)
+    assert all(r["pr_auc_ci_low"] < r["pr_auc"] < r["pr_auc_ci_high"] for r in means.values()) and set(means) == {"S1", "S2"}

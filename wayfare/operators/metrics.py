@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import pr_gain, pr_lift, ratio
 from ..functions.ranks import ROWS_PER_CHUNK, running_totals
 
+#: Metrics that need no threshold; reports carry intervals for them.
+INTERVAL_METRICS = ("pr_auc", "pr_gain", "pr_lift", "roc_auc", "brier")
+
 
 def join_runs(df: DataFrame, per_run: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Attach a table with one row per run.
@@ -183,9 +186,14 @@ def select_threshold(
 
 
 def classification_report(
-    counts: DataFrame, thresholds: DataFrame, groups: Sequence[str] = ()
+    counts: DataFrame, thresholds: DataFrame, groups: Sequence[str] = (), *, intervals: DataFrame | None = None,
+    interval_metrics: Sequence[str] = INTERVAL_METRICS,
 ) -> DataFrame:
-    """All metrics of each run at its given threshold."""
+    """All metrics of each run at its given threshold.
+
+    ``intervals`` is the long table of ``bootstrap_multi`` over the scores behind ``counts``, for all runs
+    or some: each of ``interval_metrics`` gets ``<metric>_ci_low`` and ``<metric>_ci_high``, null for runs left out.
+    """
     groups = list(groups)
     joined = join_runs(counts, thresholds, groups)
     over = F.col("score") >= F.col("threshold")
@@ -201,7 +209,21 @@ def classification_report(
     out = ranking_metrics(counts, groups)
     for part in (ece(counts, groups, strategy="quantile"), fixed):
         out = join_runs(out, part, groups)
-    return out
+    if intervals is None:
+        return out
+    wide = F.broadcast(interval_columns(intervals, groups, interval_metrics))  # one row per run
+    return out.join(wide, groups, "left") if groups else out.crossJoin(wide)
+
+
+def interval_columns(
+    intervals: DataFrame, groups: Sequence[str] = (), metrics: Sequence[str] = INTERVAL_METRICS,
+) -> DataFrame:
+    """One row per run with ``<metric>_ci_low`` and ``<metric>_ci_high``."""
+    if not metrics:
+        raise ValueError("no metrics given")
+    return intervals.groupBy(*groups).agg(*[
+        F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}")
+        for m in metrics for side in ("ci_low", "ci_high")])
 
 
 def aggregate_seeds(

@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import pr_gain, pr_lift
 from ..functions.ranks import chunk_bounds, value_chunk
 from ..session import materialise_counted
+from .metrics import INTERVAL_METRICS, ranking_metrics, threshold_counts
 
 MIN_RESAMPLES = 2000
-METRICS = ("pr_auc", "pr_gain", "pr_lift", "roc_auc", "brier")
+METRICS = INTERVAL_METRICS
 _BLOCK = 250
 _CELL_ROWS = 50_000
 _CELL_LIMIT = 200_000
@@ -195,8 +196,6 @@ def intervals(draws: DataFrame, metrics: Sequence[str], keys: Sequence[str], alp
 
 def _points(scores: DataFrame, columns, groups) -> DataFrame:
     """Observed metrics per column, long form."""
-    from .metrics import ranking_metrics, threshold_counts
-
     long = scores.select(*groups, "y", F.explode(F.array(*[
         F.struct(F.lit(c).alias("axis"), F.col(c).alias("score")) for c in columns])).alias("s")).select(
         *groups, "y", "s.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import adjust_prior, pr_gain, pr_lift
-from ..operators import decisions, metrics
+from ..operators import decisions, metrics, resampling
 from ..operators.splits import common_cohort
 from .artefacts import RUN, Artefacts
 from .registry import query, r, rnd, rounded
@@ -132,6 +132,18 @@ def _(a: Artefacts):
     return rounded(metrics.classification_report(a.counts, a.thresholds, RUN))
 
 
+@query("report_intervals", f"""
+    SELECT {_RUN}, n, {r(*metrics.INTERVAL_METRICS)}, {', '.join(f"true AS {m}_inside" for m in metrics.INTERVAL_METRICS)}
+    FROM m_results WHERE feature_set = 'full'""")
+def _(a: Artefacts):
+    """Reports of the headline set with intervals of 2,000 shared draws; a point lies inside its interval."""
+    headline = F.col("feature_set") == "full"
+    found = resampling.bootstrap_multi(a.test_scores.where(headline).select(*RUN, "y", "score"), groups=RUN)
+    report = metrics.classification_report(a.counts.where(headline), a.thresholds.where(headline), RUN, intervals=found)
+    inside = [F.col(m).between(F.col(f"{m}_ci_low"), F.col(f"{m}_ci_high")).alias(f"{m}_inside") for m in metrics.INTERVAL_METRICS]
+    return rounded(report.select(*RUN, "n", *metrics.INTERVAL_METRICS, *inside))
+
+
 _AGG = ("pr_auc", "roc_auc", "brier", "ece", "f1")
 
 

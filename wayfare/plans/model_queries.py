@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calibration, models, preprocess
 from ..operators.features import FEATURE_SETS, feature_names
-from ..operators.decisions import static_summary as summary_of
+from ..operators.decisions import stage_performance, static_summary as summary_of
 from ..operators.splits import month_split
 from ..operators.stages import MODEL_STAGES
 from ..operators.cleaning import prepare_static
@@ -126,6 +126,11 @@ def _(a: Artefacts):
     return rounded(stage_runs(a).results)
 
 
+@query("stage_performance_intervals")
+def _(a: Artefacts):
+    return rounded(stage_performance(stage_runs(a).results))
+
+
 @query("run_common_cohort")
 def _(a: Artefacts):
     return rounded(runs.run_common_cohort(a.features, a.split, models=("logreg",), seeds=SEEDS).results)

@@ -21,6 +21,7 @@ from ..operators.features import feature_names
 from ..operators.metrics import classification_report, select_threshold, threshold_counts
 from ..operators.models import NEEDS_SCALING, balanced, build_model
 from ..operators.preprocess import preprocess
+from ..operators.resampling import MIN_RESAMPLES, bootstrap_multi
 from ..operators.splits import common_cohort, stratified_slice
 from ..operators.stages import MODEL_STAGES
 from ..session import materialise
@@ -86,9 +87,13 @@ class Job:
     params: dict[str, dict] | dict | None = None
 
 
-def _run_jobs(jobs: list[Job], models, seeds, *, imbalance, calibrate, evaluate=None) -> Runs:
+def _run_jobs(jobs: list[Job], models, seeds, *, imbalance, calibrate, evaluate=None, intervals_for=("full",),
+              n_resamples=MIN_RESAMPLES) -> Runs:
     """All runs of all jobs.
 
+    Runs on the feature sets in ``intervals_for`` get bootstrap intervals of their test metrics, all from one set of
+    passes; the other sets are compared over seeds.
+
     Preprocessing happens once per stage, set and scaling; fits run beside each other, ``POOL`` at a time, so that small
     ones do not wait for each other's single tasks; a model without randomness is fitted once for all seeds. Scores, calibration,
     thresholds, metrics and priors are each one pass for all runs together.
@@ -136,7 +141,11 @@ def _run_jobs(jobs: list[Job], models, seeds, *, imbalance, calibrate, evaluate=
     test = scores.where(F.col("partition") == "test")
     if evaluate is not None:
         test = test.join(evaluate, "session_id", "left_semi")
-    results = classification_report(threshold_counts(test, KEYS), thresholds, KEYS)
+    intervals = None
+    if intervals_for:
+        headline = test.where(F.col("feature_set").isin(list(intervals_for))).select(*KEYS, "y", "score")
+        intervals = materialise(bootstrap_multi(headline, groups=KEYS, n_resamples=n_resamples), "intervals")  # per run and metric
+    results = classification_report(threshold_counts(test, KEYS), thresholds, KEYS, intervals=intervals)
     estimated = estimate_prior_em(test, priors, KEYS).select(
         *KEYS, F.col("prior_source").alias("prior_calibration"), "prior_estimated")
     return Runs(scores, thresholds, materialise(results.join(F.broadcast(estimated), KEYS, "left"), "results"))  # one row per run
@@ -147,13 +156,14 @@ def run_stage_models(
     models: Sequence[str] = ("gbt",), seeds: Sequence[int] = (42,), feature_sets: Sequence[str] = ("full",),
     imbalance: str = "class_weight", calibrate: str = "isotonic", calibration_fraction: float = 0.20,
     params: dict[str, dict] | None = None, cohort: DataFrame | None = None,
-    train_on_cohort: bool = False,
+    train_on_cohort: bool = False, intervals_for: Sequence[str] = ("full",), n_resamples: int = MIN_RESAMPLES,
 ) -> Runs:
     """Fit and score one model per (stage, model, feature set, seed).
 
     The calibration slice is drawn once per stage, so every run of a stage fits
     and calibrates on the same rows. ``params`` maps a stage to tuned
     parameters. With ``cohort`` the test metrics cover those sessions only.
+    Runs on ``intervals_for`` carry interval columns of ``n_resamples`` draws.
     """
     if params and len(models) != 1:
         raise ValueError("tuned parameters belong to exactly one model type")
@@ -181,7 +191,8 @@ def run_stage_models(
                  for name in feature_sets]
     if not jobs:
         raise ValueError("the test partition holds no positive session at any stage")
-    return _run_jobs(jobs, models, seeds, imbalance=imbalance, calibrate=calibrate, evaluate=cohort)
+    return _run_jobs(jobs, models, seeds, imbalance=imbalance, calibrate=calibrate, evaluate=cohort,
+                     intervals_for=intervals_for, n_resamples=n_resamples)
 
 
 def run_common_cohort(features: DataFrame, split: DataFrame, *, train_on_cohort: bool = False, **options) -> Runs:
