@@ -4,10 +4,12 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from wayfare.functions import ranks
 from wayfare.operators import attribution as at
 from wayfare.operators import models, preprocess, quality, sequences
 
@@ -357,3 +359,30 @@ def test_permutation_null_query_takes_all_stages_and_rounds(monkeypatch):
     queries.query.__globals__["QUERIES"]["permutation_null"](None, "")
     assert calls[0].get("n_rounds", real["permutation_null"].parameters["n_rounds"].default) == 20
     assert calls[0].get("stages", real["explain_stages"].parameters["stages"].default) == MODEL_STAGES
+
+
+@pytest.mark.parametrize("rows_per_chunk", [7, 40, 10**6])
+def test_mid_ranks_of_groups(spark, rows_per_chunk):
+    """Ties, a value that most rows of a group share, nulls and a constant group, whatever the chunks."""
+    rng = np.random.default_rng(8)
+    rows = [("a", int(i), float(v), float(w)) for i, (v, w) in enumerate(zip(rng.integers(0, 9, 150), rng.normal(size=150)))]
+    rows += [("b", i, 0.0 if i % 3 else float(i), 1.0) for i in range(90)] + [("c", i, None, float(-i)) for i in range(5)]
+    table = spark.createDataFrame(rows, "g string, i int, v double, w double")
+    got = ranks.mid_ranks(table, {"v": "rv", "w": "rw"}, ["g"], rows_per_chunk=rows_per_chunk).toPandas()
+    want = pd.DataFrame(rows, columns=["g", "i", "v", "w"]).assign(v=lambda t: t.v.fillna(-1.0))
+    want["rv"], want["rw"] = (want.groupby("g")[c].rank() for c in ("v", "w"))
+    both = got.merge(want[["g", "i", "rv", "rw"]], on=["g", "i"], suffixes=("", "_want"))
+    assert len(both) == len(got) == len(rows) and list(got.columns) == ["g", "i", "v", "w", "rv", "rw"]
+    assert (both.rv == both.rv_want).all() and (both.rw == both.rw_want).all()
+
+
+def test_rank_correlations_of_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    wide = pd.DataFrame(rng.integers(0, 12, (200, 5)).astype(float), columns=list("vwxyz")).assign(z=3.0)
+    rows = [(s, f"s{i}", f, float(v), 0.0) for s in ("S1", "S2") for i, r in wide.iterrows() for f, v in r.items()]
+    rho = wide.corr(method="spearman")
+    for chunk in (30, 10**6):
+        got = at.rank_correlations(spark.createDataFrame(rows, LONG), rows_per_chunk=chunk).collect()
+        assert len(got) == 2 * 10
+        for r in got:
+            assert r.rho is None if "z" in (r.a, r.b) else r.rho == pytest.approx(rho.loc[r.a, r.b])

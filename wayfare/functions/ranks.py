@@ -166,6 +166,37 @@ def running_totals(
     )
 
 
+def mid_ranks(
+    df: DataFrame, ranks: dict[str, str], groups: Sequence[str] = (), *, rows_per_chunk: int = ROWS_PER_CHUNK,
+) -> DataFrame:
+    """Add, for each ``value: name`` of ``ranks``, the 1-based rank within the group; ties share their mean rank.
+
+    Ranks come from running totals over the value histogram, so no task sorts a whole group. They go back to the
+    rows by value; values of more than ``rows_per_chunk`` rows, of which there are at most rows / ``rows_per_chunk``,
+    are broadcast, so that no such value is one task's join. Null values rank first; rows with a null group have no rank
+    and are left out. ``df`` is read several times and should be a written table.
+    """
+    groups, out = list(groups), df
+    keys = [f"_k{i}" for i in range(len(groups))]
+    for value, name in ranks.items():
+        counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+        totals = running_totals(counts, value, ["_n"], groups, rows_per_chunk=rows_per_chunk)
+        found, _ = materialise_counted(totals.select(
+            *[F.col(g).alias(k) for g, k in zip(groups, keys)], F.col(value).alias("_kv"),
+            (F.col("_n_cum") - (F.col("_n") - 1) / 2).alias(name), "_n"), "ranks")
+        same = F.col(value).eqNullSafe(F.col("_kv"))
+        for g, k in zip(groups, keys):
+            same = same & (F.col(g) == F.col(k))
+        common = F.broadcast(found.where(F.col("_n") > rows_per_chunk))
+        kept = [*out.columns, name]
+        if found.where(F.col("_n") > rows_per_chunk).isEmpty():
+            out = out.join(found, same).select(*kept)
+        else:
+            rare = out.join(common, same, "left_anti").join(found.where(F.col("_n") <= rows_per_chunk), same)
+            out = out.join(common, same).select(*kept).unionByName(rare.select(*kept))
+    return out
+
+
 def nearest_quantiles(
     df: DataFrame, columns: Sequence[str], q: float, groups: Sequence[str] = (), width: int = 4096
 ) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import correlation
-from ..functions.ranks import hash_cut, keyed_hash
+from ..functions.ranks import ROWS_PER_CHUNK, hash_cut, keyed_hash, mid_ranks
 from ..session import materialise, new_path
 from .features import FEATURES, feature_names
 from .many_fits import fit_many, with_places
@@ -281,23 +281,29 @@ def global_importance(attribution: DataFrame, by: Sequence[str] = ("stage",)) ->
 
 
 def _midranks(table: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
+    """Mid-ranks of short lists (features, concepts); rows of data go through ``mid_ranks``."""
     w = Window.partitionBy(*by)
     ties = F.count(F.lit(1)).over(Window.partitionBy(*by, column))
     return table.withColumn("_rank", F.rank().over(w.orderBy(column)) + (ties - 1) / 2)
 
 
-def rank_correlations(attribution: DataFrame, by: Sequence[str] = ("stage",)) -> DataFrame:
-    """Spearman correlation of the values of every pair of features per stage."""
+def rank_correlations(attribution: DataFrame, by: Sequence[str] = ("stage",), *, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Spearman correlation of the values of every pair of features per stage.
+
+    A session's ranks meet in one row; the products of all pairs are summed by one aggregate with partial results.
+    """
     by = list(by)
-    ranked = _midranks(attribution.select(*by, "session_id", "feature", "value"), "value", [*by, "feature"])
-    ranked = ranked.select(*by, "session_id", "feature", "_rank")
-    a, b = ranked.alias("a"), ranked.alias("b")
-    on = (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a.feature") < F.col("b.feature"))
-    for k in by:
-        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    # pairs are over the features of one session: a fixed number per explained row
-    return a.join(b, on).groupBy(*[F.col(f"a.{k}") for k in by], F.col("a.feature").alias("a"),
-                                 F.col("b.feature").alias("b")).agg(correlation("a._rank", "b._rank").alias("rho"))
+    values = materialise(attribution.where(F.col("session_id").isNotNull()).select(*by, "session_id", "feature", "value"), "values")
+    ranked = mid_ranks(values, {"value": "rank"}, [*by, "feature"], rows_per_chunk=rows_per_chunk)
+    # one entry per feature: a fixed number per explained row
+    rows = ranked.groupBy(*by, "session_id").agg(F.array_sort(F.collect_list(F.struct("feature", "rank"))).alias("c"))
+
+    def partners(x, i):
+        return F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.struct(
+            x["feature"].alias("a"), y["feature"].alias("b"), x["rank"].alias("x"), y["rank"].alias("y")))
+
+    pairs = rows.select(*by, F.explode(F.flatten(F.transform("c", partners))).alias("p")).select(*by, "p.*")
+    return pairs.where("a < b").groupBy(*by, "a", "b").agg(correlation("x", "y").alias("rho"))
 
 
 def correlation_groups(attribution: DataFrame, *, threshold: float = CORRELATED) -> DataFrame:

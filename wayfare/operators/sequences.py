@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import correlation, micros
-from ..functions.ranks import hash_rank
+from ..functions.ranks import ROWS_PER_CHUNK, hash_rank, mid_ranks
+from ..session import materialise
 from ..sources.schema import EventColumns
 from .attribution import _midranks
 
@@ -153,7 +154,8 @@ def concept_values(attribution: DataFrame, by: Sequence[str] = ("stage",)) -> Da
 
 
 def per_instance_agreement(
-    tabular: DataFrame, sequence: DataFrame, by: Sequence[str] = ("stage",), *, min_shared: int = MIN_SHARED
+    tabular: DataFrame, sequence: DataFrame, by: Sequence[str] = ("stage",), *, min_shared: int = MIN_SHARED,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Per concept, correlation of both families' attributions over shared sessions.
 
@@ -163,9 +165,8 @@ def per_instance_agreement(
     """
     by = list(by)
     keys = [*by, "concept"]
-    both = tabular.join(sequence, [*keys, "session_id"])
-    ranked = _midranks(both, "tabular", keys).withColumnRenamed("_rank", "_t")
-    ranked = _midranks(ranked, "sequence", keys).withColumnRenamed("_rank", "_s")
+    both = materialise(tabular.join(sequence, [*keys, "session_id"]), "both_families")
+    ranked = mid_ranks(both, {"tabular": "_t", "sequence": "_s"}, keys, rows_per_chunk=rows_per_chunk)
     table = ranked.groupBy(*keys).agg(
         correlation("_t", "_s").alias("spearman"), correlation("tabular", "sequence").alias("pearson"),
         F.count(F.lit(1)).alias("n_sessions"),
