@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import materialise_counted
+from ..session import materialise, materialise_counted
 
 #: Rows that one ordered window holds on average; their number gives the number of chunks.
 ROWS_PER_CHUNK = 1_000_000
@@ -176,22 +176,23 @@ def mid_ranks(
     are broadcast, so that no such value is one task's join. Null values rank first; rows with a null group have no rank
     and are left out. ``df`` is read several times and should be a written table.
     """
-    groups, out = list(groups), df
+    groups, out, few = list(groups), df, df.count() <= rows_per_chunk
     keys = [f"_k{i}" for i in range(len(groups))]
     for value, name in ranks.items():
         counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
         totals = running_totals(counts, value, ["_n"], groups, rows_per_chunk=rows_per_chunk)
-        found, _ = materialise_counted(totals.select(
+        found = totals.select(
             *[F.col(g).alias(k) for g, k in zip(groups, keys)], F.col(value).alias("_kv"),
-            (F.col("_n_cum") - (F.col("_n") - 1) / 2).alias(name), "_n"), "ranks")
+            (F.col("_n_cum") - (F.col("_n") - 1) / 2).alias(name), "_n")
         same = F.col(value).eqNullSafe(F.col("_kv"))
         for g, k in zip(groups, keys):
             same = same & (F.col(g) == F.col(k))
-        common = F.broadcast(found.where(F.col("_n") > rows_per_chunk))
         kept = [*out.columns, name]
-        if found.where(F.col("_n") > rows_per_chunk).isEmpty():
+        if few:  # no value can have more rows than a chunk
             out = out.join(found, same).select(*kept)
         else:
+            found = materialise(found, "ranks")
+            common = F.broadcast(found.where(F.col("_n") > rows_per_chunk))
             rare = out.join(common, same, "left_anti").join(found.where(F.col("_n") <= rows_per_chunk), same)
             out = out.join(common, same).select(*kept).unionByName(rare.select(*kept))
     return out

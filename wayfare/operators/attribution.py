@@ -291,9 +291,10 @@ def rank_correlations(attribution: DataFrame, by: Sequence[str] = ("stage",), *,
     """Spearman correlation of the values of every pair of features per stage.
 
     A session's ranks meet in one row; the products of all pairs are summed by one aggregate with partial results.
+    ``attribution`` is read several times and should be a written table.
     """
     by = list(by)
-    values = materialise(attribution.where(F.col("session_id").isNotNull()).select(*by, "session_id", "feature", "value"), "values")
+    values = attribution.where(F.col("session_id").isNotNull()).select(*by, "session_id", "feature", "value")
     ranked = mid_ranks(values, {"value": "rank"}, [*by, "feature"], rows_per_chunk=rows_per_chunk)
     # one entry per feature: a fixed number per explained row
     rows = ranked.groupBy(*by, "session_id").agg(F.array_sort(F.collect_list(F.struct("feature", "rank"))).alias("c"))
