@@ -116,6 +116,17 @@ def test_hot_users_are_cut_the_same_way(spark):
     assert plain.exceptAll(chunked).count() == 0 and chunked.count() == 600
 
 
+def test_a_burst_is_counted_without_ordering_its_events(spark):
+    events = spark.range(40_000).select(
+        F.lit(1).alias("user_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 60 + F.when(F.col("id") == 7, 9_000).otherwise(0)).alias("event_time"),
+        F.col("id").alias("seq"))
+    got = sessions.assign_sessions(events)
+    assert {(r[0], r[1]) for r in got.groupBy("session_id").count().collect()} == {("1_1", 39_999), ("1_2", 1)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and all("_chunk" in line for line in plan.splitlines() if "Window" in line)
+    assert plan.index("Window") < plan.index("Aggregate")  # ordered are the ends of chunks, not the events
+
+
 def test_filter_keeps_middle_lengths(spark):
     rows, u = [], 0
     for size in [1] * 5 + [2, 3] * 150 + [400]:
