@@ -70,9 +70,65 @@ def test_crf_learns_shapes():
     assert all(not any(a < s[2] and b > s[0] for s in pii.base_spans(unseen)) for a, _, b in pii.added_spans([unseen], [pii.base_spans(unseen)], model)[0])
 
 
-def test_personal_data(docs, rows, none):
-    table = pii.labelled_runs(docs)
-    got = pii.find_personal_data(docs, pii.train(table)).collect()
+def test_held_out_sentences():
+    precision, recall = pii.span_quality(pii.train(pii.labelled_runs()))
+    assert precision >= 0.9 and recall >= 0.9
+    assert pii.span_quality(None)[1] < 0.5  # the base patterns alone
+
+
+def test_runs_reach_spelled_out_marks():
+    def runs(t):
+        return [[t[a:b] for a, b in run] for run in pii.runs_of(t)]
+
+    assert runs("ask name (at) host (dot) org now") == [["name", "(at)", "host", "(dot)", "org"]]
+    assert runs("call +1 - 555 - 123 4567 or\n9") == [["+1", "-", "555", "-", "123", "4567"], ["9"]]
+    assert runs("name at host.org, look at it") == [["name", "at", "host.org,"]]
+    assert runs("plain words look at it") == [] and runs("") == []
+    assert [len(r) for r in pii.runs_of("dot " * 30_000)] == [30_000]
+    assert pii.shape("ab1" * 100_000) == "a9" * 100_000
+    start = time.time()
+    assert pii.features("(" * 300_000 + "1", [(0, 300_001)])[0][1] == "s=9"
+    assert time.time() - start < 5
+
+
+def slow_spans(text, model):
+    """All spans with the CRF's path found by trying every path of short runs."""
+    import itertools
+
+    base, found = base_pii(text), []
+    for run in pii.runs_of(text):
+        emit = model.scores([pii.features(text, run)])[0]
+        path = max(itertools.product(range(len(pii.STATES)), repeat=len(run)), key=lambda p: (
+            model.first[p[0]] + sum(emit[t, s] for t, s in enumerate(p)) + sum(model.step[a, b] for a, b in zip(p, p[1:]))))
+        at = 0
+        while at < len(path):
+            end = at + 1
+            if path[at]:
+                kind = (path[at] - 1) // 2
+                while end < len(path) and path[end] == 2 * kind + 2:
+                    end += 1
+                x, y = run[at][0], run[end - 1][1]
+                a, b = pii._trimmed(text[x:y])
+                x, y = x + a, x + b
+                if all(s[2] <= x or s[0] >= y for s in base):
+                    found.append((x, kind, y))
+            at = end
+    return sorted(base + found)
+
+
+def test_added_spans_equal_the_best_of_all_paths(spark):
+    model = pii.train(pii.labelled_runs())
+    texts = [t for t, _ in pii.examples(True) + pii.examples(False) if max(map(len, pii.runs_of(t)), default=0) <= 4]
+    texts += ["(743) 555-3824, then desk [at] inn.example or 10 . 4", "card 4111.1111.1111.1111 +1 (743) 555-3824"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(docs, model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == joined((a, pii.KINDS[k], b) for a, k, b in slow_spans(t, model))
+
+
+def test_personal_data(docs, odd, rows, none):
+    model = pii.train(pii.labelled_runs())
+    got = pii.find_personal_data(docs, model).collect()
     want = Counter()
     for i, t in rows:
         base = base_pii(t or "")
@@ -81,7 +137,9 @@ def test_personal_data(docs, rows, none):
     assert Counter(tuple(r)[:6] for r in got) == want
     for r in got:
         assert r.spans.count(":") == 2 * (r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_added)
-    assert pii.labelled_runs(none) == [] and pii.find_personal_data(none, None).collect() == []
+    wide = Counter(tuple(r) for r in pii.find_personal_data(odd.withColumn("spans", odd.id), model).collect())
+    assert wide == Counter(tuple(r) for r in pii.find_personal_data(odd.select("doc_id", "text"), model).collect())
+    assert pii.find_personal_data(none, None).collect() == []
 
 
 def test_trigram_queries():

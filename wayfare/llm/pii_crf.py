@@ -1,18 +1,19 @@
 """Personal data: exact base patterns, and a linear-chain CRF over word shapes for what they miss.
 
-Tokens are runs of non-space characters. A token without a digit or ``@`` is always outside (a hard
-constraint of the model), so a chain falls apart into runs of neighbouring other tokens, and decoding
-these runs is exact. Features of a token are its shape (letters, digits and marks, repeats
-collapsed), lengths, marks and the shapes around it; states are outside and begin/inside of each kind.
-The model is trained on a small labelled table of runs by its exact likelihood (forward-backward,
-Adam), and decoded by Viterbi in numpy, all runs of one length at once.
+Tokens are runs of non-space characters. A token may be inside a span if it holds a digit, ``@`` or a
+bracketed ``at``/``dot``, is a spelled-out ``at``/``dot`` of an address, or stands beside such a word
+or beside marks alone (``-``, ``/``); every other token is outside (a hard constraint of the model), so
+a chain falls apart into runs of neighbours, and decoding these runs is exact. Features of a token are
+its whole shape (letters, digits and marks, repeats collapsed), lengths, digit groups, marks, the
+shapes around it and the word before the run; states are outside and begin/inside of each kind. The
+model is trained on a small labelled table of marked sentences (:mod:`pii_examples`) by its exact
+likelihood (forward-backward, Adam), and decoded by Viterbi in numpy, all runs of one length at once.
 
 The CRF adds its spans, trimmed of outer punctuation, where they overlap no base span; base spans
 stay as they are, and the ``n_`` columns and ``base_sha256`` describe base spans.
 
-The labelled table is made of at most ``sample`` documents (lowest hash of the id) that the base
-patterns label. Null and empty texts have no spans; repeated rows are each searched; without labelled
-runs no span is added; other columns are ignored.
+Null and empty texts have no spans; repeated rows are each searched; without a model no span is
+added; other columns are ignored. A very long text is searched whole, as is a very long token.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
 from .common import arrow, map_batches
+from .pii_examples import examples
 
 #: The kinds, in the order of their spans.
 KINDS = ("email", "ip", "card", "phone")
@@ -38,9 +39,16 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_MARK = re.compile(r"[0-9@]")
+_MARK = re.compile(
+    r"[0-9@]|[(\[{<]\x20?(?i:at|dot)\x20?[)\]}>]|(?<!\S)(?i:dot)(?!\S)"
+    r"|(?<!\S)(?i:at)(?=\x20{1,2}\S*[A-Za-z]\.[A-Za-z])")
+_LINK = re.compile(r"[(\[{<]?(at|dot)[)\]}>]?", re.IGNORECASE)
+_INNER = re.compile(r"[(\[{<](?:at|dot)[)\]}>]", re.IGNORECASE)
+_MARKS = re.compile(r"[-–/.@()\[\]]{1,2}")
+_NUMBER = re.compile("[0-9]+")
 _REST = re.compile(r"\S*")
 _OUTER_LEFT, _OUTER_RIGHT = "([{<\"'“”‘’", ".,;:!?)]}>\"'“”‘’"
+_PAIRS = dict(zip("([{<", ")]}>"))
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -72,48 +80,103 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
+def _before(text: str, at: int, floor: int) -> tuple[int, int] | None:
+    """The token one or two spaces before ``at`` that starts at ``floor`` or later."""
+    end = at
+    while end > floor and at - end < 2 and text[end - 1] == " ":
+        end -= 1
+    begin = end
+    while begin > floor and not text[begin - 1].isspace():
+        begin -= 1
+    return (begin, end) if begin < end < at else None
+
+
+def _after(text: str, at: int) -> tuple[int, int] | None:
+    """The token one or two spaces after ``at``."""
+    begin = at
+    while begin - at < 2 and text[begin:begin + 1] == " ":
+        begin += 1
+    end = _REST.match(text, begin).end()
+    return (begin, end) if at < begin < end else None
+
+
+def _joins(text: str, a: tuple[int, int], b: tuple[int, int]) -> bool:
+    """Whether one of two neighbours is a spelled-out mark or marks alone."""
+    return any(y - x <= 5 and (_LINK.fullmatch(text, x, y) or _MARKS.fullmatch(text, x, y)) for x, y in (a, b))
+
+
 def runs_of(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring tokens with a digit or ``@``; tokens as start and end."""
-    runs, at, floor = [], 0, 0
-    while (m := _MARK.search(text, at)) is not None:
+    """Runs of neighbouring tokens that may be inside; tokens as start and end."""
+    runs, floor = [], 0
+    while (m := _MARK.search(text, floor)) is not None:
         begin = m.start()
         while begin > floor and not text[begin - 1].isspace():
             begin -= 1
-        end = _REST.match(text, m.start()).end()
-        gap = text[floor:begin]
-        if runs and begin - floor <= 2 and not gap.strip(" "):
-            runs[-1].append((begin, end))
+        left, right = [], [(begin, _REST.match(text, m.start()).end())]
+        while (near := _before(text, (left or right[:1])[-1][0], floor)) and _joins(text, near, (left or right[:1])[-1]):
+            left.append(near)
+        while (near := _after(text, right[-1][1])) and _joins(text, right[-1], near):
+            right.append(near)
+        piece = left[::-1] + right
+        gap = text[floor:piece[0][0]] if piece[0][0] - floor <= 2 else "x"
+        if runs and not gap.strip(" "):
+            runs[-1] += piece
         else:
-            runs.append([(begin, end)])
-        at = floor = end
+            runs.append(piece)
+        floor = piece[-1][1]
     return runs
 
 
 def shape(token: str) -> str:
-    """Letters as ``a``/``A``, digits as ``9``, other characters as they are; repeats collapsed; 24 at most."""
+    """Letters as ``a``/``A``, digits as ``9``, other characters as they are; repeats collapsed."""
     out, last = [], ""
-    for c in token[:200]:
+    for c in token:
         k = "9" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c
         if k != last:
             out.append(k)
             last = k
-    return "".join(out)[:24]
+    return "".join(out)
+
+
+def _trimmed(token: str) -> tuple[int, int]:
+    """Start and end of a token without outer punctuation; a bracket that is closed inside stays."""
+    a, b = 0, len(token)
+    closed = {left: token.rfind(right, 0, b - 1) for left, right in _PAIRS.items()}
+    while a < b and token[a] in _OUTER_LEFT and closed.get(token[a], -1) <= a:
+        a += 1
+    opened = {right: token.find(left, a) for left, right in _PAIRS.items()}
+    while b > a and token[b - 1] in _OUTER_RIGHT and opened.get(token[b - 1], -1) < 0:
+        b -= 1
+    return a, b
+
+
+def _link(token: str) -> str:
+    found = _LINK.fullmatch(token) if len(token) <= 5 else None
+    return found[1].lower() if found else "in" if _INNER.search(token) else ""
 
 
 def features(text: str, run: list[tuple[int, int]]) -> list[list[str]]:
     """The features of each token of a run."""
     tokens = [text[a:b] for a, b in run]
-    bare = [t.lstrip(_OUTER_LEFT).rstrip(_OUTER_RIGHT) for t in tokens]
+    bare = [t[slice(*_trimmed(t))] for t in tokens]
     shapes = [shape(t) for t in bare]
-    left, right = text[max(0, run[0][0] - 2):run[0][0]].strip(), text[run[-1][1]:run[-1][1] + 2].strip()
+    links = [_link(t) for t in tokens]
+    numbers = [_NUMBER.findall(t) for t in bare]
+    near = _before(text, run[0][0], 0)
+    word = text[slice(*near)].strip(_OUTER_LEFT + _OUTER_RIGHT).lower() if near else ""
+    whole, chain = sum(len(n) for part in numbers for n in part), "".join(sorted({k for k in links if k}))
     found = []
     for i, t in enumerate(bare):
-        digits = sum(map(str.isdigit, t))
+        digits = sum(map(len, numbers[i]))
+        small = len(numbers[i]) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in numbers[i])
         found.append([
-            "bias", f"s={shapes[i]}", f"d={min(digits, 20)}", f"l={min(len(t), 24)}", f"d/l={4 * digits // max(len(t), 1)}",
-            f"at={'@' in t}", f"dots={min(t.count('.'), 4)}", f"plus={t[:1] == '+'}",
-            f"p={shapes[i - 1] if i else shape(left)}", f"n={shapes[i + 1] if i + 1 < len(bare) else shape(right)}",
-            f"run={min(len(bare), 6)}",
+            "bias", f"s={shapes[i]}", f"d={min(digits, 20)}", f"l={min(len(t), 24)}",
+            f"g={'-'.join(str(len(n)) for n in numbers[i]) if len(numbers[i]) < 6 else 'many'}",
+            f"at={'@' in t}", f"dots={min(t.count('.'), 4)}", f"colons={min(t.count(':'), 3)}", f"plus={t[:1] == '+'}",
+            f"luhn={12 <= digits <= 19 and _luhn(''.join(numbers[i]))}", f"small={small}",
+            f"p={shapes[i - 1] if i else ''}", f"n={shapes[i + 1] if i + 1 < len(bare) else ''}",
+            f"link={links[i]}", f"pl={links[i - 1] if i else ''}", f"nl={links[i + 1] if i + 1 < len(bare) else ''}",
+            f"run={min(len(bare), 6)}", f"rd={min(whole, 24)}", f"rl={chain}/{shapes[i]}", f"w={word}", f"w={word}/{i == 0}",
         ])
     return found
 
@@ -249,41 +312,34 @@ def _read(text: str, run: list[tuple[int, int]], path: list[int], base: list[Spa
         kind, last = (path[t] - 1) // 2, t
         while last + 1 < len(path) and path[last + 1] == 2 + 2 * kind:
             last += 1
-        piece = text[run[t][0]:run[last][1]]
-        begin = run[t][0] + len(piece) - len(piece.lstrip(_OUTER_LEFT))
-        end = begin + len(piece.lstrip(_OUTER_LEFT).rstrip(_OUTER_RIGHT))
+        a, b = _trimmed(text[run[t][0]:run[last][1]])
+        begin, end = run[t][0] + a, run[t][0] + b
         if begin < end and not any(s[0] < end and s[2] > begin for s in base):
             spans.append((begin, kind, end))
         t = last + 1
     return spans
 
 
-_TABLE = {"order": pa.int64(), "features": pa.list_(pa.list_(pa.string())), "states": pa.list_(pa.int32())}
 _FOUND = {"doc_id": pa.int64(), **{f"n_{k}": pa.int64() for k in KINDS}, "base_sha256": pa.string(), "spans": pa.string(), "n_added": pa.int64()}
 
 
-def labelled_runs(docs: DataFrame, sample: int = 4_000, runs: int = 20_000) -> list:
-    """The labelled table: runs of a bounded sample of documents, labelled by the base patterns."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = rows.where("doc_id is not null and text rlike '[0-9@]'").select("doc_id", F.xxhash64("doc_id").alias("h"))
-    chosen = materialise(chosen.distinct().orderBy("h", "doc_id").limit(sample).select("doc_id"), "crf-sample")
-    picked = rows.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most ``sample`` ids
+def labelled_runs(held_out: bool = False) -> list[tuple[list[list[str]], list[int]]]:
+    """The runs of the labelled table with their states; held-out sentences only on request."""
+    table = []
+    for text, marks in examples(held_out):
+        spans = [(a, KINDS.index(kind), b) for a, kind, b in marks]
+        table += [(features(text, run), labels_of(run, spans)) for run in runs_of(text)]
+    return table
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            order, found, states = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                spans = base_spans(text)
-                for run in runs_of(text):
-                    order.append(int.from_bytes(hashlib.md5(f"{doc_id} {run[0][0]}".encode()).digest()[:7], "big"))
-                    found.append(features(text, run))
-                    states.append(labels_of(run, spans))
-            return arrow(_TABLE, order, found, states)
-
-        return step
 
-    made = map_batches(picked, make, "order long, features array<array<string>>, states array<int>")
-    return [(r.features, r.states) for r in made.orderBy("order").limit(runs).collect()]
+def span_quality(model: Crf | None) -> tuple[float, float]:
+    """Precision and recall of all spans (base and added) of the held-out sentences, exact bounds and kinds."""
+    texts, marks = zip(*examples(True))
+    base = [base_spans(t) for t in texts]
+    found = {(i, *s) for i, part in enumerate(zip(base, added_spans(list(texts), base, model))) for spans in part for s in spans}
+    true = {(i, a, KINDS.index(kind), b) for i, part in enumerate(marks) for a, kind, b in part}
+    right = len(found & true)
+    return right / max(len(found), 1), right / max(len(true), 1)
 
 
 def find_personal_data(docs: DataFrame, model: Crf | None) -> DataFrame:

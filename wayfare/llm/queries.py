@@ -45,8 +45,7 @@ def op5_chunk_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_pii_crf(spark: SparkSession, folder: str) -> DataFrame:
-    docs = documents(spark, folder)
-    return find_personal_data(docs, train(labelled_runs(docs)))
+    return find_personal_data(documents(spark, folder), train(labelled_runs()))
 
 
 def op7_secret_index(spark: SparkSession, folder: str) -> DataFrame:
