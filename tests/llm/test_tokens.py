@@ -93,7 +93,9 @@ def test_encode_documents(docs, rows, none, library):
 def test_records(spark, docs, rows, none, library):
     place = new_path(spark, "records")
     index = br.write_records(docs, WORDS, place, 2)
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    texts = spark.createDataFrame([(t,) for t in {t for _, t in rows}], "text string")
+    place_of = {r.text: r.h for r in texts.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, place_of[r[1]]))
     want, start = Counter(), 0
     for (i, t), e in zip(ordered, library.encode_batch([t or "" for _, t in ordered], add_special_tokens=False)):
         ids = np.array(e.ids + [2], "<u4").tobytes()
@@ -110,6 +112,24 @@ def test_records(spark, docs, rows, none, library):
     assert br.read_records(spark, empty).collect() == []
 
 
+def test_rows_without_an_id_spread_over_files(spark, odd, library):
+    many = spark.range(4_000).select(
+        F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("row "), F.col("id").cast("string")).alias("text"),
+        F.lit("x").alias("h"), F.lit(1).alias("part"), F.lit("y").alias("file"), F.lit(2).alias("offset"))
+    place = new_path(spark, "records")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = br.write_records(many, WORDS, place, 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert index.select("file").distinct().count() >= 4
+    assert br.read_records(spark, place).count() == 4_000
+    wide, plain = new_path(spark, "records"), new_path(spark, "records")
+    br.write_records(odd.withColumn("h", odd.key).withColumn("file", odd.key), WORDS, wide, 2)
+    br.write_records(odd.select("doc_id", "text"), WORDS, plain, 2)
+    assert Counter(map(tuple, br.record_digests(spark, wide).collect())) == Counter(map(tuple, br.record_digests(spark, plain).collect()))
+
+
 def test_damaged_record_is_noticed():
     import io
 

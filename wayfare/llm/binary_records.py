@@ -6,11 +6,15 @@ there is a document id, the id (signed 64-bit), the width of an id in bytes and
 checksum is CRC-32, rotated by 15 bits and shifted by a constant, so that a checksum stored inside
 data does not look like its own.
 
-Documents are dealt by range of ``doc_id`` and sorted, so files in order of their part hold ids in
-ascending ``doc_id`` order (null first, equal ids by text). Each task writes a file under a name of its own and hands
-over the offsets of its records; the index is an ordinary Parquet table, so only files of tasks that
-succeeded are in it, whatever was lost or repeated before. Files are written as a stream: memory
-holds one batch of texts.
+Documents are dealt by range of (``doc_id``, hash of the text) and sorted, so files in order of their
+part hold ids in ascending ``doc_id`` order (null first; equal ids by hash of the text, then by text),
+and rows of one id, the null id too, spread over tasks as far as their texts differ. Each task writes a
+file under a name of its own and hands over the offsets of its records; the index is an ordinary
+Parquet table, so only files of tasks that succeeded are in it, whatever was lost or repeated before.
+Files are written as a stream: memory holds one batch of texts.
+
+A null or empty text is a record of the end id alone; repeated rows are a record each; an empty table
+gives an empty index and no file; other columns are ignored. A very long text is one record.
 """
 
 from __future__ import annotations
@@ -108,8 +112,8 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int) ->
             stream.close()
 
     ordered = (
-        docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-        .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+        docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "xxhash64(cast(text as string)) h")
+        .repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     )
     index = ordered.mapInArrow(write, "part long, file string, doc_id long, offset long, n_tokens long")
     index.write.parquet(f"{folder}/index")
