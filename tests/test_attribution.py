@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wayfare.functions import ranks
 from wayfare.operators import attribution as at
 from wayfare.operators import models, preprocess, quality, sequences
+from wayfare.session import materialise
 
 LONG = "stage string, session_id string, feature string, value double, shap double"
 
@@ -79,6 +80,34 @@ def test_attribution_equals_brute_force(rows, kind, params):
         assert np.array(r["phi"]) == pytest.approx(brute(f, np.array(r["x"]), background), abs=1e-9)
 
 
+def test_stage_quality_explains_perturbed_rows_anew(spark, rows):
+    df, _ = rows
+    kept = F.when(F.col("session_id") < "s100", "train").otherwise("val")
+    explained = at.explain_rows(df.withColumn("partition", kept), ["a", "b", "c", "d"], stage="S1", model="gbt",
+                                params={"n_estimators": 3, "max_depth": 2, "subsample": 1.0})
+    seen = []
+
+    def attribute(table):
+        out = materialise(explained.attribute(table), "moved")
+        seen.append(out)
+        return out
+
+    spied = at.Explanation("S1", 42, explained.fitted, explained.background, explained.arrays, attribute)
+    found = quality.stage_quality([spied], n_perturbations=2, noise_scale=0.5).collect()
+    assert len(found) == 1 and found[0].stage == "S1" and found[0].n_perturbed == 60
+    moved = seen[0].collect()
+    assert len(moved) == 120
+    leaves = at.tree_leaves(explained.fitted.estimator)
+    back = np.array([r.x for r in at.model_rows(explained.fitted, explained.background).collect()])
+    again = at.leaf_shapley(np.array([r.x for r in moved]), back, leaves)
+    assert np.array([r.phi for r in moved]) == pytest.approx(again, abs=1e-9)
+    ratios = [np.linalg.norm(p - np.array(r._phi)) / np.linalg.norm(r._noise) for p, r in zip(again, moved)]
+    assert found[0].max_lipschitz == pytest.approx(max(ratios)) and max(ratios) > 0
+    assert found[0].mean_lipschitz == pytest.approx(np.mean(ratios))
+    with pytest.raises(ValueError):
+        quality.stage_quality([])
+
+
 def test_unknown_model_and_params(rows):
     with pytest.raises(models.ModelError):
         models.build_model("svm", seed=1)

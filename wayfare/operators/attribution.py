@@ -8,7 +8,7 @@ feature, or one count per leaf and pattern of its box.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from math import factorial
 
 import numpy as np
@@ -168,27 +168,31 @@ _SIZE = 32
 _SHARE = np.array([[factorial(a) * factorial(b) / factorial(a + b + 1) for b in range(_SIZE)] for a in range(_SIZE)])
 
 
-def tree_attribution(rows: DataFrame, background: DataFrame, model, names: Sequence[str], *, keys: Sequence[str]) -> DataFrame:
-    """Shapley values of a tree ensemble for rows that hold a model-space array ``x``.
+def tree_attributor(model, background: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Shapley values of a tree ensemble, as a function that adds ``phi`` to rows with a model-space array ``x``.
 
     ``background`` holds rows ``x`` too; only its counts per leaf and pattern
-    travel, as a broadcast that the model bounds (see :func:`tree_leaves`).
+    travel, as a broadcast that the model bounds (see :func:`tree_leaves`). They
+    are taken once, so the function serves any number of tables; other columns stay.
     """
-    names, keys = list(names), list(keys)
     leaves = tree_leaves(model)
-    known = rows.sparkSession.sparkContext.broadcast((leaves, background_patterns(background, leaves)))
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["x array<double>", "phi array<double>"])
+    session = SparkSession.getActiveSession()
+    known = session.sparkContext.broadcast((leaves, background_patterns(background, leaves)))
 
     def explain(batches):
         leaves, patterns = known.value
         for pdf in batches:
             if len(pdf):
                 x = np.vstack(pdf["x"].to_numpy())
-                yield pdf[[*keys, "x"]].assign(phi=list(leaf_shapley(x, patterns, leaves)))
+                yield pdf.assign(phi=list(leaf_shapley(x, patterns, leaves)))
+
+    def attribute(rows: DataFrame) -> DataFrame:
+        schema = ", ".join([f"`{k}` {kind}" for k, kind in rows.dtypes] + ["phi array<double>"])
+        keys = [k for k, kind in rows.dtypes if not kind.startswith("array")]
+        spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism * 2, *keys)
+        return spread.mapInPandas(explain, schema)
 
-    spread = rows.select(*keys, "x").repartition(rows.sparkSession.sparkContext.defaultParallelism * 2, *keys)
-    return spread.mapInPandas(explain, schema)
+    return attribute
 
 
 def to_long(arrays: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -197,31 +201,42 @@ def to_long(arrays: DataFrame, names: Sequence[str], keys: Sequence[str]) -> Dat
     return arrays.select(*keys, cells.alias("c")).select(*keys, "c.feature", "c.value", "c.shap")
 
 
+def attributor(
+    fitted: FittedModel, background: DataFrame, *, background_size: int | None = None, seed: int = 42,
+) -> Callable[[DataFrame], DataFrame]:
+    """Interventional Shapley values of a fitted model, as a function that adds ``phi`` to rows with ``x``."""
+    chosen = fitted.preprocessor.transform(hash_sample(background, background_size, seed)).select(
+        vector_to_array("features").alias("x"))
+    if fitted.kind != "logreg":
+        return tree_attributor(fitted.estimator, chosen)
+    w = fitted.estimator.coefficients.toArray()
+    mean = chosen.agg(*[F.avg(F.col("x")[i]) for i in range(len(w))]).first()
+    phi = F.zip_with(
+        F.zip_with("x", F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b),
+        F.array(*[F.lit(float(c)) for c in w]), lambda d, c: d * c)
+    return lambda rows: rows.withColumn("phi", phi)
+
+
 def stage_attribution(
     fitted: FittedModel, explain: DataFrame, background: DataFrame, *, background_size: int | None = None,
     seed: int = 42, keys: Sequence[str] = ("session_id",),
 ) -> DataFrame:
     """Interventional Shapley values of a fitted stage model, as (keys, x, phi)."""
-    prepared = fitted.preprocessor
-    keys = list(keys)
-    x = prepared.transform(explain).select(*keys, vector_to_array("features").alias("x"))
-    chosen = prepared.transform(hash_sample(background, background_size, seed)).select(vector_to_array("features").alias("x"))
-    if fitted.kind == "logreg":
-        w = fitted.estimator.coefficients.toArray()
-        mean = chosen.agg(*[F.avg(F.col("x")[i]) for i in range(len(w))]).first()
-        phi = F.zip_with(
-            F.zip_with("x", F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b),
-            F.array(*[F.lit(float(c)) for c in w]), lambda d, c: d * c)
-        return x.withColumn("phi", phi)
-    return tree_attribution(x, chosen, fitted.estimator, prepared.names, keys=keys)
+    attribute = attributor(fitted, background, background_size=background_size, seed=seed)
+    return attribute(model_rows(fitted, explain, keys))
+
+
+def model_rows(fitted: FittedModel, rows: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
+    """Feature rows as (keys, model-space array ``x``)."""
+    return fitted.preprocessor.transform(rows).select(*keys, vector_to_array("features").alias("x"))
 
 
 class Explanation:
-    """One stage's model, background and attributions (written once)."""
+    """One stage's model, background and attributions (written once); ``attribute`` explains further rows."""
 
-    def __init__(self, stage, seed, fitted, background, arrays):
+    def __init__(self, stage, seed, fitted, background, arrays, attribute):
         self.stage, self.seed, self.fitted = stage, seed, fitted
-        self.background, self.arrays = background, arrays
+        self.background, self.arrays, self.attribute = background, arrays, attribute
 
     @property
     def names(self) -> list[str]:
@@ -259,8 +274,9 @@ def explain_rows(rows: DataFrame, columns: Sequence[str], *, stage: str, model:
         return None
     fitted = fit_model(train, model, columns, seed=seed, params=params, imbalance=imbalance)
     chosen = hash_sample(val, max_explain, seed)
-    arrays = stage_attribution(fitted, chosen, train, background_size=background_size, seed=seed)
-    return Explanation(stage, seed, fitted, train, materialise(arrays, "attribution"))
+    attribute = attributor(fitted, train, background_size=background_size, seed=seed)
+    arrays = materialise(attribute(model_rows(fitted, chosen)), "attribution")
+    return Explanation(stage, seed, fitted, train, arrays, attribute)
 
 
 # tables ---------------------------------------------------------------------------

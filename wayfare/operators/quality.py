@@ -7,7 +7,7 @@ numbered in hash order, and a draw picks one by number. ``predict`` adds a colum
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import correlation
 from ..functions.ranks import hash_rank
-from .attribution import _midranks
+from ..session import materialise
+from .attribution import Explanation, _midranks, model_rows
 
 FAITHFUL = 0.5
 AGREEING = 0.6
@@ -197,6 +198,34 @@ def local_lipschitz(
         F.count_distinct(key).alias("n_instances")).withColumn("noise_scale", F.lit(noise_scale))
 
 
+def stage_quality(
+    explanations: Iterable[Explanation], *, n_perturbations: int = 5, noise_scale: float = 0.05, seed: int = 42,
+) -> DataFrame:
+    """Faithfulness, deletion and insertion curves and stability of explained stages, one row per stage.
+
+    The stability arm attributes perturbed rows anew with the model's own
+    attributions (``max_lipschitz``, ``mean_lipschitz``), trees included.
+    """
+    out = None
+    for e in explanations:
+        rows = e.arrays.withColumn("stage", F.lit(e.stage))
+        back = materialise(numbered_background(model_rows(e.fitted, e.background)), "back")
+        predict = lambda df, e=e: e.fitted.score_matrix(df, "x", "p")
+        part = faithfulness(rows, back, predict)
+        for name, curve in (("deletion", deletion_curve), ("insertion", insertion_curve)):
+            found = curve(rows, back, predict).select(
+                "stage", F.col("auc").alias(f"{name}_auc"), F.col("monotone").alias(f"{name}_monotone"))
+            part = part.join(found, "stage")
+        moved = local_lipschitz(rows, e.attribute, n_perturbations=n_perturbations, noise_scale=noise_scale, seed=seed)
+        part = part.join(moved.select(
+            "stage", F.col("max_ratio").alias("max_lipschitz"), F.col("mean_ratio").alias("mean_lipschitz"),
+            F.col("n_instances").alias("n_perturbed")), "stage")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("quality of attributions needs at least one explained stage")
+    return out
+
+
 def rank_consistency(
     importance: DataFrame, *, by: Sequence[str] = ("stage",), run: str = "seed", item: str = "group",
     value: str = "mean_abs_shap", threshold: float = AGREEING,

@@ -527,20 +527,7 @@ def _(a: Artefacts):
 
 @query("stage_quality")
 def _(a: Artefacts):
-    out = None
-    for stage, e in explanations(a).items():
-        rows = e.arrays.withColumn("stage", F.lit(stage))
-        x = e.fitted.preprocessor.transform(e.background)
-        back = materialise(quality.numbered_background(
-            x.select("session_id", vector_to_array("features").alias("x"))), "back")
-        predict = lambda df, e=e: e.fitted.score_matrix(df, "x", "p")
-        part = quality.faithfulness(rows, back, predict)
-        for name, curve in (("deletion", quality.deletion_curve), ("insertion", quality.insertion_curve)):
-            found = curve(rows, back, predict).select(
-                "stage", F.col("auc").alias(f"{name}_auc"), F.col("monotone").alias(f"{name}_monotone"))
-            part = part.join(found, "stage")
-        out = part if out is None else out.unionByName(part)
-    return rounded(out)
+    return rounded(quality.stage_quality(explanations(a).values()))
 
 
 # sequences --------------------------------------------------------------------------------
