@@ -6,7 +6,6 @@ the comparison SQL can recompute; the fitted models have queries of their own.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import attribution as at
