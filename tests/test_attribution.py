@@ -1,5 +1,6 @@
 """Attribution against brute force, table operators on small examples, quality and agreement."""
 
+import hashlib
 import itertools
 import math
 
@@ -362,6 +363,29 @@ def test_permutation_attribution_sees_only_the_used_feature(spark):
     assert got["log_gap_s"] > 0.1 and got["event_type_view"] == 0.0
 
 
+def test_permutation_attribution_by_definition_and_without_broadcasts(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(12, 3, 7)), 2)
+    keys = [f"s{i}" for i in range(12)]
+    df = spark.createDataFrame([("S1", k, v.tolist()) for k, v in zip(keys, x)], "stage string, session_id string, x array<array<double>>")
+    df = materialise(df)
+    predict = lambda t: t.withColumn("p", sum((F.col("x")[i][j] * (1 + i + 3 * j) for i in range(3) for j in range(7)), F.lit(0.0)))
+    weight = np.array([[1.0 + i + 3 * j for j in range(7)] for i in range(3)])
+    want = {}
+    for trial in range(14):
+        order = [sorted(range(12), key=lambda r: hashlib.md5(f"{keys[r]}|{trial}|42|{side}".encode()).hexdigest()) for side in ("to", "from")]
+        j = trial % 7
+        for own, other in zip(*order):
+            want.setdefault(sequences.SEQUENCE_FEATURES[j], []).append(((x[own] - x[other]) * weight)[:, j].sum())
+    table = sequences.permutation_attribution(df, predict, n_repeats=2)
+    # the estimated size of exploded rows is that of one trial: a join by broadcast would hold all of them in the driver
+    assert "BroadcastExchange" not in table._jdf.queryExecution().executedPlan().toString()
+    got = {r["feature"]: (r["mean_abs"], r["mean_signed"]) for r in table.collect()}
+    assert set(got) == set(want)
+    for f, d in want.items():
+        assert got[f] == pytest.approx((np.abs(d).mean(), np.mean(d)))
+
+
 def test_vector_round_trip(rows):
     df, _ = rows
     fitted = models.fit_model(df, "gbt", ["a", "b"], seed=1, params={"n_estimators": 2, "max_depth": 2})

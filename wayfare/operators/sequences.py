@@ -102,20 +102,27 @@ def permutation_attribution(
     """Change of the score when one feature's series comes from another session.
 
     For each feature and repeat, the r-th session of one hash order takes the
-    series of the r-th session of another; all time steps move together.
+    series of the r-th session of another; all time steps move together. ``key``
+    is unique within ``by``. Who lends to whom is settled on keys alone and only
+    the lent series travels; joins go by sorting, since the estimated size of
+    exploded rows says nothing about their memory.
     """
     by = list(by)
     base = predict(rows.select(*by, key, "x")).withColumnRenamed("p", "_p")
     n = len(SEQUENCE_FEATURES)
     trials = F.explode(F.sequence(F.lit(0), F.lit(n * n_repeats - 1))).alias("trial")
-    tagged = base.select("*", trials).withColumn("_key", F.concat_ws("|", F.col(key).cast("string"), F.col("trial").cast("string")))
+    tagged = rows.select(*by, key, trials).withColumn("_key", F.concat_ws("|", F.col(key).cast("string"), F.col("trial").cast("string")))
     groups = [*by, "trial"]
-    to = hash_rank(tagged, "_key", f"{seed}|to", groups, "_rank")
-    given = hash_rank(tagged.select(*groups, "_key", F.col("x").alias("_other")), "_key", f"{seed}|from", groups, "_rank")
+    to = hash_rank(tagged, "_key", f"{seed}|to", groups, "_rank").drop("_key")
+    given = hash_rank(tagged.select(*groups, "_key", F.col(key).alias("_giver")), "_key", f"{seed}|from", groups, "_rank").drop("_key")
     j = F.pmod(F.col("trial"), F.lit(n))
-    mixed = F.zip_with("x", "_other", lambda own, other: F.transform(
-        own, lambda v, i: F.when(i == j, F.get(other, i)).otherwise(v)))
-    moved = to.join(given.drop("_key"), [*groups, "_rank"]).withColumn("x", mixed)
+    pairs = to.join(given.hint("merge"), [*groups, "_rank"]).drop("_rank")
+    givers = rows.select(*by, F.col(key).alias("_giver"), F.col("x").alias("_other"))
+    lent = pairs.join(givers.hint("merge"), [*by, "_giver"]).select(
+        *by, key, "trial", F.transform("_other", lambda v: F.get(v, j)).alias("_series"))
+    mixed = F.zip_with("x", "_series", lambda own, other: F.transform(
+        own, lambda v, i: F.when(i == j, other).otherwise(v)))
+    moved = lent.join(base.hint("merge"), [*by, key]).withColumn("x", mixed).drop("_series")
     names = F.array(*[F.lit(f) for f in SEQUENCE_FEATURES])
     change = predict(moved).withColumns({"feature": names[j], "_d": F.col("_p") - F.col("p")})
     keys = [*by, "feature", key] if per_row else [*by, "feature"]
