@@ -214,6 +214,16 @@ def test_importance_groups_and_migration(spark):
     assert at.group_members(groups.select("group")).count() == 3
 
 
+def test_rank_of_equal_features_goes_by_name(spark):
+    """Equal values summed in another order differ in the last digit; the name decides all the same."""
+    shap = {"a": (0.3, 0.2, 0.1), "b": (0.1, 0.2, 0.3), "c": (0.2, 0.2, 0.1)}
+    assert 0.1 + 0.2 + 0.3 > 0.3 + 0.2 + 0.1
+    rows = [("S1", f"s{i}", f, 0.0, v) for f, vs in shap.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, LONG).coalesce(1)
+    got = {r["feature"]: r["rank"] for r in at.global_importance(df).collect()}
+    assert got == {"a": 1, "b": 2, "c": 3}
+
+
 def test_sign_reversal(spark):
     df = spark.createDataFrame(
         [("S1", "x", "a", 0.0, 1.0), ("S2", "x", "a", 0.0, -1.0)], LONG)
