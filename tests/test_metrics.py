@@ -32,6 +32,15 @@ def counts_of(scores, c="a", **kw):
     return metrics.threshold_counts(scores[0].select("y", F.col(c).alias("score")), **kw)
 
 
+def test_quantile_edges_on_whole_ranks_are_the_scores_there(spark):
+    """With 31 scores the tenths fall on whole ranks; 0.1 * 3 would lie a digit beyond rank 9."""
+    for n in (11, 31, 101):
+        df = spark.createDataFrame([(i % 2, i / 128) for i in range(n)], "y int, score double")
+        got = metrics.reliability(metrics.threshold_counts(df)).collect()
+        width = (n - 1) // 10
+        assert {r["bin"]: r["count"] for r in got} == {b: width + (b == 9) for b in range(10)}
+
+
 @pytest.mark.parametrize("chunked", [False, True])
 def test_ranking_metrics(scores, chunked):
     _, y, a, _ = scores
