@@ -86,6 +86,21 @@ def test_ngram_join(spark, docs, rows, odd, none):
     assert nj.ngram_components(none).collect() == []
 
 
+@pytest.mark.parametrize("block", [nj._BLOCK_DOCS, 7])
+def test_ngram_join_counts_every_link(spark, monkeypatch, block):
+    """Links inside a component that the search for components did not need count too."""
+    monkeypatch.setattr(nj, "_BLOCK_DOCS", block)
+    texts = near_copies(9, (14, 40, 120), 30) + ["a b", "A  b", "a b c"]
+    rows = list(enumerate(texts + texts[:5], 100))
+    sets = shingle_sets(rows)
+    first = {}
+    for i, s in sorted(sets.items()):
+        first.setdefault(s, i)
+    want = Counter(x for pair in linked({i: s for s, i in first.items()}) for x in pair)
+    got = nj.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: want[first[s]] for i, s in sets.items()}
+
+
 def test_one_of_each_judges_rows(spark):
     a, b = "five words of one text here", "other words of another text there"
     near = " ".join(f"w{i}" for i in range(60))

@@ -30,6 +30,7 @@ its own set size. Other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -271,11 +272,76 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return map_batches(met.select("a", "b", "text_a", "text_b"), make, "a long, b long").distinct()
 
 
-def ngram_components(docs: DataFrame, percent: int = 80) -> DataFrame:
+#: Tokens and documents of a block when the links inside a component are counted.
+_BLOCK_TOKENS, _BLOCK_DOCS, _VOCABULARY = 1 << 20, 1024, 2048
+
+
+def block_links(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and their numbers of links between the lower and the upper of at most two blocks, or inside the only one.
+
+    All pairs by products of token incidence, a slice of the vocabulary at a time.
+    """
+    held = np.array([len(s) > 0 for s in sets], bool)
+    ids, blocks, sets = ids[held], blocks[held], [s for s in sets if len(s)]
+    if not sets:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    sizes = np.array([len(s) for s in sets])
+    sides = [np.flatnonzero(blocks == b) for b in (blocks.min(), blocks.max())]
+    place = [np.full(len(sets), -1), np.full(len(sets), -1)]
+    for at, side in zip(place, sides):
+        at[side] = np.arange(len(side))
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(sets)), sizes), times[token] > 1
+    token, owner = np.unique(token[shared], return_inverse=True)[1], owner[shared]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    common = np.zeros([len(side) for side in sides], np.float32)  # whole numbers below 2 ** 24
+    for start in range(0, int(token[-1]) + 1 if len(token) else 0, _VOCABULARY):
+        part = slice(*np.searchsorted(token, [start, start + _VOCABULARY]))
+        marks = []
+        for at, side in zip(place, sides):
+            mine = at[owner[part]]
+            marks.append(np.zeros((len(side), _VOCABULARY), np.float32))
+            marks[-1][mine[mine >= 0], token[part][mine >= 0] - start] = 1
+        common += marks[0] @ marks[1].T
+    common = common.astype(np.int64)
+    left, right = sides
+    met = 100 * common >= percent * (sizes[left][:, None] + sizes[right][None, :] - common)
+    x, y = np.nonzero(met & (ids[left][:, None] != ids[right][None, :]))
+    pairs = np.unique(np.stack([ids[left][x], ids[right][y]]), axis=1)
+    ends = pairs[0] if blocks.min() == blocks.max() else pairs.ravel()
+    return np.unique(ends, return_counts=True)
+
+
+def _all_links(linked: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``id, component, n_links`` with all links, of which ``linked`` has those that were compared.
+
+    A link never leaves its component, so all pairs inside components are all candidates. A component is cut into blocks of
+    bounded size, and each pair of blocks is a group of its own that counts in place: no pair is ever a row. Components whose
+    every pair is known to link are left as they are.
+    """
+    found = linked.join(sizes.select("id", "n"), "id").groupBy("component").agg(
+        F.count("*").alias("m"), F.sum("n").alias("tokens"), F.sum("n_links").alias("ends"))
+    found = found.where("ends < m * (m - 1)").select("component", F.ceil(F.greatest(
+        F.col("tokens") / _BLOCK_TOKENS, F.col("m") / _BLOCK_DOCS)).cast("int").alias("blocks"))
+    rows = linked.select("id", "component").join(found, "component").withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, n = block_links(pdf["id"].to_numpy(), pdf["block"].to_numpy(), [shingle_set(t) for t in pdf["text"]], percent)
+        return pd.DataFrame({"id": ids, "n": n})
+
+    counted = rows.groupBy("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    counted = counted.applyInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n_all"))
+    return linked.join(counted, "id", "left").select("id", "component", F.coalesce("n_all", "n_links").alias("n_links"))
+
+
+def ngram_components(docs: DataFrame, percent: int = 80, *, count_links: bool = True) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` of every row of ``docs(doc_id, text)``.
 
     ``component_id`` is the smallest id reachable by links, a document's own if there is none.
-    ``n_links`` counts the links to other sets that were needed to find the component.
+    ``n_links`` counts all links to other sets; without ``count_links`` those that were needed to find the component.
     """
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_tokens(docs))
@@ -301,6 +367,9 @@ def ngram_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         return _verified(likely[-1], texts, percent)
 
     linked = link(rows, described.select("id", "n", "marks"), verify, percent)
+    if count_links:
+        linked = materialise(linked, "needed-links")
+        linked = materialise(_all_links(linked, described, texts, percent), "all-links")
     for written in (*likely, described, texts):
         discard(written)
     member = classes.join(linked, "id", "left").select(
@@ -323,7 +392,7 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     key = F.struct(F.col("row.doc_id").cast("long").alias("i"), text_key(F.col("row.text")).alias("t"))
     keyed = whole.select("row", key.alias("key"))
     mine = F.xxhash64(F.col("key.i").isNull(), "key.i", "key.t")
-    found = ngram_components(keyed.select(mine.alias("doc_id"), F.col("row.text").alias("text")), percent)
+    found = ngram_components(keyed.select(mine.alias("doc_id"), F.col("row.text").alias("text")), percent, count_links=False)
     found = found.where("n_shingles > 0").select("doc_id", "component_id").distinct()
     member = found.join(keyed.select(mine.alias("doc_id"), "key").distinct(), "doc_id")
     # The smallest id of a component stays; where none has an id, the smallest hash.
