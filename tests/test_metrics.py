@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wayfare.functions import ranks
 from wayfare.functions.probability import signed_rank
 from wayfare.operators import calibration, comparisons, decisions, metrics, resampling
 
@@ -32,6 +33,20 @@ def counts_of(scores, c="a", **kw):
     return metrics.threshold_counts(scores[0].select("y", F.col(c).alias("score")), **kw)
 
 
+def test_many_bounds_are_searched_not_compared(spark):
+    """The work of a value grows with the logarithm of the bounds, which grow with the rows."""
+    bounds = [i / 8 for i in range(2000)]
+    values = [-1.0, 0.0, 0.01, 0.125, 77.3, 249.875, 1e9, math.nan, -0.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    table = df.select("v", ranks.value_chunk(F.col("v"), bounds).alias("c"), ranks.value_chunk(F.col("v"), bounds[:8]).alias("few"))
+    for r in table.collect():
+        for got, known in ((r["c"], bounds), (r["few"], bounds[:8])):
+            v = math.inf if r["v"] is not None and math.isnan(r["v"]) else r["v"]
+            assert got == (0 if v is None else sum(b < v for b in known) + sum(b <= v for b in known))
+    plan = df.select(ranks.value_chunk(F.col("v"), bounds))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
 def test_quantile_edges_on_whole_ranks_are_the_scores_there(spark):
     """With 31 scores the tenths fall on whole ranks; 0.1 * 3 would lie a digit beyond rank 9."""
     for n in (11, 31, 101):
