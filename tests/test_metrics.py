@@ -231,6 +231,23 @@ def test_bootstrap_over_cells_agrees_with_one_cell(scores):
     assert pair(many) == pytest.approx(pair(one), abs=0.15)
 
 
+def test_cells_are_drawn_once_a_run_and_block(spark, scores, tmp_path, monkeypatch):
+    """Not once for each of their ranges, which would grow with the square of the ranges."""
+    drawn, note = resampling._cell_draws, str(tmp_path)
+
+    def noted(*args):
+        import uuid
+        open(f"{note}/{uuid.uuid4().hex}", "w").close()
+        return drawn(*args)
+
+    monkeypatch.setattr(resampling, "_cell_draws", noted)
+    df = scores[0].select("y", F.col("a").alias("score")).coalesce(1)
+    monkeypatch.setattr(resampling, "_BLOCK", 1000)
+    resampling.resampled_metrics(df, ["score"], cell_rows=20).count()
+    tasks = len(list(tmp_path.iterdir()))
+    assert tasks <= 2 * 64  # blocks times tasks, below one for each of some 100 ranges and block
+
+
 def test_one_shared_score_is_its_own_range(spark):
     rows = [(i % 4 == 0 and 1 or 0, 0.5 if i % 2 else i / 4000, float(i % 7)) for i in range(4000)]
     df = spark.createDataFrame(rows, "y int, a double, b double")
