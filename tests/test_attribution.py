@@ -189,6 +189,20 @@ def test_near_rows_finds_true_neighbours_mostly(spark):
     assert hits / 600 > 0.9
 
 
+def test_near_rows_carry_no_vectors_between_projections(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 2))
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(60)], "id long, f array<double>")
+    seen, plain = [], preprocess.value_positions
+    monkeypatch.setattr(preprocess, "value_positions", lambda d, *a, **k: seen.append(d.columns) or plain(d, *a, **k))
+    got = preprocess.near_rows(df, 3, key="id", features="f", seed=1, reach=60)
+    assert seen == [["id", "f", "_p"]] * 3
+    assert dict(got.dtypes)["near"] == "array<struct<d:double,k:bigint>>"
+    for r in got.collect():  # every row is in reach, so the neighbours are the true ones
+        d = ((x - x[r["id"]]) ** 2).sum(axis=1)
+        assert [n["k"] for n in r["near"]] == np.argsort(d)[1:4].tolist()
+
+
 # tables -------------------------------------------------------------------------------
 def table(spark, shares):
     """Attribution whose mean absolute values are the given numbers."""
