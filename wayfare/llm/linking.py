@@ -14,19 +14,20 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import discard, materialise
 from .common import components
 
-#: 64-bit words of a set's parity marks.
+#: 64-bit words of a set's parity marks, where the caller names no other number (a power of two).
 MARK_WORDS = 8
 
 
 def shared_only(signatures: DataFrame) -> DataFrame:
-    """The rows ``sig, id`` whose signature two ids or more have, written."""
-    met = signatures.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    met = met.where("lo <> hi").select("sig")
-    return materialise(signatures.join(met, "sig", "left_semi").distinct(), "shared-signatures")
+    """The rows ``sig, id`` whose signature two ids or more have, written. One shuffle, by signature."""
+    whole = Window.partitionBy("sig")
+    met = signatures.withColumns({"_lo": F.min("id").over(whole), "_hi": F.max("id").over(whole)}).where("_lo <> _hi")
+    return materialise(met.drop("_lo", "_hi").distinct(), "shared-signatures")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -46,37 +47,42 @@ def _pairs_left(open_rows: DataFrame) -> tuple[int, int]:
     return rows or 0, pairs or 0
 
 
-def parity_words(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the number of tokens of each of ``64 * MARK_WORDS`` slots, packed."""
-    parity = np.bincount((tokens & np.uint64(64 * MARK_WORDS - 1)).astype(np.int64), minlength=64 * MARK_WORDS) & 1
+def parity_words(tokens: np.ndarray, words: int = MARK_WORDS) -> np.ndarray:
+    """Parity of the number of tokens of each of ``64 * words`` slots, packed."""
+    parity = np.bincount((tokens & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
-def may_link(percent: int) -> str:
+def may_link(percent: int, words: int = MARK_WORDS) -> str:
     """What sizes, places and parities allow, between a row and ``other_*``, cheapest first.
 
     Two sets of ``n`` and ``other_n`` tokens need ``common = percent * (n + other_n) / (100 + percent)`` common ones. ``room`` bounds
     the common tokens of a pair that shares this signature. Slots of different parity are differing tokens.
     """
-    differing = " + ".join(f"bit_count(marks[{k}] ^ other_marks[{k}])" for k in range(MARK_WORDS))
+    differing = " + ".join(f"bit_count(marks[{k}] ^ other_marks[{k}])" for k in range(words))
     return (f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
             f" and {100 + percent} * cast(least(room, other_room) as bigint) >= {percent} * (n + other_n)"
             f" and {differing} <= n + other_n - 2 * ceil({percent} * (n + other_n) / {100 + percent})")
 
 
-def link(rows: DataFrame, marks: DataFrame, verify, percent: int, rounds: int = 3, spare: int = 4) -> DataFrame:
+def _likely(pairs: DataFrame, marks: DataFrame, percent: int, words: int) -> DataFrame:
+    """The pairs ``a, b`` of ``a, b, room`` that :func:`may_link` does not rule out."""
+    met = pairs.join(marks.select(F.col("id").alias("a"), "n", "marks"), "a")
+    met = met.join(marks.select(F.col("id").alias("b"), F.col("n").alias("other_n"), F.col("marks").alias("other_marks")), "b")
+    return met.withColumn("other_room", F.col("room")).where(may_link(percent, words)).select("a", "b")
+
+
+def link(rows: DataFrame, marks: DataFrame, verify, percent: int, rounds: int = 3, spare: int = 4, words: int = MARK_WORDS) -> DataFrame:
     """``id, component, n_links`` of all ids that link to another.
 
     ``rows``: ``sig, id, room`` as of :func:`shared_only`; ``marks``: ``id, n, marks`` of each id, its number of tokens and
-    their :func:`parity_words`. Pairs that :func:`may_link` rules out do not leave the join. ``verify(pairs)`` gets distinct pairs
+    their :func:`parity_words` (``words`` of them). Pivots meet at most one row each, so their pairs get marks afterwards; the rows of the last round
+    hold them, so that pairs that :func:`may_link` rules out do not leave the join. ``verify(pairs)`` gets distinct pairs
     ``a < b`` and returns those that link. ``rows`` is deleted. Rounds of pivots end after ``rounds``, or as soon as all pairs
     between components are at most ``spare`` for each row; then those pairs are compared, which is
     the last round. ``n_links`` counts the links that were needed and found. A table goes when its successor is written.
     """
-    spark, links, labels, likely = rows.sparkSession, None, None, may_link(percent)
-    marked = materialise(rows.join(marks, "id"), "marked-signatures")
-    discard(rows)
-    rows = marked
+    spark, links, labels = rows.sparkSession, None, None
 
     for turn in range(rounds + 1):
         open_rows, last = _labelled(rows, labels), turn == rounds
@@ -90,18 +96,18 @@ def link(rows: DataFrame, marks: DataFrame, verify, percent: int, rounds: int =
                 break
             last = last or left <= spare * n
         if not last:
-            key = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0), "id", "comp", "n", "room", "marks")
+            key = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0), "id", "comp", "room")
             pivots = open_rows.groupBy("sig").agg(F.min(key).alias("p")).select(
-                "sig", F.col("p.id").alias("pivot"), F.col("p.comp").alias("pivot_comp"), F.col("p.n").alias("other_n"),
-                F.col("p.room").alias("other_room"), F.col("p.marks").alias("other_marks"))
-            met = open_rows.join(pivots, "sig").where("comp <> pivot_comp").where(likely)
-            pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+                "sig", F.col("p.id").alias("pivot"), F.col("p.comp").alias("pivot_comp"), F.col("p.room").alias("other_room"))
+            met = open_rows.join(pivots, "sig").where("comp <> pivot_comp")
+            pairs = _likely(met.groupBy(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).agg(
+                F.max(F.least("room", "other_room")).alias("room")), marks, percent, words)
         else:
-            other = open_rows.select("sig", F.col("id").alias("b"), F.col("comp").alias("other_comp"), F.col("n").alias("other_n"),
-                                     F.col("room").alias("other_room"), F.col("marks").alias("other_marks"))
-            met = open_rows.withColumnRenamed("id", "a").join(other, "sig")
-            met = met.where("a < b and comp <> other_comp").where(likely)
-            pairs = met.select("a", "b").distinct()
+            sized = open_rows.join(marks, "id").select("sig", "id", "comp", "n", "room", "marks")
+            # The same columns in the same order, so that both sides share one shuffle.
+            met = sized.toDF("sig", "a", "comp", "n", "room", "marks").join(
+                sized.toDF("sig", "b", "other_comp", "other_n", "other_room", "other_marks"), "sig")
+            pairs = met.where("a < b and comp <> other_comp").where(may_link(percent, words)).select("a", "b").distinct()
         found = materialise(verify(pairs), "links")
         if found.head(1):
             links = found if links is None else links.unionByName(found)

@@ -244,8 +244,8 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return met.where(F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select("id", "text")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose texts reach the similarity."""
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The written pairs whose texts reach the similarity; only the texts of pairs are shuffled."""
     def make():
         known = per_worker("shingle sets", dict)
 
@@ -267,6 +267,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
         return step
 
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     met = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     met = met.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return map_batches(met.select("a", "b", "text_a", "text_b"), make, "a long, b long").distinct()
@@ -313,7 +314,7 @@ def block_links(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], per
     return np.unique(ends, return_counts=True)
 
 
-def _all_links(linked: DataFrame, sizes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _all_links(linked: DataFrame, sizes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """``id, component, n_links`` with all links, of which ``linked`` has those that were compared.
 
     A link never leaves its component, so all pairs inside components are all candidates. A component is cut into blocks of
@@ -326,7 +327,8 @@ def _all_links(linked: DataFrame, sizes: DataFrame, texts: DataFrame, percent: i
         F.col("tokens") / _BLOCK_TOKENS, F.col("m") / _BLOCK_DOCS)).cast("int").alias("blocks"))
     rows = linked.select("id", "component").join(found, "component").withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = materialise(rows, "open-components")
+    rows = rows.join(_texts(docs, rows.select("id")), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, n = block_links(pdf["id"].to_numpy(), pdf["block"].to_numpy(), [shingle_set(t) for t in pdf["text"]], percent)
@@ -356,7 +358,9 @@ def ngram_components(docs: DataFrame, percent: int = 80, *, count_links: bool =
         F.col("s.sigs").alias("sig"), "id", F.col("s.rooms").alias("room")))
     ids = rows.select("id").distinct()
     described = materialise(ones.select("id", "n", "bitmap", "marks").join(ids, "id", "left_semi"), "candidate-sets")
-    texts = materialise(_texts(docs, described.select("id")), "candidate-texts")
+    whole, meta = meta, materialise(meta.select("doc_id", "n_shingles", "set_hash"), "set-sizes")
+    discard(whole)  # signatures and bitmaps are not needed any more
+    full = meta.where("n_shingles > 0 and doc_id is not null")
 
     likely: list[DataFrame] = []
 
@@ -364,13 +368,13 @@ def ngram_components(docs: DataFrame, percent: int = 80, *, count_links: bool =
         likely.append(materialise(_plausible(pairs, described, percent), "likely-pairs"))
         for written in likely[:-1]:
             discard(written)
-        return _verified(likely[-1], texts, percent)
+        return _verified(likely[-1], docs, percent)
 
     linked = link(rows, described.select("id", "n", "marks"), verify, percent)
     if count_links:
         linked = materialise(linked, "needed-links")
-        linked = materialise(_all_links(linked, described, texts, percent), "all-links")
-    for written in (*likely, described, texts):
+        linked = materialise(_all_links(linked, described, docs, percent), "all-links")
+    for written in (*likely, described):
         discard(written)
     member = classes.join(linked, "id", "left").select(
         "set_hash", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
