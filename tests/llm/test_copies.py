@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfare.llm import line_dedup as ld
+from wayfare.llm import linking
 from wayfare.llm import ngram_join as nj
 from wayfare.llm.common import components
 from wayfare.llm.linking import parity_words
@@ -234,3 +235,61 @@ def test_pipeline(spark):
         if name == "bpe_encoding":
             assert ids == {r.doc_id for r in before.collect()}
     assert Counter(r.doc_id for r in pipeline.run(spark, folder).collect()) == Counter(r.doc_id for r in docs.collect())
+
+
+def test_shared_signatures_take_one_shuffle(spark, monkeypatch):
+    plans, plain = [], linking.materialise
+    monkeypatch.setattr(linking, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, name))
+    rows = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 3), (3, 4), (3, 4), (4, 5), (4, 6)], "sig long, id long")
+    got = linking.shared_only(rows).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (1, 2), (4, 5), (4, 6)]
+    assert plans[0].count("Exchange hashpartitioning") == 1
+
+
+def test_only_texts_of_likely_pairs_are_shuffled(spark, monkeypatch):
+    rnd, words = random.Random(8), [f"c{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words, "more"])]
+    for _ in range(12):
+        passage = [f"p{rnd.randrange(10**6)}" for _ in range(12)]
+        texts += [" ".join(passage + [f"w{rnd.randrange(10**6)}" for _ in range(25)]) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met, asked, link, plain = set(), set(), nj.link, nj._texts
+
+    def linked(rows, *rest, **names):
+        met.update(r.id for r in rows.select("id").collect())
+        return link(rows, *rest, **names)
+
+    def texts_of(docs, ids):
+        asked.update(r.id for r in ids.collect())
+        return plain(docs, ids)
+
+    monkeypatch.setattr(nj, "link", linked)
+    monkeypatch.setattr(nj, "_texts", texts_of)
+    got = {r.doc_id: r.component_id for r in nj.ngram_components(docs).collect()}
+    assert got == {i: 0 if i == 1 else i for i in range(len(texts))}
+    assert len(met) > 20 and asked <= {0, 1}
+
+
+def test_lines_of_a_task_get_bands_once(spark):
+    text = "a first line of some words\nand a second one\nA first  line of some words"
+    docs = spark.createDataFrame([(i, text) for i in range(6)], "doc_id long, text string").coalesce(1)
+    rows = ld.describe(docs).collect()
+    assert [len(r.key) for r in rows] == [3] * 6
+    assert sum(len(r.fresh) for r in rows) == 2
+    assert all(len(r.bands) == ld.BANDS * len(r.fresh) for r in rows)
+
+
+def test_similar_lines_and_finer_marks():
+    rnd = random.Random(3)
+    left = ["".join(rnd.choice("abcdef") for _ in range(rnd.randrange(3, 300))) for _ in range(80)]
+    right = [s[:len(s) - rnd.randrange(40)] + "x" * rnd.randrange(30) for s in left]
+
+    def runs(s):
+        return {s[i:i + 8] for i in range(max(1, len(s) - 7))}
+
+    want = [len(runs(a) & runs(b)) >= 0.8 * len(runs(a) | runs(b)) - 1e-9 for a, b in zip(left, right)]
+    assert True in want and False in want
+    assert ld.similar(left, right, 0.8).tolist() == want
+    a, b = (np.array([rnd.randrange(2**63) for _ in range(300)], np.uint64) for _ in range(2))
+    few, many = (int(np.bitwise_count(linking.parity_words(a, w) ^ linking.parity_words(b, w)).sum()) for w in (8, 16))
+    assert few < many <= 600

@@ -32,7 +32,12 @@ _BINS = BANDS * ROWS
 _EMPTY = np.uint64(1 << 32)
 _BASE = 0x9E3779B97F4A7C15
 _PLACES = 1 << 26
-_LINES = {"doc_id": pa.int64(), "text_key": pa.int64(), "n_filled": pa.int32(), "no": pa.list_(pa.int32()), "key": pa.list_(pa.int64()), "bands": pa.list_(pa.int64())}
+#: Lines that are hashed at once: few enough that their arrays stay in the processor's cache.
+_LINES_AT_ONCE = 256
+#: Words of parity marks: runs of a long line would meet too often in fewer slots.
+_MARK_WORDS = 16
+_LINES = {"doc_id": pa.int64(), "text_key": pa.int64(), "n_filled": pa.int32(), "no": pa.list_(pa.int32()), "key": pa.list_(pa.int64()), "fresh": pa.list_(pa.int64()), "bands": pa.list_(pa.int64())}
+_SEEN = 1 << 20
 _TEXTS = {"key": pa.int64(), "line": pa.string(), "n": pa.int64(), "marks": pa.list_(pa.int64())}
 
 
@@ -43,8 +48,8 @@ def plain(line: str) -> str:
 def lines_of(text: str | None, least_chars: int = LEAST_CHARS) -> list[tuple[int, str]]:
     """Number and plain form of the lines that take part."""
     found = []
-    for no, line in enumerate((text or "").split("\n")):
-        line = plain(line)
+    for no, line in enumerate((text or "").lower().split("\n")):
+        line = " ".join(line.split())
         if line and len(line) >= least_chars:
             found.append((no, line))
     return found
@@ -77,10 +82,12 @@ def run_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def bands(lines: list[str]) -> np.ndarray:
     """The band keys of each line, one row per line."""
-    h, owner = run_hashes(lines)
     least = np.full(len(lines) * _BINS, _EMPTY)
-    place = owner * _BINS + ((h >> np.uint64(32)) % np.uint64(_BINS)).astype(np.int64)
-    np.minimum.at(least, place, h & np.uint64(0xFFFFFFFF))
+    for first in range(0, len(lines), _LINES_AT_ONCE):
+        h, owner = run_hashes(lines[first:first + _LINES_AT_ONCE])
+        high = h >> np.uint64(32)
+        bin_ = high - high // np.uint64(_BINS) * np.uint64(_BINS)  # a quotient is faster than a remainder
+        np.minimum.at(least, (owner + first) * _BINS + bin_.astype(np.int64), h & np.uint64(0xFFFFFFFF))
     least = least.reshape(len(lines), _BINS)
     own = least < _EMPTY
     made, have = least.copy(), own.copy()
@@ -102,26 +109,40 @@ def bands(lines: list[str]) -> np.ndarray:
 
 
 def describe(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """One row per row of ``docs``: hash of its text, how many of its lines hold a word, and numbers, keys and band keys of those that take part."""
+    """One row per row of ``docs``: hash of its text, how many of its lines hold a word, numbers and keys of those that take part.
+
+    ``fresh`` holds the keys that the task has not met before, ``bands`` their band keys; what a task has met is bounded, so a key may be fresh twice.
+    """
     def make():
+        seen: set[int] = set()
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1).to_pylist()
             filled = [sum(not line.isspace() for line in (t or "").split("\n") if line) for t in texts]
             split = [lines_of(t, least_chars) for t in texts]
             keys = [[line_key(s) for _, s in part] for part in split]
-            new: dict[int, str] = {}
+            if len(seen) > _SEEN:
+                seen.clear()
+            fresh, new = [], []
             for part, known in zip(split, keys):
-                new.update(zip(known, (s for _, s in part)))
-            of = dict(zip(new, bands(list(new.values())).tolist())) if new else {}
+                mine = []
+                for (_, line), key in zip(part, known):
+                    if key not in seen:
+                        seen.add(key)
+                        mine.append(key)
+                        new.append(line)
+                fresh.append(mine)
+            ends = pa.array(np.cumsum([0, *map(len, fresh)]) * BANDS, pa.int32())
+            made = pa.ListArray.from_arrays(ends, pa.array(bands(new).ravel() if new else [], pa.int64()))
             return arrow(
-                _LINES, batch.column(0), batch.column(2), filled, [[no for no, _ in part] for part in split], keys,
-                [[b for k in known for b in of[k]] for known in keys])
+                _LINES, batch.column(0), batch.column(2), filled, [[no for no, _ in part] for part in split], keys, fresh, made)
 
         return step
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("text_key"))
-    return map_batches(rows, make, "doc_id long, text_key long, n_filled int, no array<int>, key array<long>, bands array<long>")
+    return map_batches(
+        rows, make, "doc_id long, text_key long, n_filled int, no array<int>, key array<long>, fresh array<long>, bands array<long>")
 
 
 def _line_texts(docs: DataFrame, keys: DataFrame, least_chars: int) -> DataFrame:
@@ -150,7 +171,7 @@ def _line_texts(docs: DataFrame, keys: DataFrame, least_chars: int) -> DataFrame
                     if held[p >> 3] >> (p & 7) & 1:
                         found[key] = line
             sets = _run_sets(list(found.values()))
-            return arrow(_TEXTS, list(found), list(found.values()), [len(s) for s in sets], [parity_words(s) for s in sets])
+            return arrow(_TEXTS, list(found), list(found.values()), [len(s) for s in sets], [parity_words(s, _MARK_WORDS) for s in sets])
 
         return step
 
@@ -159,24 +180,49 @@ def _line_texts(docs: DataFrame, keys: DataFrame, least_chars: int) -> DataFrame
 
 def _run_sets(lines: list[str]) -> list[np.ndarray]:
     """The distinct run hashes of each line."""
-    if not lines:
-        return []
-    h, owner = run_hashes(lines)
-    bounds = np.searchsorted(owner, np.arange(len(lines) + 1))
-    return [np.unique(h[a:b]) for a, b in zip(bounds, bounds[1:])]
+    found = []
+    for first in range(0, len(lines), _LINES_AT_ONCE):
+        part = lines[first:first + _LINES_AT_ONCE]
+        h, owner = run_hashes(part)
+        bounds = np.searchsorted(owner, np.arange(len(part) + 1))
+        found += [np.unique(h[a:b]) for a, b in zip(bounds, bounds[1:])]
+    return found
+
+
+#: Run hashes of the pairs that are compared at once.
+_AT_ONCE = 1 << 20
+
+
+def similar(left: list[str], right: list[str], similarity: float) -> np.ndarray:
+    """Whether the run sets of each pair of lines reach the Jaccard similarity.
+
+    Each line is cut once; the sets of many pairs are sorted together, and what stands twice in a pair is common.
+    """
+    place: dict[str, int] = {}
+    sides = [np.array([place.setdefault(line, len(place)) for line in side], np.int64) for side in (left, right)]
+    sets = _run_sets(list(place))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    bounds = np.cumsum(sizes) - sizes
+    runs = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    kinds = int(runs.max()) + 1
+    total = sizes[sides[0]] + sizes[sides[1]]
+    common = np.zeros(len(left), np.int64)
+    cuts = np.searchsorted(np.cumsum(total), np.arange(_AT_ONCE, total.sum(), _AT_ONCE)) + 1
+    for part in np.split(np.arange(len(left)), np.unique(cuts)):
+        line, pair = np.concatenate([side[part] for side in sides]), np.concatenate([part, part])
+        n = sizes[line]
+        at = np.arange(n.sum()) + np.repeat(bounds[line] - (np.cumsum(n) - n), n)
+        cells = np.sort(np.repeat(pair * kinds, n) + runs[at])
+        common += np.bincount(cells[1:][cells[1:] == cells[:-1]] // kinds, minlength=len(left))
+    return common >= similarity * (total - common) - 1e-9
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 return None
-            sets = _run_sets(batch.column(2).to_pylist() + batch.column(3).to_pylist())
-            keep = []
-            for s, t in zip(sets[:n], sets[n:]):
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(common >= similarity * (len(s) + len(t) - common) - 1e-9)
+            keep = similar(batch.column(2).to_pylist(), batch.column(3).to_pylist(), similarity)
             return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
         return step
@@ -189,21 +235,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
     """The described rows, and ``kept_id, kept_text, kept``: number and key of the lines of a row that stay."""
     small_batches(docs.sparkSession)
-    described = materialise(describe(docs, least_chars), "lines")
-    signed = described.select(F.explode(F.arrays_zip("key", F.transform(
-        F.sequence(F.lit(0), F.size("key") - 1), lambda i: F.slice("bands", i * BANDS + 1, F.lit(BANDS))).alias("bands"))).alias("l"))
-    signed = signed.where("l.key is not null")
-    rows = shared_only(signed.select(F.explode("l.bands").alias("sig"), F.col("l.key").alias("id")))
+    whole = materialise(describe(docs, least_chars), "lines")
+    signed = whole.select("fresh", F.posexplode("bands").alias("at", "sig"))
+    rows = shared_only(signed.select("sig", F.get("fresh", F.expr(f"at div {BANDS}").cast("int")).alias("id")))
+    described = materialise(whole.drop("fresh", "bands"), "lines")
+    discard(whole)  # bands are not needed any more
     texts = materialise(_line_texts(docs, rows.select("id").distinct(), least_chars), "candidate-lines")
     marks = texts.select(F.col("key").alias("id"), "n", "marks")
     sized = rows.withColumn("room", F.lit(1 << 30))  # a band says nothing of places
-    linked = link(sized, marks, lambda pairs: _verified(pairs, texts, similarity), round(100 * similarity))
+    linked = link(sized, marks, lambda pairs: _verified(pairs, texts, similarity), round(100 * similarity), words=_MARK_WORDS)
     for written in (rows, texts):
         discard(written)
     spots = described.select("doc_id", "text_key", F.explode(F.arrays_zip("no", "key")).alias("l"))
-    first = spots.groupBy(F.col("l.key").alias("id")).agg(F.min(F.struct("doc_id", "text_key", "l.no", "l.key")).alias("spot"))
+    first = spots.groupBy(F.col("l.key").alias("id")).agg(F.min(F.struct("doc_id", "text_key", "l.no")).alias("spot"))
     first = first.join(linked.select("id", "component"), "id", "left")
-    first = first.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("spot").alias("spot"))
+    first = first.groupBy(F.coalesce("component", "id").alias("component")).agg(
+        F.min(F.struct("spot.doc_id", "spot.text_key", "spot.no", F.col("id").alias("key"))).alias("spot"))
     kept = first.groupBy(F.col("spot.doc_id").alias("kept_id"), F.col("spot.text_key").alias("kept_text")).agg(
         F.collect_list(F.struct("spot.no", "spot.key")).alias("kept"))
     return described, kept
