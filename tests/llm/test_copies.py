@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wayfare.llm import line_dedup as ld
 from wayfare.llm import linking
 from wayfare.llm import ngram_join as nj
-from wayfare.llm.common import components
+from wayfare.llm.common import components, star_steps
 from wayfare.llm.linking import parity_words
 
 
@@ -293,3 +293,42 @@ def test_similar_lines_and_finer_marks():
     a, b = (np.array([rnd.randrange(2**63) for _ in range(300)], np.uint64) for _ in range(2))
     few, many = (int(np.bitwise_count(linking.parity_words(a, w) ^ linking.parity_words(b, w)).sum()) for w in (8, 16))
     assert few < many <= 600
+
+
+def test_open_signatures_take_one_shuffle(spark, monkeypatch):
+    rnd = random.Random(11)
+    rows = sorted({(rnd.randrange(25), rnd.randrange(60)) for _ in range(200)})
+    edges = sorted({(max(a, b), min(a, b)) for a, b in ((rnd.randrange(60), rnd.randrange(60)) for _ in range(25)) if a != b})
+    plans, plain = [], linking.materialise
+    monkeypatch.setattr(linking, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, name))
+    stars = star_steps(spark.createDataFrame(edges, "u long, v long"))
+    found, n, left = linking._open_rows(spark.createDataFrame([(s, i, 9) for s, i in rows], "sig long, id long, room int"), stars, 1)
+    assert plans[-1].count("Exchange hashpartitioning(sig") == 1
+    top = union_find(range(60), edges)
+    groups = {s: [i for t, i in rows if t == s] for s, _ in rows}
+    want = {(s, i, top[i]) for s, ids in groups.items() for i in ids if len({top[k] for k in ids}) > 1}
+    got = found.collect()
+    assert {(r.sig, r.id, r.comp) for r in got} == want and n == len(got) == len(want)
+    assert left == sum(top[a] != top[b] for ids in groups.values() for a in ids for b in ids if a < b)
+    for r in got:
+        assert r.pivot is None or r.pivot in groups[r.sig] and top[r.pivot] != r.comp
+    assert all(any(r.pivot is not None for r in got if r.sig == s) for s in {r.sig for r in got})
+
+
+def test_star_steps_keep_what_is_connected(spark):
+    edges = [(i + 1, i) for i in range(40)] + [(100 + i, 99) for i in range(1, 30)] + [(101, 98), (120, 98)]
+    want = union_find({x for e in edges for x in e}, edges)
+    for steps in (1, 2, 3):
+        left = [(r.u, r.v) for r in star_steps(spark.createDataFrame(edges, "u long, v long"), steps).collect()]
+        assert len(left) <= len(edges) and all(u > v for u, v in left)
+        assert union_find(want, left) == want
+
+
+def test_sets_without_copies_are_not_shuffled(spark):
+    rows = [(i, bytes([i % 7 if i < 14 else i])) for i in range(60)] + [(3, bytes([3]))]
+    full = spark.createDataFrame(rows, "doc_id long, set_hash binary")
+    classes = full.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    got = nj._one_row_per_class(full, classes)
+    assert sorted(r.doc_id for r in got.collect()) == sorted([*range(7), 3, *range(14, 60)])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("LeftSemi")

@@ -7,8 +7,9 @@ from functools import reduce
 from types import ModuleType
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import discard, materialise
 
@@ -91,41 +92,46 @@ def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns, F.lit(0.0))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components by alternating large-star and small-star steps.
+def star_steps(links: DataFrame, steps: int | None = None) -> DataFrame:
+    """``links`` (``u > v``) after large-star and small-star steps, written: so many, or until nothing changes.
 
-    ``edges`` holds pairs of comparable ids. Returns ``id, component`` (the smallest id of the
-    component) for every id that has an edge to another. Each step hangs neighbours on their
-    smallest neighbour: an aggregate with partial minima and one join, so a hub costs no more than
-    its own edges; each step's edges are a written table, so no lineage grows.
+    Each step hangs neighbours on their smallest neighbour: an aggregate with partial minima and one join for the larger ones,
+    so a hub costs no more than its own edges, and a window for the smaller ones. An edge becomes one edge, so the table
+    never grows, and what belongs together stays connected after any number of steps. A step that moves no edge has found
+    stars: each node hangs on the smallest of its component. The tables between are deleted.
     """
-    links = (
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    )
-    links = materialise(links, "links")
     before = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (
-            both.join(low, "u").where("v > u")
-            .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        )
-        large = large.where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u")
-        small = (
-            hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        written = materialise(small, "links")
-        discard(links)
-        links = written
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(
-        links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+        large = both.join(low, "u").where("v > u").select(
+            F.col("v").alias("u"), F.least("u", "m").alias("v"), F.expr("m < u").alias("moved"))
+        hung = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        seen = Observation()
+        small = hung.select(F.expr("if(v = m, u, v)").alias("u"), F.col("m").alias("v"), F.expr("moved or v <> m").alias("moved"))
+        links = materialise(small.observe(seen, F.count_if("moved").alias("moved")).drop("moved"), "links")
+        discard(before)
+        before = links
+        steps = None if steps is None else steps - 1
+        if steps == 0 or not seen.get["moved"]:
+            return links
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Connected components by alternating large-star and small-star steps (:func:`star_steps`).
+
+    ``edges`` holds pairs of comparable ids. Returns ``id, component`` (the smallest id of the
+    component) for every id that has an edge to another.
+    """
+    links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    links = materialise(links, "links")
+    stars = star_steps(links)
+    discard(links)
+    return members(stars)
+
+
+def members(stars: DataFrame) -> DataFrame:
+    """``id, component`` of the nodes of finished stars."""
+    return stars.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(
+        stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

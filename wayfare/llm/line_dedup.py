@@ -155,7 +155,7 @@ def _line_texts(docs: DataFrame, keys: DataFrame, least_chars: int) -> DataFrame
     rows = keys.select(place.alias("p")).groupBy((F.bitmap_bucket_number("p") - 1).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     bits = bytearray(_PLACES // 8)
-    for bucket, part in rows.toLocalIterator():
+    for bucket, part in rows.collect():  # 8 MB at most; an iterator would run a job for each partition
         bits[bucket * 4096:bucket * 4096 + len(part)] = part
     shared = docs.sparkSession.sparkContext.broadcast(bytes(bits))
 
@@ -243,9 +243,9 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least_chars: int
     texts = materialise(_line_texts(docs, rows.select("id").distinct(), least_chars), "candidate-lines")
     marks = texts.select(F.col("key").alias("id"), "n", "marks")
     sized = rows.withColumn("room", F.lit(1 << 30))  # a band says nothing of places
+    sized._written_at = rows._written_at  # goes as soon as its successor is written
     linked = link(sized, marks, lambda pairs: _verified(pairs, texts, similarity), round(100 * similarity), words=_MARK_WORDS)
-    for written in (rows, texts):
-        discard(written)
+    discard(texts)
     spots = described.select("doc_id", "text_key", F.explode(F.arrays_zip("no", "key")).alias("l"))
     first = spots.groupBy(F.col("l.key").alias("id")).agg(F.min(F.struct("doc_id", "text_key", "l.no")).alias("spot"))
     first = first.join(linked.select("id", "component"), "id", "left")

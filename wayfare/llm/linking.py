@@ -12,17 +12,21 @@ The number of rounds only decides which comparisons are spared, never the result
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import discard, materialise
-from .common import components
+from .common import members, star_steps
 
 #: 64-bit words of a set's parity marks, where the caller names no other number (a power of two).
 MARK_WORDS = 8
 
 
+#: Star steps between two rounds: labels that are not final only leave more to compare.
+_STEPS = 1
+
+
 def shared_only(signatures: DataFrame) -> DataFrame:
     """The rows ``sig, id`` whose signature two ids or more have, written. One shuffle, by signature."""
     whole = Window.partitionBy("sig")
@@ -30,21 +34,32 @@ def shared_only(signatures: DataFrame) -> DataFrame:
     return materialise(met.drop("_lo", "_hi").distinct(), "shared-signatures")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows with ``comp``, of signatures that still hold more than one component."""
-    if labels is None:
-        return rows.withColumn("comp", F.col("id"))
-    known = rows.join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    open_sigs = known.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    return known.join(open_sigs.select("sig"), "sig", "left_semi")
+def _first_pivots(rows: DataFrame) -> DataFrame:
+    """``rows`` with the smallest id of the signature as ``pivot`` (null in its own row), and its room. One shuffle."""
+    first = rows.withColumn("p", F.min(F.struct("id", "room")).over(Window.partitionBy("sig")))
+    return first.select("id", "room", F.expr("if(p.id = id, null, p.id)").alias("pivot"), F.col("p.room").alias("other_room"))
 
 
-def _pairs_left(open_rows: DataFrame) -> tuple[int, int]:
-    """Rows, and pairs of rows that share a signature but not a component."""
-    held = open_rows.groupBy("sig", "comp").agg(F.count("*").alias("n"))
-    held = held.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("own"))
-    rows, pairs = held.agg(F.sum("n"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2)).first()
-    return rows or 0, pairs or 0
+def _open_rows(rows: DataFrame, stars: DataFrame | None, turn: int) -> tuple[DataFrame, int, float]:
+    """Rows of signatures that still hold more than one component, written; their number, and that of pairs between components.
+
+    ``comp`` is a row's component as far as it is known, ``pivot`` a row of the signature picked by hash (null in rows of its
+    component). One shuffle by id and one by signature.
+    """
+    known = rows.select("sig", "id", "room", F.col("id").alias("comp"))
+    if stars is not None:
+        labels = stars.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+        known = known.drop("comp").join(labels, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    whole = Window.partitionBy("sig")
+    key = F.struct(F.xxhash64("id", F.lit(turn)), "id", "comp", "room")
+    held = known.withColumns({"n": F.count(F.lit(1)).over(whole), "p": F.min(key).over(whole)})
+    held = held.withColumn("own", F.count(F.lit(1)).over(Window.partitionBy("sig", "comp"))).where("own < n")
+    seen = Observation()
+    held = held.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(F.expr("cast(n - own as double) / 2")).alias("pairs"))
+    held = materialise(held.select(
+        "sig", "id", "comp", "room", F.expr("if(p.comp = comp, null, p.id)").alias("pivot"), F.col("p.room").alias("other_room")), "open-signatures")
+    found = seen.get
+    return held, found["rows"] or 0, found["pairs"] or 0.0
 
 
 def parity_words(tokens: np.ndarray, words: int = MARK_WORDS) -> np.ndarray:
@@ -82,44 +97,45 @@ def link(rows: DataFrame, marks: DataFrame, verify, percent: int, rounds: int =
     between components are at most ``spare`` for each row; then those pairs are compared, which is
     the last round. ``n_links`` counts the links that were needed and found. A table goes when its successor is written.
     """
-    spark, links, labels = rows.sparkSession, None, None
-
+    spark, links, stars = rows.sparkSession, None, None
     for turn in range(rounds + 1):
-        open_rows, last = _labelled(rows, labels), turn == rounds
+        last = turn == rounds
         if turn:
-            open_rows = materialise(open_rows, "open-signatures")
-            discard(rows)
-            rows = open_rows.drop("comp")
-            rows._written_at = open_rows._written_at
-            n, left = _pairs_left(open_rows)
+            before, (rows, n, left) = rows, _open_rows(rows, stars, turn)
+            discard(before)
             if not left:
                 break
             last = last or left <= spare * n
         if not last:
-            key = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0), "id", "comp", "room")
-            pivots = open_rows.groupBy("sig").agg(F.min(key).alias("p")).select(
-                "sig", F.col("p.id").alias("pivot"), F.col("p.comp").alias("pivot_comp"), F.col("p.room").alias("other_room"))
-            met = open_rows.join(pivots, "sig").where("comp <> pivot_comp")
-            pairs = _likely(met.groupBy(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).agg(
-                F.max(F.least("room", "other_room")).alias("room")), marks, percent, words)
+            met = rows if turn else _first_pivots(rows)
+            pairs = met.where("pivot is not null").groupBy(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+            pairs = _likely(pairs.agg(F.max(F.least("room", "other_room")).alias("room")), marks, percent, words)
         else:
-            sized = open_rows.join(marks, "id").select("sig", "id", "comp", "n", "room", "marks")
+            if not turn:
+                rows = rows.withColumn("comp", F.col("id"))
+            sized = rows.join(marks, "id").select("sig", "id", "comp", "n", "room", "marks")
             # The same columns in the same order, so that both sides share one shuffle.
             met = sized.toDF("sig", "a", "comp", "n", "room", "marks").join(
                 sized.toDF("sig", "b", "other_comp", "other_n", "other_room", "other_marks"), "sig")
             pairs = met.where("a < b and comp <> other_comp").where(may_link(percent, words)).select("a", "b").distinct()
-        found = materialise(verify(pairs), "links")
+        found = materialise(verify(pairs), "needed-links")
         if found.head(1):
             links = found if links is None else links.unionByName(found)
-            before, labels = labels, materialise(components(links), "labels")
+            edges = found.select(F.col("b").alias("u"), F.col("a").alias("v"))
+            before = stars
+            stars = star_steps(edges if stars is None else stars.unionByName(edges), None if last else _STEPS)
             discard(before)
         if last:
             break
     discard(rows)
-    if labels is None:
+    if stars is None:
         return spark.createDataFrame([], rows.select("id", F.col("id").alias("component"), F.lit(0).cast("long").alias("n_links")).schema)
-    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
-    return labels.join(ends.groupBy("id").agg(F.count("*").alias("n_links")), "id", "left")
+    if not last:
+        before, stars = stars, star_steps(stars)
+        discard(before)
+    # Labels between rounds are not final, so a pair may have been compared twice.
+    ends = links.distinct().select(F.explode(F.array("a", "b")).alias("id"))
+    return members(stars).join(ends.groupBy("id").agg(F.count("*").alias("n_links")), "id", "left")
 
 
 def membership_bits(ids: DataFrame, size: int = 1 << 26):
