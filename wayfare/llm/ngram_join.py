@@ -232,16 +232,30 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return map_batches(met.select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), make, "a long, b long")
 
 
+def _may_be_among(rows: DataFrame, key, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``among``: true where ``key`` (long) is one of ``ids``, and in a few rows more. Nothing but a Bloom filter is sent."""
+    bits = F.broadcast(membership_bits(ids))
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 26))
+    met = rows.withColumn("p", place).withColumn("bucket", F.bitmap_bucket_number("p") - 1).withColumn("bit", F.bitmap_bit_position("p"))
+    met = met.join(bits, "bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    held = F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return met.withColumn("among", F.coalesce(held, F.lit(False))).drop("p", "bucket", "bit", "bits")
+
+
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``id, text`` of the documents among ``ids`` and a few more, without a shuffle of the others."""
-    bits = F.broadcast(membership_bits(ids))
-    size = 1 << 26
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(size)))
-    rows = rows.withColumn("bucket", F.bitmap_bucket_number("p") - 1).withColumn("bit", F.bitmap_bit_position("p"))
-    met = rows.join(bits, "bucket")
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return met.where(F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select("id", "text")
+    return _may_be_among(rows, "id", ids).where("among").select("id", "text")
+
+
+def _one_row_per_class(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of the smallest id of each class. Only rows whose set may occur twice are shuffled."""
+    twice = classes.where("copies > 1")
+    met = _may_be_among(full, F.xxhash64("set_hash"), twice.select(F.xxhash64("set_hash").alias("id")))
+    first = classes.select("set_hash", F.col("id").alias("doc_id"))
+    alone = met.where("not among").drop("among")
+    return alone.unionByName(met.where("among").drop("among").join(first, ["set_hash", "doc_id"], "left_semi").select(*alone.columns))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -349,11 +363,10 @@ def ngram_components(docs: DataFrame, percent: int = 80, *, count_links: bool =
     frequent = spark.sparkContext.broadcast(frequent_tokens(docs))
     meta = materialise(describe(docs, frequent, percent), "ngram-sets")
     full = meta.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last"))
+    classes = full.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     classes = materialise(classes, "set-classes")
     # One row per class: that of its smallest id (two sets under one id keep both rows apart by their hash).
-    ones = full.join(classes.select("set_hash", F.col("id").alias("doc_id")), ["set_hash", "doc_id"], "left_semi")
-    ones = ones.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bitmap", "marks", "sigs", "rooms")
+    ones = _one_row_per_class(full, classes).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bitmap", "marks", "sigs", "rooms")
     rows = shared_only(ones.select(F.explode(F.arrays_zip("sigs", "rooms")).alias("s"), "id").select(
         F.col("s.sigs").alias("sig"), "id", F.col("s.rooms").alias("room")))
     ids = rows.select("id").distinct()
