@@ -315,6 +315,23 @@ def test_open_signatures_take_one_shuffle(spark, monkeypatch):
     assert all(any(r.pivot is not None for r in got if r.sig == s) for s in {r.sig for r in got})
 
 
+def test_pivots_leave_their_signature(spark):
+    """No pair is compared twice, and labels are final though the last round finds nothing."""
+    rows = [(i, k, 9) for i in range(40) for k in (i, i + 1)] + [(1000, k, 9) for k in (100, 200, 300)]
+    rows = linking.shared_only(spark.createDataFrame(rows, "sig long, id long, room int"), pivots=True)
+    assert {(r.sig, r.id, r.pivot) for r in rows.collect() if r.later} == {(1000, 200, 100), (1000, 300, 100)}
+    marks = spark.range(301).selectExpr("id", "9L n", f"array_repeat(0L, {linking.MARK_WORDS}) marks")
+    asked = []
+
+    def verify(pairs):
+        asked.append(sorted(map(tuple, pairs.collect())))
+        return pairs.where("b = a + 1")
+
+    got = {r.id: (r.component, r.n_links) for r in linking.link(rows, marks, verify, 80).collect()}
+    assert got == {k: (0, 1 if k in (0, 40) else 2) for k in range(41)}
+    assert asked == [sorted([(i, i + 1) for i in range(40)] + [(100, 200), (100, 300)]), [(200, 300)]]
+
+
 def test_star_steps_keep_what_is_connected(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100 + i, 99) for i in range(1, 30)] + [(101, 98), (120, 98)]
     want = union_find({x for e in edges for x in e}, edges)

@@ -237,12 +237,12 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, least_chars: int
     small_batches(docs.sparkSession)
     whole = materialise(describe(docs, least_chars), "lines")
     signed = whole.select("fresh", F.posexplode("bands").alias("at", "sig"))
-    rows = shared_only(signed.select("sig", F.get("fresh", F.expr(f"at div {BANDS}").cast("int")).alias("id")))
+    rows = shared_only(signed.select("sig", F.get("fresh", F.expr(f"at div {BANDS}").cast("int")).alias("id")), pivots=True)
     described = materialise(whole.drop("fresh", "bands"), "lines")
     discard(whole)  # bands are not needed any more
     texts = materialise(_line_texts(docs, rows.select("id").distinct(), least_chars), "candidate-lines")
     marks = texts.select(F.col("key").alias("id"), "n", "marks")
-    sized = rows.withColumn("room", F.lit(1 << 30))  # a band says nothing of places
+    sized = rows.withColumns({c: F.lit(1 << 30) for c in ("room", "other_room")})  # a band says nothing of places
     sized._written_at = rows._written_at  # goes as soon as its successor is written
     linked = link(sized, marks, lambda pairs: _verified(pairs, texts, similarity), round(100 * similarity), words=_MARK_WORDS)
     discard(texts)

@@ -2,8 +2,9 @@
 
 Input are rows ``sig, id``: two items that must link share a signature. A signature's items are first
 compared with one of them only, its pivot; what links becomes components, and the next round picks
-another pivot and compares just the items of other components with it. A group of copies thus costs a
-few comparisons per member. In the end all pairs of items that share a signature but not a component
+another pivot and compares just the items of other components with it. A pivot has met all others of its
+signature, so it leaves it after its round, and a signature of two items is done after the first. A group of
+copies thus costs a few comparisons per member. In the end all pairs of items that share a signature but not a component
 are compared, so no link between components is lost; the rounds before make these few.
 
 The number of rounds only decides which comparisons are spared, never the result.
@@ -27,25 +28,34 @@ MARK_WORDS = 8
 _STEPS = 1
 
 
-def shared_only(signatures: DataFrame) -> DataFrame:
-    """The rows ``sig, id`` whose signature two ids or more have, written. One shuffle, by signature."""
+def shared_only(signatures: DataFrame, pivots: bool = False) -> DataFrame:
+    """The rows ``sig, id`` whose signature two ids or more have, written. One shuffle, by signature.
+
+    ``pivots`` adds the smallest row of the signature as ``pivot`` (null in rows of its id) and, where rows have a ``room``, its
+    ``other_room``; ``later`` is true in rows of signatures that hold two ids or more beside that row, except in that row.
+    """
     whole = Window.partitionBy("sig")
     met = signatures.withColumns({"_lo": F.min("id").over(whole), "_hi": F.max("id").over(whole)}).where("_lo <> _hi")
+    if pivots:
+        own = F.struct("id", *[c for c in signatures.columns if c not in ("sig", "id")])
+        met = met.withColumn("_p", F.min(own).over(whole))
+        rest = F.when(own != F.col("_p"), F.col("id"))
+        met = met.withColumn("later", rest.isNotNull() & (F.min(rest).over(whole) < F.max(rest).over(whole)))
+        met = met.withColumn("pivot", F.expr("if(_p.id = id, null, _p.id)"))
+        met = met.withColumn("other_room", F.col("_p.room")) if "room" in signatures.columns else met
+        met = met.drop("_p")
     return materialise(met.drop("_lo", "_hi").distinct(), "shared-signatures")
 
 
-def _first_pivots(rows: DataFrame) -> DataFrame:
-    """``rows`` with the smallest id of the signature as ``pivot`` (null in its own row), and its room. One shuffle."""
-    first = rows.withColumn("p", F.min(F.struct("id", "room")).over(Window.partitionBy("sig")))
-    return first.select("id", "room", F.expr("if(p.id = id, null, p.id)").alias("pivot"), F.col("p.room").alias("other_room"))
-
-
 def _open_rows(rows: DataFrame, stars: DataFrame | None, turn: int) -> tuple[DataFrame, int, float]:
     """Rows of signatures that still hold more than one component, written; their number, and that of pairs between components.
 
     ``comp`` is a row's component as far as it is known, ``pivot`` a row of the signature picked by hash (null in rows of its
-    component). One shuffle by id and one by signature.
+    component). Rows that are not ``later`` are done and left out; the row that is the pivot is not ``later``. One shuffle by id and
+    one by signature.
     """
+    if "later" in rows.columns:
+        rows = rows.where("later")
     known = rows.select("sig", "id", "room", F.col("id").alias("comp"))
     if stars is not None:
         labels = stars.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
@@ -57,7 +67,8 @@ def _open_rows(rows: DataFrame, stars: DataFrame | None, turn: int) -> tuple[Dat
     seen = Observation()
     held = held.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(F.expr("cast(n - own as double) / 2")).alias("pairs"))
     held = materialise(held.select(
-        "sig", "id", "comp", "room", F.expr("if(p.comp = comp, null, p.id)").alias("pivot"), F.col("p.room").alias("other_room")), "open-signatures")
+        "sig", "id", "comp", "room", F.expr("if(p.comp = comp, null, p.id)").alias("pivot"), F.col("p.room").alias("other_room"),
+        F.expr("not (p.id = id and p.room = room)").alias("later")), "open-signatures")
     found = seen.get
     return held, found["rows"] or 0, found["pairs"] or 0.0
 
@@ -90,25 +101,24 @@ def _likely(pairs: DataFrame, marks: DataFrame, percent: int, words: int) -> Dat
 def link(rows: DataFrame, marks: DataFrame, verify, percent: int, rounds: int = 3, spare: int = 4, words: int = MARK_WORDS) -> DataFrame:
     """``id, component, n_links`` of all ids that link to another.
 
-    ``rows``: ``sig, id, room`` as of :func:`shared_only`; ``marks``: ``id, n, marks`` of each id, its number of tokens and
+    ``rows``: ``sig, id, room, pivot, other_room, later`` as of :func:`shared_only`; ``marks``: ``id, n, marks`` of each id, its number of tokens and
     their :func:`parity_words` (``words`` of them). Pivots meet at most one row each, so their pairs get marks afterwards; the rows of the last round
     hold them, so that pairs that :func:`may_link` rules out do not leave the join. ``verify(pairs)`` gets distinct pairs
     ``a < b`` and returns those that link. ``rows`` is deleted. Rounds of pivots end after ``rounds``, or as soon as all pairs
-    between components are at most ``spare`` for each row; then those pairs are compared, which is
+    between components that have not met are at most ``spare`` for each of ``rows``; then those pairs are compared, which is
     the last round. ``n_links`` counts the links that were needed and found. A table goes when its successor is written.
     """
-    spark, links, stars = rows.sparkSession, None, None
+    spark, links, stars, final, most = rows.sparkSession, None, None, False, spare * rows.count()
     for turn in range(rounds + 1):
         last = turn == rounds
         if turn:
-            before, (rows, n, left) = rows, _open_rows(rows, stars, turn)
+            before, (rows, _, left) = rows, _open_rows(rows, stars, turn)
             discard(before)
             if not left:
                 break
-            last = last or left <= spare * n
+            last = last or left <= most
         if not last:
-            met = rows if turn else _first_pivots(rows)
-            pairs = met.where("pivot is not null").groupBy(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+            pairs = rows.where("pivot is not null").groupBy(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
             pairs = _likely(pairs.agg(F.max(F.least("room", "other_room")).alias("room")), marks, percent, words)
         else:
             if not turn:
@@ -124,13 +134,14 @@ def link(rows: DataFrame, marks: DataFrame, verify, percent: int, rounds: int =
             edges = found.select(F.col("b").alias("u"), F.col("a").alias("v"))
             before = stars
             stars = star_steps(edges if stars is None else stars.unionByName(edges), None if last else _STEPS)
+            final = last
             discard(before)
         if last:
             break
     discard(rows)
     if stars is None:
         return spark.createDataFrame([], rows.select("id", F.col("id").alias("component"), F.lit(0).cast("long").alias("n_links")).schema)
-    if not last:
+    if not final:
         before, stars = stars, star_steps(stars)
         discard(before)
     # Labels between rounds are not final, so a pair may have been compared twice.

@@ -368,7 +368,7 @@ def ngram_components(docs: DataFrame, percent: int = 80, *, count_links: bool =
     # One row per class: that of its smallest id (two sets under one id keep both rows apart by their hash).
     ones = _one_row_per_class(full, classes).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bitmap", "marks", "sigs", "rooms")
     rows = shared_only(ones.select(F.explode(F.arrays_zip("sigs", "rooms")).alias("s"), "id").select(
-        F.col("s.sigs").alias("sig"), "id", F.col("s.rooms").alias("room")))
+        F.col("s.sigs").alias("sig"), "id", F.col("s.rooms").alias("room")), pivots=True)
     ids = rows.select("id").distinct()
     described = materialise(ones.select("id", "n", "bitmap", "marks").join(ids, "id", "left_semi"), "candidate-sets")
     whole, meta = meta, materialise(meta.select("doc_id", "n_shingles", "set_hash"), "set-sizes")
