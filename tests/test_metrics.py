@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,6 +257,24 @@ def test_one_shared_score_is_its_own_range(spark):
     assert many.where("axis = 'a'").agg(F.avg("roc_auc")).first()[0] == pytest.approx(auc(y, a), abs=0.01)
 
 
+def test_draws_are_computed_in_parts_of_bounded_size(monkeypatch):
+    """The parts hold what one draw of the whole block holds."""
+    rnd = np.random.default_rng(5)
+    pdf = pd.DataFrame({"score": rnd.random(300), "y": rnd.integers(0, 2, 300), "n": 2, "_c0": rnd.integers(0, 3, 300)})
+    cells = [((int(c),), int(y), int(n)) for (c, y), n in pdf.groupby(["_c0", "y"])["n"].sum().items()]
+
+    def drawn(at_once):
+        monkeypatch.setattr(resampling, "_AT_ONCE", at_once)
+        draws = resampling._cell_draws(cells, (), 0, 50, 42)
+        parts = [d for _, d in resampling._row_draws(pdf, ["score"], ["_c0"], draws, (), 0, 50, 42)]
+        return [draws[y][1] for y in (0, 1)], resampling._by_range(*draws[1], 0), parts
+
+    (some, ranges, parts), (all_cells, all_ranges, whole) = drawn(1000), drawn(1 << 40)
+    assert len(whole) == 1 and len(parts) > 10 and max(p.size for p in parts) <= 1000
+    assert np.array_equal(np.concatenate(parts), whole[0])
+    assert all(np.array_equal(a, b) for a, b in zip((*some, *ranges[1:]), (*all_cells, *all_ranges[1:])))
+
+
 def test_resample_keeps_class_sizes(scores):
     df, y, *_ = scores
     table = df.select("y", F.col("a").alias("score"))
