@@ -3,10 +3,12 @@
 import base64
 import hashlib
 import random
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ tokenizers = pytest.importorskip("tokenizers")
 
 from wayfare.llm import binary_records as br  # noqa: E402
 from wayfare.llm.chunk_bpe import ChunkEncoder, cuts, encode_documents, encoding_digests  # noqa: E402
+from wayfare.llm.common import map_batches, per_worker  # noqa: E402
 from wayfare.llm.token_counts import Counter as TokenCounter  # noqa: E402
 from wayfare.llm.token_counts import count_tokens  # noqa: E402
 from wayfare.llm.word_ids import WordIds  # noqa: E402
@@ -141,3 +144,19 @@ def test_damaged_record_is_noticed():
         broken[at] ^= 1
         with pytest.raises(ValueError):
             br.read_record(io.BytesIO(bytes(broken)))
+
+
+def test_workers_keep_only_what_a_task_asks_for(spark):
+    def asks(*names):
+        def make():
+            for name in names:
+                per_worker(name, object)
+
+            def step(batch):
+                return pa.RecordBatch.from_arrays([pa.array([",".join(sorted(sys.modules["wayfare_worker"].kept))])], ["kept"])
+
+            return step
+
+        return map_batches(spark.range(0, 1, 1, 1), make, "kept string").first()[0]
+
+    assert [asks("a", "b"), asks("b"), asks(), asks("c")] == ["a,b", "b", "", "c"]

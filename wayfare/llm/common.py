@@ -42,10 +42,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
     """``mapInArrow`` over ``make()``'s function from one batch to one batch (or None).
 
-    ``make`` runs once per task, so that models load there and caches live as long as it.
+    ``make`` runs once per task, so that models load there and caches live as long as it. What other tasks left in the
+    worker and ``make`` does not ask for goes first.
     """
     def run(batches):
-        step = make()
+        step = only_asked(make)
         for batch in batches:
             out = step(batch)
             if out is not None:
@@ -55,16 +56,35 @@ def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
 
 
 def per_worker(key: str, make):
-    """``make()``, once per Python worker: the value outlives a task, for later tasks to reuse.
-
-    Functions travel to workers by value, so the place is a module that exists in the worker only.
-    """
-    kept = sys.modules.setdefault("wayfare_worker", ModuleType("wayfare_worker")).__dict__
+    """``make()``, once per Python worker: the value outlives a task, for later tasks to reuse."""
+    kept, asked = _kept()
+    asked.add(key)
     if key not in kept:
         kept[key] = make()
     return kept[key]
 
 
+def _kept() -> tuple[dict, set]:
+    """The values of :func:`per_worker`, and the keys the task has asked for.
+
+    Functions travel to workers by value, so the place is a module that exists in the worker only.
+    """
+    place = sys.modules.setdefault("wayfare_worker", ModuleType("wayfare_worker")).__dict__
+    return place.setdefault("kept", {}), place.setdefault("asked", set())
+
+
+def only_asked(make):
+    """``make()``, after which the worker keeps only the values that it asked for: one operator's tables do not stay
+    beside the next one's."""
+    kept, asked = _kept()
+    asked.clear()
+    made = make()
+    for key in set(kept) - asked:
+        del kept[key]
+    pa.default_memory_pool().release_unused()
+    return made
+
+
 def arrow(types: dict[str, pa.DataType], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types.values())],

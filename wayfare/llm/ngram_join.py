@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise
-from .common import LOWER, arrow, map_batches, per_worker, text_key
+from .common import LOWER, arrow, map_batches, only_asked, per_worker, text_key
 from .linking import link, membership_bits, parity_words, shared_only
 
 SIZE = 5
@@ -148,7 +148,7 @@ _BLOCK = 4_000_000
 def frequent_tokens(docs: DataFrame, least: int = 8, most: int = 1 << 23) -> np.ndarray:
     """Sorted tokens that many documents hold; see the module's text for the bound."""
     def count(batches):
-        parts, size = [], 0
+        parts, size = only_asked(list), 0
 
         def flush():
             tokens, times = np.unique(np.concatenate(parts), return_counts=True)
@@ -362,6 +362,7 @@ def ngram_components(docs: DataFrame, percent: int = 80, *, count_links: bool =
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_tokens(docs))
     meta = materialise(describe(docs, frequent, percent), "ngram-sets")
+    frequent.destroy()  # workers forget it too
     full = meta.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     classes = materialise(classes, "set-classes")
