@@ -118,6 +118,16 @@ def test_unknown_model_and_params(rows):
         models.fit_model(rows[0], "logreg", ["a"], seed=1, imbalance="magic")
 
 
+@pytest.mark.parametrize("kind, params", [("logreg", {}), ("random_forest", {"n_estimators": 3, "max_depth": 2})])
+def test_a_tagged_session_scores_fitted_models(spark, rows, kind, params):
+    spark.addTag("tagged")
+    try:
+        scored = models.fit_model(rows[0], kind, ["a", "b"], seed=3, params=params).score(rows[0])
+        assert scored.select("score").distinct().count() > 1
+    finally:
+        spark.removeTag("tagged")
+
+
 def test_tuning_keeps_finished_trials(rows, tmp_path):
     df, _ = rows
     path = str(tmp_path / "trials")
