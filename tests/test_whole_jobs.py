@@ -5,6 +5,7 @@ from types import SimpleNamespace
 from wayfare.operators import models
 from wayfare.plans import model_queries as mq
 from wayfare.plans.artefacts import SEEDS
+from wayfare.plans.registry import QUERIES
 
 
 def artefacts(**parts):
@@ -12,6 +13,11 @@ def artefacts(**parts):
     return SimpleNamespace(spark=spark, folder="none", table=lambda name, build: None, **parts)
 
 
+def function_of(name):
+    """The registered query as a function of its artefacts."""
+    return next(c.cell_contents for c in QUERIES[name].__closure__ if callable(c.cell_contents))
+
+
 def test_static_runs_boost_at_full_size(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(mq, "_RUNS", {})
@@ -23,3 +29,26 @@ def test_static_runs_boost_at_full_size(spark, monkeypatch):
         assert tuple(options["seeds"]) == SEEDS
         trees = models.build_model("gbt", seed=1, params=options.get("params"))
         assert (trees.getMaxIter(), trees.getMaxDepth()) == (200, 6)
+
+
+def test_fit_models_takes_the_default_trees(spark, monkeypatch):
+    class Fitted:
+        def score(self, rows):
+            return rows
+
+    seen = []
+
+    def fit(train, kind, columns, *, seed, params=None):
+        seen.append(models.build_model(kind, seed=seed, params=params))
+        return Fitted()
+
+    rows = spark.createDataFrame([("a", "S1", "train", 1, 0.5, True)], "session_id string, stage string, partition string, y int, score double, label boolean")
+    monkeypatch.setattr(mq.models, "fit_model", fit)
+    parts = artefacts(features=rows.drop("partition"), split=rows.select("session_id", "partition"))
+    parts.spark = spark
+    function_of("fit_models")(parts)
+    forests = [m for m in seen if hasattr(m, "getNumTrees")]
+    boosted = [m for m in seen if hasattr(m, "getStepSize")]
+    assert len(seen) == 9 and len(forests) == len(boosted) == 3
+    assert {(m.getNumTrees(), m.getMaxDepth()) for m in forests} == {(500, 30)}
+    assert {(m.getMaxIter(), m.getMaxDepth()) for m in boosted} == {(200, 6)}
