@@ -2,7 +2,10 @@
 
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
 from wayfare.operators import models
+from wayfare.operators.stages import MODEL_STAGES
 from wayfare.plans import model_queries as mq
 from wayfare.plans.artefacts import SEEDS
 from wayfare.plans.registry import QUERIES
@@ -52,3 +55,18 @@ def test_fit_models_takes_the_default_trees(spark, monkeypatch):
     assert len(seen) == 9 and len(forests) == len(boosted) == 3
     assert {(m.getNumTrees(), m.getMaxDepth()) for m in forests} == {(500, 30)}
     assert {(m.getMaxIter(), m.getMaxDepth()) for m in boosted} == {(200, 6)}
+
+
+def test_tune_runs_every_trial_of_every_stage(spark, monkeypatch):
+    columns = "session_id string, stage string, partition string, label boolean"
+    rows = spark.createDataFrame([(f"{p}{s}", s, p, True) for s in MODEL_STAGES for p in ("train", "val")], columns)
+    monkeypatch.setattr(mq.models, "draw_params", lambda space, rng: {"C": 1.0})
+    monkeypatch.setattr(mq.models, "preprocess", lambda *_, **__: SimpleNamespace(transform=lambda df: df.withColumn("features", F.lit(0))), raising=False)
+    monkeypatch.setattr(mq.models, "balanced", lambda df, *_, **__: (df, None))
+    monkeypatch.setattr(mq.models, "fitted_on", lambda *_: None)
+    monkeypatch.setattr(mq.models, "fit_model", lambda *_, **__: SimpleNamespace(score=lambda df: df.select("y", F.lit(0.5).alias("score"))))
+    monkeypatch.setattr(mq.models, "_pr_aucs", lambda held, fitted: {i: 0.5 for i in fitted}, raising=False)
+    parts = artefacts(features=rows.drop("partition"), split=rows.select("session_id", "partition"))
+    parts.spark, parts.table = spark, lambda name, build: build()
+    found = mq._trials(parts).groupBy("study").count().collect()
+    assert {tuple(r) for r in found} == {(f"{s}_logreg_seed42", 100) for s in MODEL_STAGES}
