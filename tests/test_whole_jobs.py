@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wayfare.operators import models
 from wayfare.operators.stages import MODEL_STAGES
+from wayfare.plans import attribution_queries as aq
 from wayfare.plans import model_queries as mq
 from wayfare.plans.artefacts import SEEDS
 from wayfare.plans.registry import QUERIES
@@ -70,3 +71,22 @@ def test_tune_runs_every_trial_of_every_stage(spark, monkeypatch):
     parts.spark, parts.table = spark, lambda name, build: build()
     found = mq._trials(parts).groupBy("study").count().collect()
     assert {tuple(r) for r in found} == {(f"{s}_logreg_seed42", 100) for s in MODEL_STAGES}
+
+
+def test_seed_consistency_compares_all_seeds_at_full_size(spark, monkeypatch):
+    seen = []
+
+    def explain(features, split, *, model, seed, params=None):
+        seen.append((seed, models.build_model(model, seed=seed, params=params)))
+        rows = [("S1", seed, f"s{i}", f, float(i * (k + 1) % 5), 0.1 * (k + 1) * i) for i in range(6) for k, f in enumerate(("n_events", "price_mean"))]
+        table = spark.createDataFrame(rows, "stage string, seed int, session_id string, feature string, value double, shap double")
+        return {"S1": SimpleNamespace(long=lambda: table)}
+
+    monkeypatch.setattr(aq, "_EXPLAINED", {})
+    monkeypatch.setattr(aq.at, "explain_stages", explain)
+    parts = artefacts(features=spark.range(1), split=None)
+    parts.spark = spark
+    found = function_of("seed_consistency")(parts).collect()
+    assert [(r["stage"], r["n_pairs"]) for r in found] == [("S1", 10)]
+    assert {s for s, _ in seen} == set(SEEDS)
+    assert {(m.getMaxIter(), m.getMaxDepth()) for _, m in seen} == {(200, 6)}
